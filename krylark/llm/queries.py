@@ -5,13 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_rules, url_filter
-from .common import read_table
+from . import chat_format, packing, quality_rules, token_store, url_filter
+from .common import read_table, shared_dir
 
 #: The rules that the URL query judges by: host, path, action.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def vocabulary(name: str) -> str:
+    """Path of an installed public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    shards = token_store.write_shards(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2, keep_space=False, folder=folder)
+    return token_store.read_documents(spark, folder, shards)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, keep_space=True)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql("select * from values " + ", ".join(map(str, URL_RULES)) + " as t(host, path, action)")
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), rules)
@@ -32,6 +50,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_token_store": op3_token_store,
+    "op5_packing": op5_packing,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
