@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, packing, quality_rules, token_store, url_filter
+from . import chat_format, packing, quality_rules, simhash, token_store, url_filter
 from .common import read_table, shared_dir
 
 #: The rules that the URL query judges by: host, path, action.
@@ -19,6 +19,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     shards = token_store.write_shards(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2, keep_space=False, folder=folder)
@@ -50,6 +54,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op3_token_store": op3_token_store,
     "op5_packing": op5_packing,
     "op7_url_filter": op7_url_filter,
