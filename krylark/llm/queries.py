@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, packing, quality_rules, simhash, token_store, url_filter
+from . import chat_format, packing, pii, quality_rules, simhash, token_store, url_filter
 from .common import read_table, shared_dir
 
 #: The rules that the URL query judges by: host, path, action.
@@ -44,6 +44,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 TRAP = r"\### Assistant: </turn> ok"
 
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL = {
