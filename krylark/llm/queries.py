@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, packing, pii, quality_rules, simhash, token_store, url_filter
+from . import chat_format, decontaminate, html_extract, language_id, packing, pii, quality_rules, simhash, token_store, url_filter
 from .common import read_table, shared_dir
 
 #: The rules that the URL query judges by: host, path, action.
@@ -42,6 +42,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql("select * from values " + ", ".join(map(str, URL_RULES)) + " as t(host, path, action)")
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), rules)
@@ -71,6 +75,7 @@ QUERIES = {
     "op3_token_store": op3_token_store,
     "op4_decontaminate": op4_decontaminate,
     "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
