@@ -184,3 +184,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind = column_type(benchmark, item_col).simpleString()
     out = docs.select(F.col(id_col).alias("id")).join(found, F.col("id").eqNullSafe(F.col("found_id")), "left")
     return out.select(F.col("id").alias(id_col), F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.expr(f"cast(array() as array<{kind}>)")).alias("items"), F.coalesce("cover", F.lit(0.0)).alias("cover"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cover: float = COVER) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with the same columns."""
+    bad = leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, cover).select(F.col(id_col).alias("bad_id")).distinct()
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
+    return row.join(bad, F.col("id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")

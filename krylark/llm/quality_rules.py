@@ -24,6 +24,17 @@ POLICIES = {
     "v1": BIT["too_few_words"] | BIT["repeated_windows"] | BIT["symbol_ratio"] | BIT["capitals"] | BIT["adjacent_repeats"] | BIT["duplicate_lines"] | BIT["word_length"],
 }
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_adjacent")
+#: When a rule fails, in SQL over the measurements.
+FAILS = {
+    "too_few_words": "n_words < 20",
+    "repeated_windows": "100 * n_repeat_words > 30 * n_words",
+    "symbol_ratio": "10 * n_symbols > n_words",
+    "capitals": "n_upper > n_lower",
+    "adjacent_repeats": "100 * n_adjacent > 20 * n_words",
+    "duplicate_lines": "100 * n_dup_lines > 70 * n_lines",
+    "word_length": "word_chars < 2 * n_words or word_chars > 25 * n_words",
+}
+FAILURES = "cast(" + " | ".join(f"(case when {FAILS[r]} then {BIT[r]} else 0 end)" for r in RULES) + " as bigint)"
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 
 
@@ -74,17 +85,26 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             columns = np.array(got, np.int64).reshape(len(got), len(MEASURES)).T
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in columns]], names=["id", *MEASURES])
 
-    fails = {
-        "too_few_words": "n_words < 20",
-        "repeated_windows": "100 * n_repeat_words > 30 * n_words",
-        "symbol_ratio": "10 * n_symbols > n_words",
-        "capitals": "n_upper > n_lower",
-        "adjacent_repeats": "100 * n_adjacent > 20 * n_words",
-        "duplicate_lines": "100 * n_dup_lines > 70 * n_lines",
-        "word_length": "word_chars < 2 * n_words or word_chars > 25 * n_words",
-    }
-    bits = " | ".join(f"(case when {fails[r]} then {BIT[r]} else 0 end)" for r in RULES)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumn("failures", F.expr(f"cast({bits} as bigint)")).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumn("failures", F.expr(FAILURES)).withColumnRenamed("id", id_col)
+
+
+def carried_ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row, measurements, failures): the ledger beside each whole row, as a struct, so that names cannot clash."""
+    schema = T.StructType([T.StructField("row", docs.schema), *[T.StructField(m, T.LongType()) for m in MEASURES]])
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [measure(t) for t in texts(b.column(0).field(place))]
+            columns = np.array(got, np.int64).reshape(len(got), len(MEASURES)).T
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in columns]], names=["row", *MEASURES])
+
+    return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema).withColumn("failures", F.expr(FAILURES))
+
+
+def keep_documents(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, with the same columns."""
+    return apply_policy(carried_ledger(docs, text_col), policy).where("kept").select("row.*")
 
 
 def apply_policy(book: DataFrame, policy: str = "v1") -> DataFrame:

@@ -185,3 +185,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_print = least.join(named, "fp", "left").select("fp", F.coalesce("joined", "least").alias("component_id"))
     per_print = materialize(per_print)
     return prints.join(per_print, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id names their component, with the same columns: one document of each group.
+
+    Rows with the same id and text count as one; rows without an id cannot be named and stay, once for each text.
+    """
+    named = near_duplicates(docs, id_col, text_col).select(F.col("component_id").alias("kept_id")).distinct()
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    kept = row.join(named, (F.col("id") == F.col("kept_id")), "left_semi")
+    without = row.where("id is null")
+    return kept.unionByName(without).dropDuplicates(["id", "text_hash"]).select("row.*")
