@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,69 +68,124 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-#: Cut only between two characters that no tokenizer takes for white space: pieces then tokenize independently.
-SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A cut between two characters that no tokenizer takes for white space: what stands on both sides is tokenized alone.
+SAFE_CUT = re.compile(r"(?<=\S)([ \n])(?=\S)")
+#: A word of Latin letters and the punctuation after it: every pre-tokenizer parts them (an apostrophe may not be).
+STEM_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?$%&*#|)]+)")
 
 
 class WordCache:
-    """Exact ids of whole texts from a `tokenizers` file, encoding each distinct word once.
+    """Exact ids of whole texts from a `tokenizers` file, encoding each distinct piece once.
 
-    Both supported kinds of pre-tokenizer (byte level with the space before a word; white space dropped)
-    never join what stands on both sides of a single space between two non-space characters, so the ids of a
-    text are the ids of its pieces in a row.  ``keep_space`` says whether a piece after a cut carries the space.
-    The cache is emptied when it reaches ``limit`` entries, which bounds memory and changes no result.
+    Both supported kinds of pre-tokenizer (byte level with the space before a word; white space dropped) never join
+    what stands on both sides of a single blank between two non-blank characters, so the ids of a text are the ids of
+    its pieces in a row.  ``keep_space`` says that a piece after a space carries it and that line feeds have ids.
+    Pieces live in two generations of at most ``limit`` / 2 entries; what is used moves to the young one, and the old one is
+    dropped when the young one is full.  That bounds memory and changes no result.
     """
 
-    def __init__(self, path: str, keep_space: bool, limit: int = 400_000):
+    def __init__(self, path: str, keep_space: bool, limit: int = 320_000):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.lead = " " if keep_space else ""
-        self.limit = limit
-        self.ids: dict[str, np.ndarray] = {}
+        self.keep_space, self.half = keep_space, limit // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.mark = None
+        if not keep_space:  # a symbol with one id that can stand between words encoded together
+            self.mark = next((m for m in "¦§¶" if len(self.tok.encode(m, add_special_tokens=False).ids) == 1), None)
+            self.mark_id = self.tok.encode(self.mark, add_special_tokens=False).ids[0] if self.mark else None
+
+    def _pieces(self, text: str) -> list[str]:
+        if not text:
+            return []
+        one_space = text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ("  ", "\n ", " \n", "\n\n"))
+        if one_space and text.replace("\n", "a").isprintable():
+            if not self.keep_space:
+                return text.replace("\n", " ").split(" ")
+            return text.replace("\n", " \n \b").replace(" ", "\0 ").replace("\0 \n\0 \b", "\0\n\0").split("\0")
+        parts = SAFE_CUT.split(text)
+        if not self.keep_space:
+            return parts[::2]
+        out = [parts[0]]
+        for blank, piece in zip(parts[1::2], parts[2::2]):
+            out += [" " + piece] if blank == " " else ["\n", piece]
+        return out
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 2048):
+            part = pieces[at:at + 2048]
+            if self.mark and not any(self.mark in p for p in part):
+                ids = np.array(self.tok.encode_batch_fast([f" {self.mark} ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                cuts = np.flatnonzero(ids == self.mark_id)
+                if len(cuts) == len(part) - 1:
+                    out.extend(x.tobytes() for x in np.split(ids, cuts)[:1])
+                    out.extend(ids[a + 1:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)]))
+                    continue
+            out.extend(array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(part, add_special_tokens=False))
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        """Makes the ids of all ``words`` ready in the young generation."""
+        if len(self.young) + len(words) > self.half:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new, split = set(), {}
+        for w in words:
+            if w in young:
+                continue
+            if w in old:
+                young[w] = old[w]
+                continue
+            m = STEM_TAIL.fullmatch(w, 1) if w[0] == " " else STEM_TAIL.fullmatch(w)
+            if m:
+                pair = split[w] = (w[:m.end(1)], m[2])
+                new.update(pair)
+            else:
+                new.add(w)
+        again = [w for w in new if w not in young and w in old]
+        young.update((w, old[w]) for w in again)
+        fresh = [w for w in new if w not in young]
+        young.update(zip(fresh, self._encoded(fresh)))
+        for w, (stem, tail) in split.items():
+            young[w] = young[stem] + young[tail]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
-        lead, cut = self.lead, []
+        out: list[bytes] = []
         for text in batch:
-            if not text:
-                cut.append([])
-                continue
-            plain = text[0] != " " != text[-1] and not any(x in text for x in ("  ", "\n ", " \n")) and text.replace("\n", "a").isprintable()
-            words = text.split(" ") if plain else SAFE_CUT.split(text)
-            cut.append([words[0], *[lead + w for w in words[1:]]] if lead else words)
-        out = []
-        start = 0
-        while start < len(cut):  # as many texts at a time as the cache can hold
-            stop, need = start, set()
-            while stop < len(cut) and (stop == start or len(need) < self.limit // 2):
-                need.update(cut[stop])
-                stop += 1
-            new = [w for w in need if w not in self.ids]
-            if new:
-                if len(self.ids) + len(new) > self.limit:
-                    self.ids.clear()
-                    new = list(need)
-                self._learn(new)
-            get = self.ids.__getitem__
-            out.extend(b"".join(map(get, words)) for words in cut[start:stop])
-            start = stop
+            # a very long text is taken in runs of pieces, so that what has to be known at once stays bounded
+            pieces = self._pieces(text)
+            got = []
+            for at in range(0, len(pieces), self.half // 4):
+                run = pieces[at:at + self.half // 4]
+                try:
+                    got.append(b"".join(map(self.young.__getitem__, run)))
+                except KeyError:
+                    self._learn(set(run))
+                    got.append(b"".join(map(self.young.__getitem__, run)))
+            out.append(got[0] if len(got) == 1 else b"".join(got))
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at:at + 4096]
-            for piece, enc in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.ids[piece] = np.array(enc.ids, np.uint32).tobytes()
-
 
-def rows(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
+def rows(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that what is built for a batch stays small."""
     for b in batches:
         for at in range(0, b.num_rows, size):
             yield b.slice(at, size)
 
 
+def small_batches(spark: SparkSession, most: int = 1000) -> None:
+    """At most ``most`` rows in an Arrow batch from here on, as whole texts make long rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= most:
+        spark.conf.set(key, str(most))
+
+
 def lower_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, materialize, rows, shared_dir, texts
+from .common import WordCache, materialize, rows, shared_dir, small_batches, texts
 from .token_store import Published, open_fs
 
 SEQ_LEN = 1024
@@ -65,30 +65,33 @@ class RoundRobin:
         return (self.min_piece - self.owed[s]) / max(self.w.get(s, 0.0), 1e-12)
 
     def run(self, queues: dict[str, deque]) -> Iterator[tuple]:
-        """Serves all queues of (document, place of its first id, ids, its tokens); yields pieces."""
+        """Serves all queues of [document, its ids as bytes, how many are served, how many there are]; yields pieces."""
         heap = [(self._ready_at(s), s) for s in queues if queues[s]]
         heapq.heapify(heap)
         while heap:
-            _, s = heapq.heappop(heap)
+            s = heap[0][1]
             grant = max(self.min_piece, int(self.owed[s] + self.w.get(s, 0.0) * self.out))
-            queue = queues[s]
-            while grant > 0 and queue:
-                doc, start, ids, tokens = queue[0]
-                n = min(grant, self.room, len(ids))
-                yield doc, s, start, n, tokens, self.window, self.cap - self.room, ids[:n]
-                if n == len(ids):
+            queue, given = queues[s], 0
+            while given < grant and queue:
+                item = queue[0]
+                doc, ids, start, tokens = item
+                n = min(grant - given, self.room, tokens - start)
+                yield doc, s, start, n, tokens, self.window, self.cap - self.room, ids[4 * start:4 * (start + n)]
+                if start + n == tokens:
                     queue.popleft()
                 else:
-                    queue[0] = (doc, start + n, ids[n:], tokens)
-                grant -= n
-                self.owed[s] -= n
-                self.out += n
+                    item[2] = start + n
+                given += n
                 self.room -= n
                 if not self.room:
                     self.room = self.cap = next(self.windows, 0)
                     self.window += 1
+            self.owed[s] -= given
+            self.out += given
             if queue:
-                heapq.heappush(heap, (self._ready_at(s), s))
+                heapq.heapreplace(heap, (self._ready_at(s), s))
+            else:
+                heapq.heappop(heap)
 
 
 def tokenize_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, keep_space: bool, id_col: str, source_col: str, text_col: str) -> DataFrame:
@@ -120,6 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, keep_space: bool, id_col:
     repeated rows are packed as often as they occur.  Every id lies in exactly one piece.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = shared_dir(spark)
     stats = materialize(tokenize_shards(docs, f"{folder}/shards", tokenizer, end_id, keep_space, id_col, source_col, text_col), f"{folder}/stats")
 
@@ -173,15 +177,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, keep_space: bool, id_col:
         def batch(made: list[tuple]) -> pa.RecordBatch:
             doc, source, start, n, tokens, window, offset, ids = zip(*made)
             longs = [pa.array(x, pa.int64()) for x in (start, n, tokens)]
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(source, pa.string()), *longs, pa.array([base + w for w in window], pa.int64()), pa.array(offset, pa.int64()), pa.array([x.astype(np.uint32).tobytes() for x in ids], pa.binary())], names=["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(source, pa.string()), *longs, pa.array([base + w for w in window], pa.int64()), pa.array(offset, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
         queues: dict[str, deque] = {}
         held = 0
         for part in reader:
             for doc, source, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                ids = np.frombuffer(raw, kind)
-                queues.setdefault(source, deque()).append((doc, 0, ids, len(ids)))
-                held += len(ids)
+                tokens = len(raw) // kind().itemsize
+                queues.setdefault(source, deque()).append([doc, np.frombuffer(raw, kind).astype(np.uint32).tobytes(), 0, tokens])
+                held += tokens
             if held >= BLOCK:
                 yield from emit(queues)
                 queues, held = {}, 0

@@ -1,7 +1,8 @@
 """Token ids in Arrow stream files: fixed-size-list batches of equal-length sequences with their masks.
 
 Shard k holds a range of ascending ids.  ``tokens-k.arrow`` is an Arrow file of ``seq`` (fixed-size list of
-unsigned 32-bit ids) and ``mask`` (fixed-size list of bytes, 1 for an id, 0 for padding at the end of the shard);
+unsigned ids, of 16 bits where the vocabulary fits, else of 32) and ``mask`` (fixed-size list of booleans, false for
+the padding at the end of the shard);
 ``index-k.arrow`` has a row per document.  Row i is at a fixed place, so a memory-mapped file gives any sequence
 without a copy.  Files are written under a temporary name in the shared folder and renamed, so a task that runs
 twice leaves the same whole file.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCache, column_type, rows, shared_dir, texts
+from .common import WordCache, rows, shared_dir, small_batches, texts
 
 SEQ_LEN = 1024
 #: Sequences in an Arrow batch.
@@ -37,16 +38,16 @@ def open_fs(uri: str):
 class SequenceWriter:
     """Appends ids and writes them as full sequences; holds less than one batch."""
 
-    def __init__(self, sink, seq_len: int):
-        self.n = seq_len
-        self.schema = pa.schema([("seq", pa.list_(pa.uint32(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+    def __init__(self, sink, seq_len: int, kind=np.uint32):
+        self.n, self.kind = seq_len, kind
+        self.schema = pa.schema([("seq", pa.list_(pa.from_numpy_dtype(kind), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
         self.out = pa.ipc.new_file(sink, self.schema)
         self.held: list[np.ndarray] = []
         self.size = 0
 
     def _put(self, ids: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:real] = 1
+        mask = np.zeros(len(ids), bool)
+        mask[:real] = True
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.n) for x in (ids, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
@@ -65,7 +66,7 @@ class SequenceWriter:
         if self.size:
             ids = np.concatenate(self.held)
             pad = -len(ids) % self.n
-            self._put(np.concatenate([ids, np.zeros(pad, np.uint32)]), len(ids))
+            self._put(np.concatenate([ids, np.zeros(pad, self.kind)]), len(ids))
         self.out.close()
 
 
@@ -101,16 +102,19 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, keep_space: bool,
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        words, end = WordCache(tokenizer, keep_space), np.array([end_id], np.uint32)
+        words = WordCache(tokenizer, keep_space)
+        kind = np.uint16 if max(words.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
+        end = np.array([end_id], kind)
         total = count = 0
         index = None
         with Published(f"{folder}/tokens-{shard:06d}.arrow") as sink, Published(f"{folder}/index-{shard:06d}.arrow") as side:
-            out, index = SequenceWriter(sink, seq_len), pa.ipc.new_file(side, INDEX)
+            out, index = SequenceWriter(sink, seq_len, kind), pa.ipc.new_file(side, INDEX)
             for b in rows(batches):
-                ids = [np.concatenate([np.frombuffer(x, np.uint32), end]) for x in words.encode(texts(b.column(1)))]
+                ids = [np.append(np.frombuffer(x, np.uint32).astype(kind), end) for x in words.encode(texts(b.column(1)))]
                 n = np.array([len(x) for x in ids], np.int64)
                 for x in ids:
                     out.add(x)
@@ -150,7 +154,7 @@ def read_documents(spark, folder: str, shards: list[tuple[int, int, int]], id_co
                 chunks = pa.ipc.open_file(source)
                 side_fs, side = open_fs(f"{folder}/index-{shard:06d}.arrow")
                 index = pa.ipc.open_file(side_fs.open_input_file(side))
-                at, loaded, held = 0, 0, np.zeros(0, np.uint32)  # held: ids from place ``at`` on
+                at, loaded, held = 0, 0, np.zeros(0, np.uint16)  # held: ids from place ``at`` on
                 for k in range(index.num_record_batches):
                     part = index.get_batch(k)
                     starts, n = part.column(2).to_numpy(), part.column(3).to_numpy()
@@ -164,7 +168,7 @@ def read_documents(spark, folder: str, shards: list[tuple[int, int, int]], id_co
                                 more.append(seq.flatten().to_numpy())
                                 have, loaded = have + len(more[-1]), loaded + 1
                             held = np.concatenate(more)
-                        crc[i] = zlib.crc32(held[s - at:s - at + m])
+                        crc[i] = zlib.crc32(held[s - at:s - at + m].astype(np.uint32))
                     doc = pa.array(part.column(0).to_numpy(), mask=part.column(1).to_numpy(zero_copy_only=False))
                     yield pa.RecordBatch.from_arrays([doc, pa.array(starts + first), part.column(3), pa.array(crc)], names=schema.names)
 
