@@ -73,6 +73,8 @@ SAFE_CUT = re.compile(r"(?<=\S)([ \n])(?=\S)")
 #: A word of Latin letters and the punctuation after it: every pre-tokenizer parts them (an apostrophe may not be).
 STEM_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?$%&*#|)]+)")
 
+WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
 
 class WordCache:
     """Exact ids of whole texts from a `tokenizers` file, encoding each distinct piece once.
@@ -84,7 +86,7 @@ class WordCache:
     dropped when the young one is full.  That bounds memory and changes no result.
     """
 
-    def __init__(self, path: str, keep_space: bool, limit: int = 320_000):
+    def __init__(self, path: str, keep_space: bool, limit: int = 480_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -100,6 +102,23 @@ class WordCache:
             self.mark = next((m for m in "¦§¶" if len(self.tok.encode(m, add_special_tokens=False).ids) == 1), None)
             self.mark_id = self.tok.encode(self.mark, add_special_tokens=False).ids[0] if self.mark else None
 
+        # GPT-2's bijection of bytes and printable characters, which byte-level vocabularies are written in
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        spare = iter(range(256, 512))
+        self.shown = {b: b if b in shown else next(spare) for b in range(256)}
+        trial = ["the", "Théorie", "straßenweise", "Über", "x"] + ([" the", " Ñandú", " rereading"] if keep_space else [])
+        self.direct = False
+        self.direct = self._encoded(trial) == self._words_encoded(trial)
+
+    def _words_encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters alone, which are one unit to the pre-tokenizer: straight from the model."""
+        if not words:
+            return []
+        line = "\n".join(words)
+        line = (line if self.keep_space else line.lower()).encode().decode("latin-1").translate(self.shown)
+        tokenize = self.tok.model.tokenize
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in line.split(chr(self.shown[10]))]
+
     def _pieces(self, text: str) -> list[str]:
         if not text:
             return []
@@ -151,25 +170,38 @@ class WordCache:
         again = [w for w in new if w not in young and w in old]
         young.update((w, old[w]) for w in again)
         fresh = [w for w in new if w not in young]
-        young.update(zip(fresh, self._encoded(fresh)))
+        plain = [w for w in fresh if WORD.fullmatch(w, w[:1] == " " and self.keep_space)] if self.direct else []
+        young.update(zip(plain, self._words_encoded(plain)))
+        if len(plain) < len(fresh):
+            rest = [w for w in fresh if w not in young]
+            young.update(zip(rest, self._encoded(rest)))
         for w, (stem, tail) in split.items():
             young[w] = young[stem] + young[tail]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
+        cut = [self._pieces(t) for t in batch]
         out: list[bytes] = []
-        for text in batch:
-            # a very long text is taken in runs of pieces, so that what has to be known at once stays bounded
-            pieces = self._pieces(text)
-            got = []
-            for at in range(0, len(pieces), self.half // 4):
-                run = pieces[at:at + self.half // 4]
-                try:
-                    got.append(b"".join(map(self.young.__getitem__, run)))
-                except KeyError:
+        most, start = self.half // 4, 0
+        while start < len(cut):  # as many texts at a time as the cache surely holds
+            stop, size = start + 1, len(cut[start])
+            need = set(cut[start][:most])
+            while stop < len(cut) and len(need) + len(cut[stop]) <= most:
+                need.update(cut[stop])
+                stop += 1
+            self._learn(need)
+            get = self.young.__getitem__
+            if size <= most:
+                out.extend(b"".join(map(get, pieces)) for pieces in cut[start:stop])
+            else:  # a very long text, in runs of its pieces
+                got = []
+                for at in range(0, size, most):
+                    run = cut[start][at:at + most]
                     self._learn(set(run))
                     got.append(b"".join(map(self.young.__getitem__, run)))
-            out.append(got[0] if len(got) == 1 else b"".join(got))
+                out.append(b"".join(got))
+                stop = start + 1
+            start = stop
         return out
 
 
