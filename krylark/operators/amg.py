@@ -19,10 +19,14 @@ def strength_graph(a: SparseMatrix, threshold: float = 0.5) -> DataFrame:
 
 
 def handshake(a: SparseMatrix) -> DataFrame:
-    """(i, agg): pairs of rows that are each other's strongest neighbour (ties: the lower index), others alone."""
+    """(i, agg): pairs of rows that are each other's strongest neighbour, others alone.
+
+    Ties go by a number made from both ends of the edge, the same from either side, so that equal weights still pair.
+    """
     sym = a.df.where("r <> c").select(F.col("r").alias("i"), F.col("c").alias("j"), F.abs("v").alias("w"))
     sym = sym.unionByName(sym.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.sum("w").alias("w"))
-    best = sym.groupBy("i").agg(F.max(F.struct("w", (-F.col("j")).alias("neg"))).alias("best")).select("i", (-F.col("best.neg")).alias("j"))
+    tie = (F.least("i", "j") % 1000003 * 7919 + F.greatest("i", "j") % 1000003 * 104729) % 1000003
+    best = sym.groupBy("i").agg(F.max(F.struct("w", tie.alias("tie"), (-F.col("j")).alias("neg"))).alias("best")).select("i", (-F.col("best.neg")).alias("j"))
     back = best.select(F.col("i").alias("j"), F.col("j").alias("i2"))
     pairs = best.join(back, "j").where("i = i2").select("i", F.least("i", "j").alias("agg"))
     every = a.df.sparkSession.range(a.shape[0]).toDF("i")

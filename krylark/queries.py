@@ -334,10 +334,10 @@ def gershgorin(spark, sf):
     return algebra.gershgorin(laplacian(spark, sf))
 
 
-@query(f"with {LAPLACIAN}, {PRICES} select r, c, round(-(l.b * q.b), 6) + 0.0 as v from lap join rhs l on l.i = r join rhs q on q.i = c")
+@query(f"with {LAPLACIAN}, {PRICES} select r, c, round(-(l.b * q.b), 10) + 0.0 as v from lap join rhs l on l.i = r join rhs q on q.i = c")
 def sddmm(spark, sf):
     x = prices(spark, sf)
-    return rounded(algebra.sddmm(laplacian(spark, sf), x, x), "v")
+    return rounded(algebra.sddmm(laplacian(spark, sf), x, x), "v", digits=10)
 
 
 @query("""with k as (select i::bigint as br from range(36) t(i)) select br, [round(8.0 / 48, 6) + 0.0, round(-4.0 / 48, 6) + 0.0, round(-4.0 / 48, 6) + 0.0, round(8.0 / 48, 6) + 0.0] as blk from k""")
@@ -580,7 +580,7 @@ def strength_graph(spark, sf):
     return amg.strength_graph(laplacian(spark, sf))
 
 
-@query(f"""with {LAPLACIAN}, sym as (select r as i, c as j, 2 * abs(v) as w from lap where r <> c), best as (select i, j from (select *, row_number() over (partition by i order by w desc, j) as k from sym) where k = 1),
+@query(f"""with {LAPLACIAN}, sym as (select r as i, c as j, 2 * abs(v) as w from lap where r <> c), best as (select i, j from (select *, row_number() over (partition by i order by w desc, (least(i, j) % 1000003 * 7919 + greatest(i, j) % 1000003 * 104729) % 1000003 desc, j) as k from sym) where k = 1),
 shakes as (select a.i, least(a.i, a.j) as agg from best a join best b on a.j = b.i and b.j = a.i) select idx.i, coalesce(agg, idx.i) as agg from idx left join shakes on shakes.i = idx.i""")
 def aggregate_size2(spark, sf):
     return amg.aggregates(laplacian(spark, sf))
