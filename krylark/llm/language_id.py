@@ -68,7 +68,7 @@ class Model:
         for gram, row in seen.items():
             total[gram[:-1]] += row
             kinds[gram[:-1]] += row > 0
-        counts_of, totals, distinct = (np.array(x).reshape(-1, len(by)) for x in (list(seen.values()), list(total.values()), list(kinds.values())))
+        counts_of, totals, distinct = (np.array(x, float).reshape(len(x), len(by)) for x in (list(seen.values()), list(total.values()), list(kinds.values())))
         at = {c: i for i, c in enumerate(total)}
         above = np.array([at[g[:-1]] for g in seen], np.int64)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -151,8 +151,13 @@ class _Costs(dict):
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
     """The model of the labelled rows of ``docs``, at most ``rows`` a language."""
-    first = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    ids = docs.where(F.col(lang_col).isNotNull()).select(id_col, lang_col).withColumn("place", F.row_number().over(first)).where(F.col("place") <= rows).select(F.col(id_col).alias("train_id"), F.col(lang_col).alias("train_lang")).distinct()
+    labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("train_id"), F.col(lang_col).alias("train_lang")).withColumn("key", F.xxhash64("train_id"))
+    # about four times as many rows as wanted lie below a language's cut, whatever the size of the corpus
+    span = float(1 << 64)
+    cuts = labelled.groupBy("train_lang").agg(F.count("*").alias("n")).select(F.col("train_lang").alias("cut_lang"), (F.least(F.lit(1.0), 4.0 * rows / F.col("n")) * span - span / 2).alias("cut"))
+    few = labelled.join(cuts, F.col("train_lang") == F.col("cut_lang")).where(F.col("key").cast("double") <= F.col("cut"))
+    first = Window.partitionBy("train_lang").orderBy("key", "train_id")
+    ids = few.withColumn("place", F.row_number().over(first)).where(F.col("place") <= rows).select("train_id", "train_lang").distinct()
     sample = docs.join(F.broadcast(ids), (F.col(id_col) == F.col("train_id")) & (F.col(lang_col) == F.col("train_lang")), "left_semi")
     return Model([tuple(r) for r in word_counts(sample, text_col, lang_col).orderBy("lang", "word").collect()])
 
