@@ -100,24 +100,31 @@ def _anchors(fp: np.ndarray, codes: list) -> Iterator[tuple[int, np.ndarray, np.
         yield k, view ^ home[syndrome], view[:, None] ^ flips[syndrome]
 
 
-def _forest(x: np.ndarray, homes: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the pairs (home, any) of ``x`` within the threshold."""
-    root = list(range(len(x)))
+def _forest(x: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the pairs within the threshold that have a fingerprint at home.
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out = []
-    for h in homes.tolist():
-        for at in range(0, len(x), 1 << 20):
-            for j in (at + np.flatnonzero(np.bitwise_count(x[at:at + (1 << 20)] ^ x[h]) <= THRESHOLD)).tolist():
-                a, b = find(h), find(j)
-                if a != b:
-                    root[a] = b
-                    out.append((h, j))
+    A search from the homes compares each fingerprint it reaches with those not reached yet, so a dense group, most of
+    which is reached at once, costs far less than all its pairs.
+    """
+    out: list[tuple[int, int]] = []
+    rest = np.arange(len(x))
+    reached = np.zeros(len(x), bool)
+    for start in np.flatnonzero(home).tolist():
+        if reached[start]:
+            continue
+        reached[start] = True
+        queue = [start]
+        while queue:
+            p = queue.pop()
+            rest = rest[~reached[rest]]
+            if not len(rest):
+                return out
+            others = rest if home[p] else rest[home[rest]]
+            near = others[np.bitwise_count(x[others] ^ x[p]) <= THRESHOLD]
+            reached[near] = True
+            near = near.tolist()
+            out.extend((p, q) for q in near)
+            queue.extend(near)
     return out
 
 
@@ -137,7 +144,7 @@ def links(prints: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int8)), pa.array(anchor.view(np.int64)), pa.array(fp[who].view(np.int64)), pa.array(anchor == home[who])], names=["view", "anchor", "fp", "home"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = []  # parts of one anchor
 
         def linked(view, anchor, fp, home) -> pa.RecordBatch:
             edge = np.flatnonzero((view[1:] != view[:-1]) | (anchor[1:] != anchor[:-1])) + 1
@@ -147,7 +154,7 @@ def links(prints: DataFrame) -> DataFrame:
             u, v = [], []
             for at, n in zip(first[(size > 1) & (some > 0)].tolist(), size[(size > 1) & (some > 0)].tolist()):
                 x = fp[at:at + n]
-                for a, b in _forest(x.view(np.uint64), np.flatnonzero(home[at:at + n])):
+                for a, b in _forest(x.view(np.uint64), home[at:at + n]):
                     u.append(int(x[a]))
                     v.append(int(x[b]))
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -156,14 +163,17 @@ def links(prints: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             now = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)]
-            held = [np.concatenate(x) for x in zip(held, now)] if held else now
-            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
+            if held and (now[0] == held[0][0][0]).all() and (now[1] == held[0][1][0]).all():
+                held.append(now)
+                continue
+            whole = [np.concatenate(x) for x in zip(*held, now)]
+            last = np.flatnonzero((whole[0] != whole[0][-1]) | (whole[1] != whole[1][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:  # the last anchor may go on in the next batch
-                yield linked(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
+                yield linked(*(x[:cut] for x in whole))
+            held = [[x[cut:] for x in whole]]
         if held:
-            yield linked(*held)
+            yield linked(*(np.concatenate(x) for x in zip(*held)))
 
     at = prints.select("fp").distinct().mapInArrow(spread, "view tinyint, anchor long, fp long, home boolean")
     at = at.repartition("view", "anchor").sortWithinPartitions("view", "anchor")
