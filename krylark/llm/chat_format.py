@@ -92,21 +92,27 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         return pa.RecordBatch.from_arrays([conv.take(pa.array(first)), pa.array(last - first), text, pa.ListArray.from_arrays(pa.array(ends), spans).cast(span_type)], names=["conv", "n_turns", "formatted", "loss_spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.Table] = []  # parts of one conversation
         for b in batches:
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
-            t = pa.concat_tables([held, t]) if held is not None else t
-            conv = t.column("conv").to_pylist()
-            cut = len(conv) - 1
-            while cut > 0 and conv[cut - 1] == conv[-1]:
+            conv = b.column(0)
+            goes_on = bool(held) and conv[0].as_py() == held[0].column(0)[0].as_py()
+            if goes_on and conv[len(conv) - 1].as_py() == conv[0].as_py():
+                held.append(t)  # rows are sorted, so the whole batch goes on with the same conversation
+                continue
+            t = pa.concat_tables([*held, t])
+            ids = conv.to_pylist()
+            cut = len(ids) - 1
+            while cut > 0 and ids[cut - 1] == ids[-1]:
                 cut -= 1
-            held = t.slice(cut)  # the last conversation may go on in the next batch
+            cut += t.num_rows - len(ids)
             if cut:
                 yield emit(t.slice(0, cut))
-        if held is not None:
-            yield emit(held)
+            held = [t.slice(cut)]  # the last conversation may go on in the next batch
+        if held:
+            yield emit(pa.concat_tables(held))
 
     df = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     df = df.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
