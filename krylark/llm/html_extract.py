@@ -79,9 +79,12 @@ class _Page:
                 path.pop()
                 hidden -= off.pop()
 
-        end = len(html)
+        end, last = len(html), html.rfind(">")
         while at < end:
-            m = MARKUP.search(html, at)
+            m = MARKUP.search(html, at) if at <= last else re.compile(r"<[!?].*", re.S).search(html, at)  # no tag can end any more
+            if m and not m.re.groups:
+                end = m.start()
+                m = None
             stop = m.start() if m else end
             if stop > at and not hidden:
                 self.nodes.append((html[at:stop], path[-1], stack[-1], block))
