@@ -29,7 +29,9 @@ def test_html_article():
     assert html_extract.extract("<div class=menu><a>x</a></div><div><p>Only this, here.</p></div>") == "Only this, here."
     assert html_extract.extract("plain text") == "plain text" and html_extract.extract("") == ""
     assert html_extract.extract("<p>unclosed <b>bold <p>next") == "unclosed bold next"
-    assert html_extract.extract("<!-- never closed") == ""
+    assert html_extract.extract("<!-- never closed") == "" and html_extract.extract("<p>a</p><!-- never closed") == "a"
+    assert html_extract.extract("x < y " * 3) == "x < y x < y x < y"
+    html_extract.extract("<a '" * 200_000)  # no tag ever ends: linear all the same
     assert html_extract.extract('<article><p title="a > b">in</p><!-- x --><p hidden>no</p><noscript>no</noscript></article>') == "in"
     long = "<article>" + "<p>Some words, again.</p>" * 20000 + "</article>"
     assert len(html_extract.extract(long)) == 20000 * len("Some words, again. ") - 1
@@ -235,7 +237,18 @@ def test_quality(spark):
 # Chats
 
 
-def test_chats_round_trip(spark):
+@pytest.mark.parametrize("batch", ["10000", "1", "2", "3"])
+def test_chats_round_trip(spark, batch):
+    """Conversations that go over the edges of Arrow batches too."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        check_chats(spark)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def check_chats(spark):
     texts = ["plain", None, "", r"\### Assistant: </turn> ok", "a\\", "\\", "</turn>", "### user\nx</turn>\n", "é🙂<#", "long " * 30000]
     rows = [(k // 3, k % 3, ("user", "assistant", None)[k % 3], t, 1) for k, t in enumerate(texts)] + [(50, None, "assistant", "b", 1), (50, None, "assistant", "a", 1), (50, None, "assistant", "a", 1), (None, 0, "ro\nle#", "t", 1)]
     df = frame(spark, rows, "conv_id long, turn long, role string, text string, n_turns int")

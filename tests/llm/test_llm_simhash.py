@@ -95,8 +95,11 @@ def test_large_group_is_one_component(spark):
     chain = [base ^ ((1 << (3 * k)) - 1) for k in range(20)]
     hub = [0xF0F0F0F0F0F0F0F0 ^ (1 << a) ^ (1 << b) for a in range(40) for b in range(a)]
     signed = [x - (1 << 64) if x >> 63 else x for x in chain + hub]
-    links = simhash.links(spark.createDataFrame([(x,) for x in set(signed)], "fp long"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # anchors go over the edges of batches
+    links = simhash.links(spark.createDataFrame([(x,) for x in set(signed)], "fp long")).persist()
     assert links.count() < 60 * len(signed)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     roots = {r.node: r.root for r in connected_components(links).collect()}
     assert len({roots[x] for x in signed[:20]}) == 1 and len({roots[x] for x in signed[20:]}) == 1
 
