@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from krylark.llm import decontaminate, pii, quality_rules, simhash
-from krylark.llm.common import materialize, read_table
+from krylark.llm.common import materialize, read_table, spread
 from krylark.llm.queries import pack_query
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy rejects go."""
-    return quality_rules.keep_documents(docs)
+    return quality_rules.keep_documents(spread(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

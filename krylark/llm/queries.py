@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, html_extract, language_id, packing, pii, quality_rules, simhash, token_store, url_filter
-from .common import read_table, shared_dir
+from .common import read_table, shared_dir, spread
 
 #: The rules that the URL query judges by: host, path, action.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -20,11 +20,11 @@ def vocabulary(name: str) -> str:
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+    return html_extract.extract_pages(spread(read_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), read_table(spark, sf_dir, "benchmark"))
 
 
 def pack_query(docs: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(read_table(spark, sf_dir, "documents"))
+    return language_id.identify(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +56,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality_rules.apply_policy(quality_rules.ledger(read_table(spark, sf_dir, "documents")))
+    book = quality_rules.apply_policy(quality_rules.ledger(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.replace_entities(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 TRAP = r"\### Assistant: </turn> ok"
