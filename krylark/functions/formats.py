@@ -108,6 +108,17 @@ def from_bsr(blocks: DataFrame, k: int) -> DataFrame:
     return cells.select((F.col("br") * k + F.floor(F.col("at") / k)).alias("r"), (F.col("bc") * k + F.col("at") % k).alias("c"), "v")
 
 
+def block_slots(a: SparseMatrix, k: int) -> DataFrame:
+    """(r, c, br, bc, at): the place of every stored entry in its block, to be kept while only values change."""
+    return a.df.select("r", "c", F.floor(F.col("r") / k).alias("br"), F.floor(F.col("c") / k).alias("bc"), (F.col("r") % k * k + F.col("c") % k).cast("int").alias("at"))
+
+
+def refresh_blocks(slots: DataFrame, values: DataFrame, k: int) -> DataFrame:
+    """(br, bc, blk) for new values (r, c, v) on kept slots."""
+    cells = slots.join(values.select("r", "c", "v"), ["r", "c"]).groupBy("br", "bc").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))
+    return cells.select("br", "bc", F.expr(f"transform(sequence(0, {k * k - 1}), i -> coalesce(m[i], 0.0D))").alias("blk"))
+
+
 def convert(a: SparseMatrix, form: str, k: int = 1) -> DataFrame:
     """csr, csc, coo, lil, dok or bsr."""
     forms = {"coo": lambda: a.df, "csr": lambda: to_csr_rows(a.df), "lil": lambda: to_csr_rows(a.df), "csc": lambda: to_csc_columns(a.df), "dok": lambda: a.df.select(F.struct("r", "c").alias("key"), "v"), "bsr": lambda: to_bsr(a, k)}

@@ -79,3 +79,30 @@ def validate_partition(local: DataFrame, n_global: int, row_start: int, row_end:
 def gather_vector(x: DataFrame) -> list[float]:
     """All values at the driver, in order: the one sink that is meant to collect."""
     return [r.x for r in x.orderBy("i").select("x").collect()]
+
+
+def allgather(x: DataFrame, n: int) -> DataFrame:
+    """The whole vector beside every part: broadcast while its counted length allows it, else left to the join."""
+    from .algebra import _side
+
+    return _side(x, n)
+
+
+def allgather_adjoint(g: DataFrame, n: int, part: int, parts: int) -> DataFrame:
+    """What flows back to a part: its own slice."""
+    return partition_vector(g, n, part, parts)
+
+
+def partition_operator(op, part: int, parts: int):
+    """The rows of a part of an operator tree: global inputs, local outputs."""
+    from ..plans.linop import Move
+
+    size, extra = divmod(op.n, parts)
+    start = part * size + min(part, extra)
+    return Move(op, size + (part < extra), lambda o: o + start)
+
+
+def prepare(a: SparseMatrix, parts: int) -> dict:
+    """What repeated distributed solves need of a matrix, computed once: its dealt rows, halo plan and entry counts."""
+    rows = with_owner(a, parts, deal=True).persist()
+    return {"rows": rows, "halo": halo_plan(a, parts).persist(), "nnz": rows.groupBy("pid").agg(F.count("*").alias("nnz")).persist(), "transpose_nnz": transpose_nnz(a, parts).persist()}

@@ -236,6 +236,20 @@ def make_preconditioner(a: SparseMatrix, config: dict | None = None, *, block_di
     return lambda r: left.groupBy("batch").cogroup(r.toDF("i", "x").withColumn("batch", F.lit(0).cast("long")).groupBy("batch")).applyInPandas(task, "i long, x double")
 
 
+def as_operator(preconditioner: Callable[[DataFrame], DataFrame], n: int):
+    """A preconditioner as an operator tree's opaque node, one vector at a time."""
+    from ..plans.linop import Input, Opaque
+
+    def apply(x: DataFrame) -> DataFrame:
+        out = None
+        for row in x.select("batch").distinct().collect():  # a handful of vectors
+            part = preconditioner(x.where(F.col("batch") == row.batch).select("i", "x")).select(F.lit(row.batch).alias("batch"), "i", "x")
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    return Opaque(Input(n), n, apply)
+
+
 def gradient_descent(step: Callable[[Any], tuple[float, Any]], start: Any, rate: float, most: int, small: float, norm: Callable[[Any], float]) -> list[tuple[float, float, Any]]:
     """A driver loop of (loss, gradient norm, parameters); ``step`` gives loss and gradient."""
     out, theta = [], start

@@ -30,6 +30,32 @@ def read_matrix_market(spark: SparkSession, path: str) -> SparseMatrix:
     return matrix(entries, n, m, symmetric=symmetry == "symmetric")
 
 
+def unpack_archive(archive: str, cache_dir: str, name: str | None = None) -> str:
+    """Path of the ``.mtx`` file of a ``.tar.gz`` collection archive, unpacked into ``cache_dir`` once.
+
+    The file appears under its name only when it is whole; an archive without the matrix is an error.
+    """
+    import os
+    import shutil
+    import tarfile
+    import uuid
+
+    stem = name or os.path.basename(archive).removesuffix(".tar.gz")
+    target = os.path.join(cache_dir, f"{stem}.mtx")
+    if os.path.exists(target):
+        return target
+    os.makedirs(cache_dir, exist_ok=True)
+    with tarfile.open(archive, "r:gz") as tar:
+        member = next((m for m in tar if m.isfile() and os.path.basename(m.name) == f"{stem}.mtx"), None)
+        if member is None:
+            raise FileNotFoundError(f"{archive} has no {stem}.mtx")
+        temp = f"{target}.{uuid.uuid4().hex}.tmp"
+        with tar.extractfile(member) as source, open(temp, "wb") as out:
+            shutil.copyfileobj(source, out)
+    os.replace(temp, target)
+    return target
+
+
 def write_matrix_market(a: SparseMatrix, path: str) -> None:
     """One text part per partition below ``path``; the header goes to the first part, so the files read in order."""
     n, m = a.shape

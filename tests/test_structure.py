@@ -172,3 +172,37 @@ def test_warm_solves_over_a_stream(spark, tmp_path):
         q.awaitTermination(120)
         want = np.linalg.solve(dense(a), np.full(16, k + 1.0))
         assert np.allclose(seen[-1][0], want, atol=1e-8)
+
+
+def test_archives(spark, tmp_path):
+    import tarfile
+
+    (tmp_path / "toy.mtx").write_text("%%MatrixMarket matrix coordinate real general\n2 3 4\n1 1 2\n1 3 -1\n2 2 3\n2 3 4\n")
+    with tarfile.open(tmp_path / "toy.tar.gz", "w:gz") as tar:
+        tar.add(tmp_path / "toy.mtx", "toy/toy.mtx")
+    from krylark.sources.matrix_market import unpack_archive
+
+    path = unpack_archive(str(tmp_path / "toy.tar.gz"), str(tmp_path / "cache"))
+    assert (dense(read_matrix_market(spark, path)) == [[2, 0, -1], [0, 3, 4]]).all()
+    assert unpack_archive(str(tmp_path / "gone.tar.gz"), str(tmp_path / "cache"), "toy") == path
+    with pytest.raises(FileNotFoundError):
+        unpack_archive(str(tmp_path / "toy.tar.gz"), str(tmp_path / "cache"), "other")
+
+
+def test_blocks_refresh_and_operator_parts(spark):
+    from krylark.operators.solve import as_operator, make_preconditioner
+
+    a = gen.kron(gen.tridiagonal_matrix(spark, 4), formats.to_matrix(spark, [[2.0, 1.0], [0.0, 3.0]]))
+    twice = a.df.selectExpr("r", "c", "2 * v as v")
+    want = {(r.br, r.bc): r.blk for r in formats.to_bsr(matrix(twice, 8), 2).collect()}
+    assert {(r.br, r.bc): r.blk for r in formats.refresh_blocks(formats.block_slots(a, 2), twice, 2).collect()} == want
+    op = linop.tridiagonal_operator(7, 4.0)
+    rows = np.vstack([dense(matrix(linop.probe(spark, partition.partition_operator(op, k, 3).apply, 7), partition.partition_operator(op, k, 3).n, 7)) for k in range(3)])
+    assert np.allclose(rows, dense(gen.tridiagonal_matrix(spark, 7, 4.0)))
+    kept = partition.prepare(a, 3)
+    assert sum(r.nnz for r in kept["nnz"].collect()) == a.nnz() == sum(r.nnz for r in kept["transpose_nnz"].collect())
+    x = gen.rhs_linear(spark, 7)
+    assert partition.allgather(x, 7).count() == 7 and partition.allgather_adjoint(x, 7, 0, 3).count() == 3
+    p = as_operator(make_preconditioner(gen.tridiagonal_matrix(spark, 7, 4.0), {"solver": "DENSE_LU_SOLVER"}), 7)
+    inverse = dense(matrix(linop.probe(spark, p.apply, 7), 7))
+    assert np.allclose(inverse, np.linalg.inv(dense(gen.tridiagonal_matrix(spark, 7, 4.0))))
