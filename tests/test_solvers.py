@@ -160,3 +160,70 @@ def test_preconditioner_and_cache(spark):
     solve(SparseMatrix(a.df.selectExpr("r", "c", "2 * v as v"), a.meta), r, reuse_setup=True)
     clear_cache()
     assert cache_info()["size"] == 0
+
+
+def _tri(n, d):
+    return LocalSpace(n, *zip(*[(i, j, d if i == j else -1.0) for i in range(n) for j in (i - 1, i, i + 1) if 0 <= j < n]))
+
+
+def _cg(sp, b):
+    return run(sp, b, np.zeros(sp.n), {"solver": "CG", "tolerance": 1e-10, "max_iters": 500})[0]
+
+
+def test_descent_over_the_right_hand_side():
+    """The adjoint solve drives x to a target: losses, gradient norms and the step count of the published run."""
+    from krylark.operators.solve import gradient_descent
+
+    sp, target = _tri(64, 4.0), np.linspace(0, 1, 64)
+
+    def step(b):
+        gap = _cg(sp, b) - target
+        return float(gap @ gap), _cg(sp, 2 * gap)
+
+    log = gradient_descent(step, np.ones(64), 1.0, 100, 1e-3, lambda g: float(np.linalg.norm(g)))
+    assert len(log) == 56
+    for (loss, norm, _), want in zip(log, ((5.5413, 2.2774), (1.5938, 1.1939), (0.5020, 0.6397))):
+        assert (loss, norm) == pytest.approx(want, abs=1e-4)
+
+
+def test_descent_over_a_matrix_parameter():
+    from krylark.operators.solve import gradient_descent
+
+    b = np.ones(64)
+    target = _cg(_tri(64, 4.0), b)
+
+    def step(d):
+        sp = _tri(64, d)
+        x = _cg(sp, b)
+        adjoint = _cg(sp, 2 * (x - target) / 64)
+        return float(np.mean((x - target) ** 2)), float(-adjoint @ x)
+
+    log = gradient_descent(step, 8.0, 2.0, 100, 1e-3, abs)
+    assert len(log) == 86
+    assert log[0][:2] == pytest.approx((0.1082, 0.0181), abs=1e-4)
+    assert log[-1][2] - 2.0 * step(log[-1][2])[1] == pytest.approx(4.0049, abs=1e-4)
+
+
+def test_published_solutions():
+    cases = ((poisson(4), [0.8333334, 1.1666667, 1.1666667, 0.8333334]), (poisson(4, 0.5), [0.5736315, 0.8630174, 0.95168453, 0.7778139]), (poisson(32), [2.0437262, 3.587453, 4.8288155]), (poisson(32, 2.0), [0.25, 0.375, 0.4375]))
+    for sp, want in cases:
+        x, stop = run(sp, np.ones(sp.n), np.zeros(sp.n), {"solver": "PBICGSTAB", "preconditioner": {"solver": "AMG"}, "tolerance": 1e-10, "max_iters": 200})
+        assert stop.status == Status.SUCCESS
+        np.testing.assert_allclose(x[:len(want)], want, rtol=1e-6)
+
+
+def test_blocks_need_block_relaxations():
+    """The coupled system of a Poisson grid and [[2, 1], [1, 2]]: block Jacobi needs no more steps than point Jacobi."""
+    p, m = poisson(8), np.array([[2.0, 1.0], [1.0, 2.0]])
+    r, c = (np.repeat(x, 4) * 2 + np.tile(y, len(x)) for x, y in ((p.r, [0, 0, 1, 1]), (p.c, [0, 1, 0, 1])))
+    sp = LocalSpace(128, r, c, np.repeat(p.v, 4) * np.tile(m.ravel(), len(p.v)))
+    b = np.linspace(0.5, 1.5, 128)
+    steps = {}
+    for k in (1, 2):
+        x, stop = run(sp, b, np.zeros(128), {"solver": "BLOCK_JACOBI", "block_dim": k, "tolerance": 1e-8, "max_iters": 3000})
+        steps[k] = stop.iterations if stop.status == Status.SUCCESS else 10**6
+        if k == 2:
+            np.testing.assert_allclose(x, np.linalg.solve(sp.dense(), b), rtol=1e-5)
+    assert steps[2] <= steps[1]
+    x, stop = run(sp, b, np.zeros(128), {"solver": "PBICGSTAB", "block_dim": 2, "preconditioner": {"solver": "AMG", "algorithm": "AGGREGATION", "selector": "SIZE_2", "min_coarse_rows": 16}, "tolerance": 1e-10})
+    assert stop.status == Status.SUCCESS and stop.iterations < 30
