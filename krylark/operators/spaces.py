@@ -10,6 +10,9 @@ shuffle, after which the table is checkpointed.
 from __future__ import annotations
 
 import itertools
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -76,6 +79,25 @@ class LocalSpace:
         return out
 
 
+@contextmanager
+def fixed_plan(spark: SparkSession, parts: int) -> Iterator[None]:
+    """Plans made inside keep their partitioning: an adaptive plan would not tell how its checkpoint is dealt, and every
+    product would shuffle the vectors again."""
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(parts)}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+class Vec(str):
+    """The name of a vector's column; the column goes once nothing refers to the name any more."""
+
+
 class TableSpace:
     """Vectors are names of columns of ``self.table``, which is dealt by ``i`` and checkpointed at every product with A."""
 
@@ -87,24 +109,37 @@ class TableSpace:
             import tempfile
 
             self.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="krylark-"))
-        self.a = a.df.repartition(self.parts, "c").persist()
+        with fixed_plan(self.spark, self.parts):
+            self.a = a.df.repartition(self.parts, "c").persist()
         table = self.spark.range(self.n).toDF("i")
         for name, x in columns.items():
             table = table.join(x.toDF("i", name), "i", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
-        self.table = table.repartition(self.parts, "i").checkpoint()
         self._names = (f"w{k}" for k in itertools.count())
+        self._dead: set[str] = set()
+        self.table = self._kept(table.repartition(self.parts, "i"))
+
+    def _handle(self, name: str) -> Vec:
+        out = Vec(name)
+        weakref.finalize(out, self._dead.add, name)
+        return out
+
+    def _kept(self, table: DataFrame) -> DataFrame:
+        if dead := [c for c in table.columns if c in self._dead]:
+            table = table.drop(*dead)
+        with fixed_plan(self.spark, self.parts):
+            return table.checkpoint()
 
     def _put(self, expression) -> str:
         name = next(self._names)
         self.table = self.table.withColumn(name, expression)
-        return name
+        return self._handle(name)
 
     def mul(self, x: str) -> str:
         name = next(self._names)
         side = self.table.select(F.col("i").alias("j"), F.col(x).alias("xj"))
         product = self.a.join(side, F.col("c") == F.col("j")).groupBy("r").agg(F.sum(F.col("v") * F.col("xj")).alias(name)).withColumnRenamed("r", "i")
-        self.table = self.table.join(product, "i", "left").withColumn(name, F.coalesce(name, F.lit(0.0))).checkpoint()
-        return name
+        self.table = self._kept(self.table.join(product, "i", "left").withColumn(name, F.coalesce(name, F.lit(0.0))))
+        return self._handle(name)
 
     def lin(self, *terms: tuple[float, str]) -> str:
         return self._put(sum((F.lit(float(k)) * F.col(x) for k, x in terms[1:]), F.lit(float(terms[0][0])) * F.col(terms[0][1])))
@@ -127,8 +162,8 @@ class TableSpace:
 
     def _per_row(self, expression, name: str) -> str:
         sums = self.a.groupBy("r").agg(F.sum(expression).alias(name)).withColumnRenamed("r", "i")
-        self.table = self.table.join(sums, "i", "left").withColumn(name, F.coalesce(name, F.lit(0.0))).checkpoint()
-        return name
+        self.table = self._kept(self.table.join(sums, "i", "left").withColumn(name, F.coalesce(name, F.lit(0.0))))
+        return self._handle(name)
 
     def diagonal(self) -> str:
         return self._per_row(F.when(F.col("r") == F.col("c"), F.col("v")).otherwise(0.0), next(self._names))

@@ -437,7 +437,7 @@ for _name, _solver, _inner in (
 @query(LAP_SOLUTION)
 def solve_table_cg(spark, sf):
     """The same system by the loop over distributed tables."""
-    x, _ = solving.solve(laplacian(spark, sf), prices(spark, sf), None, {"solver": "PCG", "preconditioner": "BLOCK_JACOBI", **TIGHT, "tolerance": 1e-10}, strategy="table", num_partitions=8)
+    x, _ = solving.solve(laplacian(spark, sf), prices(spark, sf), None, {"solver": "PCG", "preconditioner": "BLOCK_JACOBI", **TIGHT, "tolerance": 1e-10}, strategy="table", num_partitions=4)
     return rounded(x, "x", digits=6)
 
 
