@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_type
+from .common import column_type, materialize
 
 ORDER = 4
 #: The classifier is fitted on at most so many labelled rows of each language, those with the least hash of the id.
@@ -154,7 +154,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("train_id"), F.col(lang_col).alias("train_lang")).withColumn("key", F.xxhash64("train_id"))
     # about four times as many rows as wanted lie below a language's cut, whatever the size of the corpus
     span = float(1 << 64)
+    # (a row a language, written so that its size is known when the join is planned)
     cuts = labelled.groupBy("train_lang").agg(F.count("*").alias("n")).select(F.col("train_lang").alias("cut_lang"), (F.least(F.lit(1.0), 4.0 * rows / F.col("n")) * span - span / 2).alias("cut"))
+    cuts = materialize(cuts)
     few = labelled.join(cuts, F.col("train_lang") == F.col("cut_lang")).where(F.col("key").cast("double") <= F.col("cut"))
     first = Window.partitionBy("train_lang").orderBy("key", "train_id")
     ids = few.withColumn("place", F.row_number().over(first)).where(F.col("place") <= rows).select("train_id", "train_lang").distinct()
