@@ -1,10 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are lower-cased and stripped of outer punctuation; numbers, names and units become typed placeholders.
-Windows of eight canonical words are hashed on both sides.  A bit set of fixed size built from the benchmark lets a
+Windows of eight canonical words are hashed on both sides, in two forms: the template, and the folded form, in which
+names stand literally and without case, since a copy in capitals or lower case has no names to see.  A bit set of fixed size built from the benchmark lets a
 scan of the documents pass only windows that may match; those are hash-joined to the benchmark's.  On every
 alignment of a document with an item the placeholders' values must map one to one, and an item counts when such
-alignments cover half of its windows, so a question with other numbers and names is caught and loose overlap is not.
+alignments, in either form, cover half of its windows, so a question with other numbers and names is caught and loose overlap is not.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ PLAIN = frozenset("a an the this that these those there here it its he she they
 NUMERIC = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|[a-zµ°/²³]{1,8})?")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "$%+-") + "“”„‘’«»…–—¿¡"
 SLOTS = {"num": np.uint64(0x9E3779B97F4A7C15), "unit": np.uint64(0xC2B2AE3D27D4EB4F), "name": np.uint64(0x165667B19E3779F9)}
+#: Kinds that stand literally in a form; the others are placeholders.
+FORMS = {"template": ("word",), "folded": ("word", "name")}
 _FACTORS = np.array([pow(0x2545F4914F6CDD1D, k + 1, 1 << 64) for k in range(WIDTH)], np.uint64)
 
 
@@ -53,48 +56,71 @@ def canonical(word: str) -> tuple[str, str]:
 
 
 class Codes(dict):
-    """Stable 64-bit codes of words; zero for what is dropped, odd for placeholders."""
+    """Places of words in a table of stable 64-bit codes, a row for each form; zero for what is dropped, odd for placeholders."""
 
     LIMIT = 500_000
 
+    def __init__(self) -> None:
+        self.table = np.zeros((len(FORMS), 1 << 12), np.uint64)
+
     def __missing__(self, word: str) -> int:
         from xxhash import xxh64_intdigest
 
         kind, value = canonical(word)
-        code = 0 if not value else int(SLOTS[kind]) | 1 if kind != "word" else xxh64_intdigest(value) & ~1 or 2
+        at = self[word] = len(self)
+        if at >= self.table.shape[1]:
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+        for row, literal in enumerate(FORMS.values()):
+            text = value.casefold() if row else value
+            self.table[row, at] = 0 if not value else int(SLOTS[kind]) | 1 if kind not in literal else xxh64_intdigest(text) & ~1 or 2
+        return at
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The codes of ``words``, a row for each form."""
         if len(self) >= self.LIMIT:
             self.clear()
-        self[word] = code
-        return code
-
-
-def windows(docs: list[str], codes: Codes, widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, tuple]]:
-    """Per width: (width, hashes, document of each window, place of its first word, all words, the places of those kept, their codes)."""
+        places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.table[:, places]
+
+
+def _hashes(code: np.ndarray, width: int, form: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of placeholders) of every run of ``width`` words."""
+    n = code.shape[-1] - width + 1
+    h = np.full(n, np.uint64(width + 64 * form))
+    slots = np.zeros(n, np.int8)
+    for k in range(width):
+        part = code[k:k + n]
+        h += part * _FACTORS[k]
+        slots += (part & np.uint64(1)).astype(np.int8)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h, slots
+
+
+def windows(docs: list[str], codes: Codes, widths: list[int]) -> Iterator[tuple[int, np.ndarray, list[tuple], tuple]]:
+    """Per width: (width, document of each place, a (hashes, places of first words, codes) for each form, (all words, the places of those kept))."""
     words = [t.split() for t in docs]
     flat = [w for d in words for w in d]
-    code = np.fromiter(map(codes.__getitem__, flat), np.uint64, len(flat))
+    code = codes.of(flat)
     owner = np.repeat(np.arange(len(docs)), [len(d) for d in words])
-    kept = np.flatnonzero(code)
-    code, owner = code[kept], owner[kept]
+    kept = np.flatnonzero(code[0])
+    code, owner = code[:, kept], owner[kept]
     for width in widths:
-        n = len(code) - width + 1
+        n = len(kept) - width + 1
         if n <= 0:
             continue
-        h = np.full(n, np.uint64(width))
-        slots = np.zeros(n, np.int8)
-        for k in range(width):
-            part = code[k:k + n]
-            h += part * _FACTORS[k]
-            slots += (part & np.uint64(1)).astype(np.int8)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        good = np.flatnonzero((owner[:n] == owner[width - 1:]) & (width - slots >= (width + 1) // 2))
-        yield width, h[good], owner[good], good, (flat, kept, code)
-
-
-def _slot_values(words: tuple, at: int, width: int) -> list[str]:
-    flat, kept, code = words
+        inside = owner[:n] == owner[width - 1:]
+        found = []
+        for form in range(len(FORMS)):
+            h, slots = _hashes(code[form], width, form)
+            good = np.flatnonzero(inside & (width - slots >= (width + 1) // 2))
+            found.append((h[good], good, code[form]))
+        yield width, owner[:n], found, (flat, kept)
+
+
+def _slot_values(words: tuple, code: np.ndarray, at: int, width: int) -> list[str]:
+    flat, kept = words
     out = []
     for i in range(at, at + width):
         if code[i] & np.uint64(1):
@@ -104,8 +130,9 @@ def _slot_values(words: tuple, at: int, width: int) -> list[str]:
 
 
 def _scan(df: DataFrame, id_type, widths: list[int] | None, table: bytes | None) -> DataFrame:
-    """(id, at, hash, slots, of, width) of the windows of (id, text); ``of``: how many the whole text has.
+    """(id, at, form, hash, slots, plain, of, of_plain, width) of the windows of (id, text).
 
+    ``plain``: the window has a template; ``of``, ``of_plain``: how many windows, and how many plain ones, the whole text has.
     ``widths`` None: each text has windows of its own width, its length if that is less than ``WIDTH``.
     """
 
@@ -116,30 +143,34 @@ def _scan(df: DataFrame, id_type, widths: list[int] | None, table: bytes | None)
             for start in range(0, b.num_rows, 256):
                 part = b.slice(start, 256)
                 bodies = texts(part.column(1))
-                who, at, found, slots, of, wide = [], [], [], [], [], []
+                ids, out = [], [[] for _ in range(8)]
                 groups = [(widths, list(range(len(bodies))))]
                 if widths is None:
-                    size = [sum(codes[w] != 0 for w in t.split()) for t in bodies]
+                    size = [int(np.count_nonzero(codes.of(t.split())[0])) for t in bodies]
                     groups = [([k], [i for i, n in enumerate(size) if min(n, WIDTH) == k]) for k in range(LEAST_WIDTH, WIDTH + 1)]
                 for use, chosen in groups:
                     if not chosen:
                         continue
-                    for width, h, owner, first, words in windows([bodies[i] for i in chosen], codes, use):
-                        count = np.bincount(owner, minlength=len(chosen))
-                        if bits is not None:
-                            cell = h >> np.uint64(64 - FILTER_BITS)
-                            maybe = np.flatnonzero(bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1)
-                            h, owner, first = h[maybe], owner[maybe], first[maybe]
-                        who.extend(chosen[o] for o in owner.tolist())
-                        at.extend(first.tolist())
-                        found.append(h.view(np.int64))
-                        of.extend(count[owner].tolist())
-                        wide.extend([width] * len(owner))
-                        slots.extend(_slot_values(words, f, width) for f in first.tolist())
-                ids = part.column(0).take(pa.array(who, pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int64()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), pa.array(slots, pa.list_(pa.string())), pa.array(of, pa.int32()), pa.array(wide, pa.int32())], names=["id", "at", "hash", "slots", "of", "width"])
-
-    return df.mapInArrow(run, f"id {id_type.simpleString()}, at long, hash long, slots array<string>, of int, width int")
+                    for width, owner, forms, words in windows([bodies[i] for i in chosen], codes, use):
+                        plain, some = np.zeros(len(owner), bool), np.zeros(len(owner), bool)
+                        plain[forms[0][1]] = True
+                        for _, first, _ in forms:
+                            some[first] = True
+                        of, of_plain = (np.bincount(owner[x], minlength=len(chosen)) for x in (some, plain))
+                        for form, (h, first, code) in enumerate(forms):
+                            if bits is not None:
+                                cell = h >> np.uint64(64 - FILTER_BITS)
+                                maybe = np.flatnonzero(bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1)
+                                h, first = h[maybe], first[maybe]
+                            who = owner[first]
+                            ids.extend(chosen[o] for o in who.tolist())
+                            values = [_slot_values(words, code, f, width) for f in first.tolist()]
+                            for column, x in zip(out, (first, [form] * len(h), h.view(np.int64), values, plain[first], of[who], of_plain[who], [width] * len(h))):
+                                column.extend(x if isinstance(x, list) else x.tolist())
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ids, pa.int32())), *map(pa.array, out, types)], names=["id", "at", "form", "hash", "slots", "plain", "of", "of_plain", "width"])
+
+    return df.mapInArrow(run, f"id {id_type.simpleString()}, at long, form int, hash long, slots array<string>, plain boolean, of int, of_plain int, width int")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cover: float = COVER) -> DataFrame:
@@ -154,23 +185,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     widths = sorted(r.width for r in bench.select("width").distinct().collect())
     schema_id = column_type(docs, id_col)
     hits = _scan(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), schema_id, widths or [WIDTH], table.tobytes())
-    right = bench.select(F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("hash").alias("item_hash"), F.col("slots").alias("item_slots"), "of")
+    right = bench.select(F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("hash").alias("item_hash"), F.col("slots").alias("item_slots"), F.struct(F.col("at").alias("at"), "plain").alias("place"), F.struct("of", "of_plain").alias("size"))
     if n <= BROADCAST_WINDOWS:
         right = F.broadcast(right)
-    met = hits.drop("of", "width").join(right, (F.col("hash") == F.col("item_hash")) & (F.size("slots") == F.size("item_slots")))
-    met = met.select("id", "item", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "of", F.arrays_zip("item_slots", "slots").alias("pairs"))
-    # an alignment has at most as many rows as the item has windows
-    aligned = met.groupBy("id", "item", "shift").agg(
-        F.collect_set("item_at").alias("places"),
-        F.first("of").alias("of"),
+    met = hits.select("id", "at", "form", "hash", "slots").join(right, (F.col("hash") == F.col("item_hash")) & (F.size("slots") == F.size("item_slots")))
+    met = met.select("id", "item", (F.col("at") - F.col("item_at")).alias("shift"), "form", "place", "size", F.arrays_zip("item_slots", "slots").alias("pairs"))
+    # an alignment has at most as many rows as the item has windows; each form is judged alone
+    aligned = met.groupBy("id", "item", "shift", "form").agg(
+        F.collect_set("place").alias("places"),
+        F.first("size").alias("size"),
         F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
     )
     n_item, n_doc = (F.expr(f"size(array_distinct(transform(pairs, p -> p.{side})))") for side in ("item_slots", "slots"))
     one_to_one = aligned.where(4 * F.size("pairs") <= 5 * F.least(n_item, n_doc))
-    return (
-        one_to_one.select("id", "item", "of", F.explode("places").alias("place")).groupBy("id", "item").agg((F.countDistinct("place") / F.first("of")).alias("cover"))
-        .where(F.col("cover") >= cover).select(F.col("id").alias(id_col), "item", "cover")
-    )
+    placed = one_to_one.select("id", "item", "size", F.explode("places").alias("place"))
+    # of all windows or of those with a template, whichever is more: values that differ hide the others
+    share = F.greatest(F.countDistinct("place") / F.first("size.of"), F.countDistinct(F.when(F.col("place.plain"), F.col("place"))) / F.nullif(F.first("size.of_plain"), F.lit(0)))
+    return placed.groupBy("id", "item").agg(share.alias("cover")).where(F.col("cover") >= cover).select(F.col("id").alias(id_col), "item", "cover")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cover: float = COVER) -> DataFrame:

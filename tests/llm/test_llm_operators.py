@@ -128,6 +128,15 @@ def test_templates(spark):
     assert decontaminate.decontaminate(df.where("false"), bench).count() == 0
 
 
+def test_copies_in_another_case(spark):
+    item = "When Doesbo Marten met Straße Olga near Lake Garda, Olga told Marten that Doesbo lost Garda twice."
+    bench = frame(spark, [(1, item)], "item_id long, text string")
+    rows = [(1, item), (2, item.lower()), (3, f"BEFORE {item.upper()} AFTER"), (4, item.title()), (5, "when other people met near the water, nobody told them that somebody lost it twice.")]
+    got = decontaminate.decontaminate(frame(spark, rows, "doc_id long, text string"), bench).collect()
+    assert {r.doc_id for r in got if r.contaminated} == {1, 2, 3, 4} and all(r.cover <= 1 for r in got)
+    assert {r.doc_id: r.cover for r in got}[3] == 1
+
+
 def test_decontamination_finds_what_substring_search_finds(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
