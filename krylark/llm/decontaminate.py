@@ -2,7 +2,8 @@
 
 Words are lower-cased and stripped of outer punctuation; numbers, names and units become typed placeholders.
 Windows of eight canonical words are hashed on both sides, in two forms: the template, and the folded form, in which
-names stand literally and without case, since a copy in capitals or lower case has no names to see.  A bit set of fixed size built from the benchmark lets a
+names stand literally and without case, since a copy in capitals or lower case has no names to see.  A window most of
+whose words are placeholders even then, and an item of fewer than five words, is hashed by its literal words.  A bit set of fixed size built from the benchmark lets a
 scan of the documents pass only windows that may match; those are hash-joined to the benchmark's.  On every
 alignment of a document with an item the placeholders' values must map one to one, and an item counts when such
 alignments, in either form, cover half of its windows, so a question with other numbers and names is caught and loose overlap is not.
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import column_type, materialize, texts
 
+#: Words in a window, and the fewest that have a template.
 WIDTH, LEAST_WIDTH = 8, 5
 #: Share of an item's windows that must be found.
 COVER = 0.5
@@ -36,7 +38,7 @@ NUMERIC = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|[a-zµ°/²³]{1,8})?")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "$%+-") + "“”„‘’«»…–—¿¡"
 SLOTS = {"num": np.uint64(0x9E3779B97F4A7C15), "unit": np.uint64(0xC2B2AE3D27D4EB4F), "name": np.uint64(0x165667B19E3779F9)}
 #: Kinds that stand literally in a form; the others are placeholders.
-FORMS = {"template": ("word",), "folded": ("word", "name")}
+FORMS = {"template": ("word",), "folded": ("word", "name"), "literal": ("word", "name", "num", "unit")}
 _FACTORS = np.array([pow(0x2545F4914F6CDD1D, k + 1, 1 << 64) for k in range(WIDTH)], np.uint64)
 
 
@@ -111,10 +113,15 @@ def windows(docs: list[str], codes: Codes, widths: list[int]) -> Iterator[tuple[
         if n <= 0:
             continue
         inside = owner[:n] == owner[width - 1:]
-        found = []
-        for form in range(len(FORMS)):
+        found, rest = [], inside
+        for form, name in enumerate(FORMS):
             h, slots = _hashes(code[form], width, form)
-            good = np.flatnonzero(inside & (width - slots >= (width + 1) // 2))
+            if name == "literal":
+                good = rest
+            else:
+                good = inside & (width - slots >= (width + 1) // 2) & (width >= LEAST_WIDTH)
+                rest = rest & ~good
+            good = np.flatnonzero(good)
             found.append((h[good], good, code[form]))
         yield width, owner[:n], found, (flat, kept)
 
@@ -147,7 +154,7 @@ def _scan(df: DataFrame, id_type, widths: list[int] | None, table: bytes | None)
                 groups = [(widths, list(range(len(bodies))))]
                 if widths is None:
                     size = [int(np.count_nonzero(codes.of(t.split())[0])) for t in bodies]
-                    groups = [([k], [i for i, n in enumerate(size) if min(n, WIDTH) == k]) for k in range(LEAST_WIDTH, WIDTH + 1)]
+                    groups = [([k], [i for i, n in enumerate(size) if min(n, WIDTH) == k]) for k in range(1, WIDTH + 1)]
                 for use, chosen in groups:
                     if not chosen:
                         continue
@@ -208,7 +215,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Per row of ``docs``: id, ``contaminated``, ``n_items``, ``items`` (sorted) and the greatest ``cover``.
 
     Null and empty texts hold nothing; rows that share an id share the verdict, null ids too; items of fewer than
-    five words, null ones and repeated ones add nothing; an empty benchmark leaves every document clean.  Other
+    five words count where they stand word for word; null ones, those without words and repeated ones add nothing; an empty benchmark leaves every document clean.  Other
     columns are ignored.
     """
     found = leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, cover).groupBy(F.col(id_col).alias("found_id")).agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("cover").alias("cover"))

@@ -137,6 +137,15 @@ def test_copies_in_another_case(spark):
     assert {r.doc_id: r.cover for r in got}[3] == 1
 
 
+def test_items_of_placeholders_and_of_few_words(spark):
+    items = ["What is 12 + 7 * 45 - 3 / 9 + 81 - 4 + 66?", "5 km 3 m 20 cm 7 mm 4 miles 12 yards 9 feet", "Anna Berta Clara Dora Emil Fritz Gustav Heinrich Ida", "Name the capital"]
+    bench = frame(spark, [*enumerate(items), (4, "..."), (5, "")], "item_id long, text string")
+    rows = [(k, f"some words before it: {t} and after") for k, t in enumerate(items)] + [(10 + k, t.upper()) for k, t in enumerate(items)]
+    rows += [(20, "What is 13 + 8 * 46 - 4 / 8 + 82 - 5 + 67?"), (21, "6 km 4 m 21 cm 8 mm 5 miles 13 yards 8 feet"), (22, "Otto Paula Quirin Rosa Sara Tim Ulf Vera Willi"), (23, "the capital has a name"), (24, "... ! ?"), (25, "")]
+    got = decontaminate.decontaminate(frame(spark, rows, "doc_id long, text string"), bench).collect()
+    assert {r.doc_id: r.items for r in got if r.contaminated} == {n + k: [k] for n in (0, 10) for k in range(4)}
+
+
 def test_decontamination_finds_what_substring_search_finds(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
