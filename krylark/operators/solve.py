@@ -70,6 +70,19 @@ def run(sp: Any, b: Any, x0: Any, options: dict, m: Callable | None = None) -> t
     return preconditioned_richardson(sp, b, x0, stop, one, options), stop
 
 
+def _only_local(scope: dict, given: bool) -> str | None:
+    """What of an outer scope runs in one task only; ``given``: the caller's own preconditioner takes the scope's place."""
+    name, inner = str(scope.get("solver", "PBICGSTAB")).upper(), scope.get("preconditioner")
+    if name not in ON_TABLES:
+        return name
+    if name == "BLOCK_JACOBI" and int(scope.get("block_dim", 1)) > 1:
+        return f"{name} with blocks"
+    if given or name not in KRYLOV or name in PLAIN or not inner:
+        return None
+    block = {"solver": inner} if isinstance(inner, str) else inner
+    return _only_local({"block_dim": scope.get("block_dim", 1), **block}, False) if block.get("solver") else None
+
+
 def _local_task(n: int, options: dict) -> Callable:
     def task(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         sp = LocalSpace(n, a["r"], a["c"], a["v"])
@@ -144,7 +157,8 @@ def solve(
 ) -> tuple[DataFrame, dict[str, Any]]:
     """(x, info): info has iterations, residual, status and residual_history (entry 0 is the initial residual).
 
-    ``strategy``: ``local`` (one task), ``table`` (a loop over distributed tables) or ``auto``, by the counted size.
+    ``strategy``: ``local`` (one task), ``table`` (a loop over distributed tables) or ``auto``, by the counted size; a method or
+    preconditioner that tables do not have raises there, and nothing takes its place.
     ``reuse_setup`` keeps the prepared matrix of a pattern; ``preconditioner`` maps a residual to a correction in the
     space where the solve runs.
     """
@@ -163,10 +177,9 @@ def solve(
         df = _SETUPS.get(key) or df
     if strategy == "auto":
         small = n <= LOCAL_ROWS and df.limit(LOCAL_ENTRIES + 1).count() <= LOCAL_ENTRIES
-        names = {str(scope["solver"]).upper()}
-        if not small and not names <= ON_TABLES:
-            raise ValueError(f"{names.pop()} needs a system of at most {LOCAL_ENTRIES} entries")
         strategy = "local" if small else "table"
+    if strategy == "table" and (name := _only_local(scope, preconditioner is not None)):
+        raise ValueError(f"{name} runs in one task only, for at most {LOCAL_ENTRIES} entries and {LOCAL_ROWS} rows")
     x_df, info = (_solve_local if strategy == "local" else _solve_table)(SparseMatrix(df, a.meta), b, x0, scope, num_partitions, preconditioner)
     if info["status"] == Status.FAILED:
         raise SolveError("the solver failed")
@@ -193,10 +206,6 @@ def _solve_local(a: SparseMatrix, b: DataFrame, x0: DataFrame | None, scope: dic
 
 
 def _solve_table(a: SparseMatrix, b: DataFrame, x0: DataFrame | None, scope: dict, parts: int | None, m: Callable | None) -> tuple[DataFrame, dict]:
-    inner = scope.get("preconditioner")
-    name = str(inner.get("solver", "") if isinstance(inner, dict) else inner or "").upper()
-    if name == "AMG":  # the hierarchy is local; on tables its smoother takes its place
-        scope = scope | {"preconditioner": {"solver": "CHEBYSHEV", "block_dim": 1}}
     sp = TableSpace(a, {"b": b} | ({"x0": x0} if x0 is not None else {}), parts)
     try:
         x, stop = run(sp, "b", "x0" if x0 is not None else sp.zero(), scope, (lambda r: m(sp, r)) if m else None)

@@ -98,6 +98,27 @@ def test_both_spaces_agree(spark):
         assert left.keys() == right.keys() and all(abs(left[k] - right[k]) < 1e-7 for k in left)
 
 
+@pytest.mark.parametrize("inner", [None, "AMG", {"solver": "AMG", "algorithm": "AGGREGATION"}, "MULTICOLOR_DILU", "MULTICOLOR_GS", "CF_JACOBI", {"solver": "PCG", "preconditioner": "MULTICOLOR_GS"}])
+def test_tables_replace_no_preconditioner(spark, monkeypatch, inner):
+    a, b = gen.poisson_matrix(spark, 4), gen.rhs_ones(spark, 16)
+    options = {"solver": "PBICGSTAB"} | ({"preconditioner": inner} if inner else {})
+    with pytest.raises(ValueError, match="one task only"):
+        solve(a, b, None, options, strategy="table", num_partitions=2)
+    assert solve(a, b, None, options)[1]["status"] == Status.SUCCESS
+    monkeypatch.setattr("krylark.operators.solve.LOCAL_ENTRIES", 10)
+    with pytest.raises(ValueError, match="one task only"):
+        solve(a, b, None, options)
+
+
+def test_tables_replace_no_blocks(spark):
+    a, b = gen.poisson_matrix(spark, 4), gen.rhs_ones(spark, 16)
+    for options in ({"solver": "PCG", "preconditioner": "BLOCK_JACOBI"}, {"solver": "BLOCK_JACOBI"}):
+        with pytest.raises(ValueError, match="with blocks"):
+            solve(a, b, None, options, strategy="table", num_partitions=2, block_dim=2)
+    _, info = solve(a, b, None, {"solver": "CG"}, strategy="table", num_partitions=2, block_dim=2)
+    assert info["status"] == Status.SUCCESS
+
+
 def test_status_warm_start_and_errors(spark):
     a, b = gen.tridiagonal_matrix(spark, 64), gen.rhs_ones(spark, 64)
     _, info = solve(a, b, None, {"solver": "CG", "max_iters": 1})
