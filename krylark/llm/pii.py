@@ -39,7 +39,7 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A document without any of these has no entity; the cheap test spares most texts the whole pattern.
-HINT = r"\d|@|(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)|(?<!\w)(?:" + "|".join(TITLES) + r")\.? \p{Lu}|(?<!\w)(?:" + _GIVEN_ANY + r") \p{Lu}"
+HINT = r"\d|@|AKIA|(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)|(?<!\w)(?:" + "|".join(TITLES) + r")\.? \p{Lu}|(?<!\w)(?:" + _GIVEN_ANY + r") \p{Lu}"
 SECRET_LEAD = r"^(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?:\s*[=:]\s*[\"']?))?"
 #: An even number of rounds leaves the halves in their places.
 ROUNDS = 4
