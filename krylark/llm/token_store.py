@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCache, rows, shared_dir, small_batches, texts
+from .common import by_bytes, shared_dir, small_batches, word_cache
 
 SEQ_LEN = 1024
 #: Sequences in an Arrow batch.
@@ -102,31 +102,28 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, keep_space: bool,
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
-    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        words = WordCache(tokenizer, keep_space)
+        words = word_cache(tokenizer, keep_space)
         kind = np.uint16 if max(words.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
-        end = np.array([end_id], kind)
         total = count = 0
-        index = None
         with Published(f"{folder}/tokens-{shard:06d}.arrow") as sink, Published(f"{folder}/index-{shard:06d}.arrow") as side:
             out, index = SequenceWriter(sink, seq_len, kind), pa.ipc.new_file(side, INDEX)
-            for b in rows(batches):
-                ids = [np.append(np.frombuffer(x, np.uint32).astype(kind), end) for x in words.encode(texts(b.column(1)))]
-                n = np.array([len(x) for x in ids], np.int64)
-                for x in ids:
-                    out.add(x)
-                starts = total + np.cumsum(n) - n
-                index.write_batch(pa.RecordBatch.from_arrays([b.column(0).fill_null(0), b.column(0).is_null(), pa.array(starts), pa.array(n)], schema=INDEX))
-                total, count = total + int(n.sum()), count + len(n)
+            for b in by_bytes(batches):
+                for at, ids, n in words.encode_column(b.column(1), end_id):
+                    out.add(ids.astype(kind, copy=False))
+                    starts = total + np.cumsum(n) - n
+                    doc = b.column(0).slice(at, len(n))
+                    index.write_batch(pa.RecordBatch.from_arrays([doc.fill_null(0), doc.is_null(), pa.array(starts), pa.array(n)], schema=INDEX))
+                    total, count = total + int(n.sum()), count + len(n)
             out.close()
             index.close()
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([count], pa.int64()), pa.array([total], pa.int64())], names=["shard", "documents", "tokens"])
 
     df = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).repartitionByRange("doc").sortWithinPartitions("doc", "text")
-    stats = df.mapInArrow(run, "shard int, documents long, tokens long").collect()
+    with small_batches(spark):
+        stats = df.mapInArrow(run, "shard int, documents long, tokens long").collect()
     return sorted((r.shard, r.documents, r.tokens) for r in stats)
 
 

@@ -83,9 +83,9 @@ def test_token_files(spark):
     assert token_store.read_documents(spark, folder, [s for s in none if s[1]]).count() == 0
 
 
-def test_windows_of_a_shard():
-    assert list(packing.capacities(2500, 1024)) == [1024, 1024, 256, 128, 64, 4] and packing.n_sequences(2500, 1024) == 6
-    assert list(packing.capacities(0, 1024)) == []
+def test_sequences_after_the_full_windows():
+    assert packing.tail_edges(2500, 1024) == [2048, 2304, 2432, 2496, 2500]
+    assert packing.tail_edges(2048, 1024) == [2048] and packing.tail_edges(0, 1024) == [0]
 
 
 def test_packing_edges(spark):
@@ -97,16 +97,40 @@ def test_packing_edges(spark):
 
 
 def test_deficits_carry_to_the_targets():
-    from collections import deque
-
-    sched = packing.RoundRobin({"a": 0.75, "b": 0.25}, {"a": 0.0, "b": 0.0}, 40_000, 1024, 32)
-    queues = {s: deque([[k, b"\0" * 4 * 500, 0, 500] for k in range(n)]) for s, n in (("a", 60), ("b", 20))}
-    share = {}
-    for doc, s, start, n, tokens, window, offset, ids in sched.run(queues):
-        assert len(ids) == 4 * n
-        share.setdefault(window, {"a": 0, "b": 0})[s] += n
-    full = [w for w in share.values() if sum(w.values()) == 1024]
-    assert len(full) == 39 and all(abs(w["a"] / 1024 - 0.75) < 0.1 for w in full[:-1])
+    total = 1_000_000
+    own = {"a": 749_990, "b": 250_000, "c": 10}
+    targets = packing.Targets(total)
+    before = dict.fromkeys(own, 0)
+    for out in range(0, total + 65_536, 65_536):
+        now = {s: targets.due(s, n, out) for s, n in own.items()}
+        assert all(now[s] >= before[s] and abs(now[s] - min(out / total, 1) * n) <= packing.MIN_PIECE for s, n in own.items())
+        who, size = packing.turns([now[s] - before[s] for s in own])
+        assert [int(size[who == k].sum()) for k in range(3)] == [now[s] - before[s] for s in own]
+        if size.sum() == 65_536:  # in every window's length of a round
+            out_at = np.cumsum(size)
+            for w in range(1, 65):
+                assert abs(size[(who == 0) & (out_at <= 1024 * w)].sum() / (1024 * w) - 0.75) < 0.05 or w < 10
+        before = now
+    assert before == own
+
+
+def test_weights_and_block_sizes(spark, sf_dir):
+    """Weights other than the corpus's: every window has them until a source runs out, and a task's memory changes no row."""
+    from collections import Counter, defaultdict
+
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("source", F.expr("case when doc_id % 2 = 0 then 'a' when doc_id % 3 = 0 then 'c' else 'b' end"))
+    got = [sorted(map(tuple, packing.pack(docs, vocabulary("byte_bpe_50k.json"), 0, True, weights={"a": 0.9, "b": 0.1, "none": 5.0}, block=block).collect())) for block in (1, 64)]
+    assert got[0] == got[1]
+    mix, total = defaultdict(Counter), Counter()
+    for _, source, _, length, _, sequence, _, _ in got[0]:
+        mix[sequence][source] += length
+        total[source] += length
+    lasts = total["a"] / 0.9 / 1024  # until here both sources have tokens
+    early = [mix[k] for k in range(int(lasts) - 1)]
+    assert len(early) > 50 and np.mean([abs(m["a"] / 1024 - 0.9) + abs(m["b"] / 1024 - 0.1) + m["c"] / 1024 for m in early]) / 2 < 0.01
+    assert min(k for k, m in mix.items() if m["c"]) >= (total["a"] + total["b"]) // 1024 - packing.ROUND
 
 
 # Decontamination

@@ -84,7 +84,7 @@ def test_packing_query_mixes_and_pads_nothing(spark, sf_dir, docs):
             for p in own:
                 mix[p.source] += p.length
             gaps.append(sum(abs(mix[s] / 1024 - total[s] / everything) for s in total) / 2)
-    assert np.mean(gaps) < 0.3
+    assert np.mean(gaps) < 0.05
 
 
 def test_stages_of_the_pipeline(spark, sf_dir, docs):
