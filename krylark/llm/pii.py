@@ -1,11 +1,13 @@
 """Surrogates for personal data, as DataFrame expressions only.
 
-Detection is one regular expression; the text is split at its matches and put together again with surrogates.  A
-surrogate is a keyed permutation of the entity that keeps its format: an alternating Feistel network shifts every
-character of one half within its own class (digit, upper or lower case letter) by bytes of a keyed SHA-512 of the
-other half, four times.  A permutation maps different entities to different surrogates, and the same entity to the
-same surrogate in every document, with no table of entities to shuffle.  Given names are permuted within the list
-of their gender and script; family names keep their pattern of vowels and consonants.
+Detection is one regular expression, and in texts with names a second one that also has their family names alone; the
+text is split at the matches and put together again with surrogates.  A surrogate is a keyed permutation that keeps the
+format: the first character moves within its class (digit, upper or lower case letter of a script, vowel or consonant
+in names) by a nonzero number of places that a keyed SHA-256 of the rest tells, and the rest goes through a Feistel
+network whose halves move each other's characters by bytes of a keyed SHA-512.  So no entity is its own surrogate,
+different entities have different surrogates, and an entity has the same one in every document, with no table of
+entities to shuffle.  Listed given names turn within the list of their gender and script.  A surrogate that is also an
+entity of the same document is drawn again under another key.
 """
 
 from __future__ import annotations
@@ -22,29 +24,67 @@ GIVEN = {
 }
 #: Titles before a family name.
 TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "г-н", "г-жа"]
+#: What stands before or after a name of two or more words, and small words within it.
+BEFORE_NAME = ["name is", "Name is", "I am", "I'm", "Ich heiße", "ich heiße", "Me llamo", "me llamo", "m'appelle", "Меня зовут", "меня зовут", "Dear", "Signed", "signed", "said", "says", "wrote", "sagte", "dijo"]
+BEFORE_NAME += [x + ":" for x in ("name", "Name", "author", "Author", "contact", "Contact", "customer", "Customer", "patient", "Patient", "employee", "Employee", "From", "To", "Attn", "Kontakt", "Autor", "Nombre", "Nom", "Имя")]
+AFTER_NAME = ["said", "says", "wrote", "writes", "told", "asked", "replied", "sagte", "schrieb", "dijo", "escribió", "déclare", "сказал", "сказала"]
+#: Words that begin sentences and are no names.
+STARTERS = ["The", "Then", "When", "While", "And", "But", "Or", "So", "If", "As", "In", "On", "At", "For", "From", "After", "Before", "Yesterday", "Today", "Now", "Later", "Here", "There", "This", "That", "Der", "Die", "Das", "Dann", "Und", "Aber", "El", "La", "Los", "Las", "Pero", "Le", "Les", "Puis", "Mais", "Et"]
+PARTICLES = ["de", "da", "di", "del", "della", "dos", "van", "von", "der", "den", "la", "le", "bin", "al", "el"]
 
-_NAME = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
+# Letters that surrogates are made of: Latin with its first two blocks of accented letters, Cyrillic and Greek.
+_WIDE = [chr(c) for c in (*range(0xC0, 0x180), *range(0x370, 0x400), *range(0x400, 0x460)) if chr(c).isalpha()]
+_VOWELS, _SIGNS = "aeiouаеиоуыэюяёαεηιουω", "ъьЪЬ"
+
+
+def _classes(name: bool, hexadecimal: bool = False) -> list[str]:
+    """Characters that move among each other, as disjoint strings."""
+    digits, small, capital = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    if hexadecimal:
+        return [digits, small[:6], capital[:6]]
+    groups: dict[tuple, list[str]] = {}
+    for c in [*digits, *small, *capital, *_WIDE]:
+        script = "digit" if c.isdigit() else "plain" if c < "\x7f" else "latin" if c < "ƀ" else "greek" if c < "Ѐ" else "cyrillic"
+        basic = c.lower() in "абвгдежзийклмнопрстуфхцчшщъыьэюяё" or c.lower() in "αβγδεζηθικλμνξοπρστυφχψω"
+        groups.setdefault((script, c.isupper(), basic, name and c.lower() in _VOWELS, name and c in _SIGNS), []).append(c)
+    return ["".join(g) for g in groups.values() if len(g) > 1]
+
+
+_LETTER = "A-Za-z" + "".join(x for g in _classes(False) for x in g if x > "\x7f")
+_UPPER = "A-Z" + "".join(x for x in _LETTER if x > "\x7f" and x.isupper())
+_MOVES = f"0-9{_LETTER}"
+_NAME = rf"[{_UPPER}][{_LETTER}'’]+(?:-[{_UPPER}][{_LETTER}]+)?"
+_FULL = rf"(?!(?:{'|'.join(STARTERS)}) ){_NAME}(?: (?:{'|'.join(PARTICLES)})){{0,3}} {_NAME}(?: {_NAME})?"
 _GIVEN_ANY = "|".join(x for names in GIVEN.values() for x in names)
+_NAMED = [
+    rf"(?<!\w)(?:{'|'.join(TITLES)})\.? (?:{_NAME} ){{0,2}}{_NAME}(?!\w)",
+    rf"(?<!\w)(?:{_GIVEN_ANY})(?: (?:{'|'.join(PARTICLES)})){{0,3}}(?: {_NAME}){{1,2}}(?!\w)",
+    rf"(?<=(?<!\w)(?:{'|'.join(BEFORE_NAME)}) ){_FULL}(?!\w)",
+    rf"(?<!\w){_FULL}(?= (?:{'|'.join(AFTER_NAME)})(?!\w)|,? [<(]?[A-Za-z0-9._%+-]{{1,64}}@[A-Za-z0-9])",
+]
 #: Kind of entity and its pattern; the first that fits at a place counts.
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])",
     "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,5}(?::[0-9A-Fa-f]{1,4}){1,4})(?![\w:])",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<![\w+.,-])0\d{2,4} \d{3,4} \d{3,4}(?![\w-]| \d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w-]|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "access_key": r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)",
     "secret": r"(?i:(?<!\w)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?:\s*[=:]\s*[\"']?)[^\s\"',;]{8,})",
-    "name": rf"(?<!\w)(?:{'|'.join(TITLES)})\.? (?:{_NAME} )?{_NAME}(?!\w)|(?<!\w)(?:{_GIVEN_ANY}) {_NAME}(?!\w)",
+    "name": "|".join(_NAMED),
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: How card numbers of the issuers begin.
+ISSUERS = r"^(?:4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[47]|30[0-5]|3[68]|352[89]|35[3-8]|6011|62|64[4-9]|65)"
 #: A document without any of these has no entity; the cheap test spares most texts the whole pattern.
-HINT = r"\d|@|AKIA|(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)|(?<!\w)(?:" + "|".join(TITLES) + r")\.? \p{Lu}|(?<!\w)(?:" + _GIVEN_ANY + r") \p{Lu}"
+HINT = r"\d|@|AKIA|::|(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)|(?<!\w)(?:" + "|".join([*TITLES, *BEFORE_NAME]) + rf")\.? [{_UPPER}]|(?<!\w)(?:" + _GIVEN_ANY + r") \p{L}|" + rf"(?<=\p{{L}}) (?:{'|'.join(AFTER_NAME)})(?!\w)"
 SECRET_LEAD = r"^(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?:\s*[=:]\s*[\"']?))?"
 #: An even number of rounds leaves the halves in their places.
 ROUNDS = 4
-
-
+#: Family names of at least so many letters are also looked for alone, in a text that has them with a given name or a title.
+LEAST_FAMILY = 3
 
 
 def _q(text: str) -> str:
@@ -52,24 +92,34 @@ def _q(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _shift(c: str, k: str, mode: str) -> str:
-    """SQL: character ``c`` moved ``k`` places within its class; what is in no class stays."""
-    if mode == "name":
-        classes = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоу", "бвгджзклмнпрст", "АЕИОУ", "БВГДЖЗКЛМНПРСТ")
-        return "case " + " ".join(f"when instr('{x}', {c}) > 0 then substr('{x}', (instr('{x}', {c}) - 1 + {k}) % {len(x)} + 1, 1)" for x in classes) + f" else {c} end"
-    letters = 6 if mode == "hex" else 26
-    upper = f"when {c} between 'A' and 'Z' then char((ascii({c}) - 65 + {k}) % 26 + 65) " if mode != "hex" else ""
-    return f"case when {c} between '0' and '9' then char((ascii({c}) - 48 + {k}) % 10 + 48) when {c} between 'a' and '{'f' if mode == 'hex' else 'z'}' then char((ascii({c}) - 97 + {k}) % {letters} + 97) {upper}else {c} end"
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` standing for ``value``, worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _permuted(e: str, key: str, tweak: str, mode: str = "plain") -> str:
-    """SQL: the keyed permutation of string ``e`` that keeps the class of every character."""
-    k = "cast(conv(substr(d, (j % 64) * 2 + 1, 2), 16, 10) as int)"
-    step = (
-        f"transform(array(sha2(concat_ws('|', {_q(key)}, {tweak}, i, s.r), 512)), d -> named_struct('l', s.r, 'r', "
-        f"array_join(transform(regexp_extract_all(s.l, '(?s).', 0), (c, j) -> {_shift('c', k, mode)}), '')))[0]"
-    )
-    return f"transform(array({e}), w -> aggregate(sequence(0, {ROUNDS - 1}), named_struct('l', substr(w, 1, length(w) div 2), 'r', substr(w, length(w) div 2 + 1)), (s, i) -> {step}, s -> concat(s.l, s.r)))[0]"
+def _number(digest: str, digits: int = 6) -> str:
+    return f"cast(conv(substr({digest}, 1, {digits}), 16, 10) as bigint)"
+
+
+def _shift(c: str, k: str, mode: str, never_zero: bool) -> str:
+    """SQL: character ``c`` moved ``k`` places within its class, by at least one if ``never_zero``; what is in no class stays."""
+
+    def chain(classes: list[str]) -> str:
+        step = lambda n: f"1 + {k} % {n - 1}" if never_zero else k
+        return "case " + " ".join(f"when instr('{x}', {c}) > 0 then substr('{x}', cast((instr('{x}', {c}) - 1 + {step(len(x))}) % {len(x)} as int) + 1, 1)" for x in classes) + f" else {c} end"
+
+    return f"case {mode} when 'name' then {chain(_classes(True))} when 'hex' then {chain(_classes(False, True))} else {chain(_classes(False))} end"
+
+
+def _permuted(e: str, key: str, tweak: str, mode: str) -> str:
+    """SQL: the keyed permutation of string ``e`` that keeps the class of every character and moves the first that has one."""
+    parts = ", ".join(f"'{n}', regexp_extract({e}, {_q(f'(?s)^([^{_MOVES}]*)([{_MOVES}])(.*)$')}, {g})" for n, g in (("a", 1), ("c", 2), ("z", 3)))
+    byte = "cast(conv(substr(d, (j % 64) * 2 + 1, 2), 16, 10) as int)"
+    step = _let("d", f"sha2(concat_ws('|', {_q(key)}, {tweak}, f, i, s.r), 512)", f"named_struct('l', s.r, 'r', array_join(transform(regexp_extract_all(s.l, '(?s).', 0), (x, j) -> {_shift('x', byte, mode, False)}), ''))")
+    rest = f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('l', substr(p.z, 1, length(p.z) div 2), 'r', substr(p.z, length(p.z) div 2 + 1)), (s, i) -> {step}, s -> concat(s.l, s.r))"
+    first = _shift("p.c", "h", mode, True)
+    moved = _let("p", f"named_struct({parts})", _let("h", _number(f"sha2(concat_ws('|', {_q(key)}, {tweak}, 'first', p.z), 256)"), _let("f", first, f"concat(p.a, f, {rest})")))
+    return f"if({e} rlike {_q(f'[{_MOVES}]')}, {moved}, {e})"
 
 
 def _luhn(digits: str, odd: int) -> str:
@@ -84,85 +134,132 @@ def _mod97(e: str) -> str:
     return f"aggregate(regexp_extract_all(concat(substr({compact}, 5), substr({compact}, 1, 4)), '[0-9A-Z]', 0), 0, (a, c) -> if(c between '0' and '9', (a * 10 + ascii(c) - 48) % 97, (a * 100 + ascii(c) - 55) % 97))"
 
 
-def _listed(word: str, key: str, otherwise: str) -> str:
-    """SQL: a given name turned within its list by a keyed, nonzero number of places."""
+def _array(values: list[str]) -> str:
+    return "array(" + ", ".join(map(_q, values)) + ")"
+
+
+def _turned(word: str, key: str) -> str:
+    """SQL: a listed given name turned within its list by a keyed, nonzero number of places; null for other words."""
     out = "case "
     for label, names in GIVEN.items():
-        array = "array(" + ", ".join(map(_q, names)) + ")"
-        turn = f"cast(conv(substr(sha2({_q(key + '|' + label)}, 256), 1, 6), 16, 10) as int) % {len(names) - 1} + 1"
-        out += f"when array_contains({array}, {word}) then element_at({array}, cast((array_position({array}, {word}) - 1 + {turn}) % {len(names)} as int) + 1) "
-    return out + f"else {otherwise} end"
+        turn = f"{_number(f'sha2({_q(key + chr(124) + label)}, 256)')} % {len(names) - 1} + 1"
+        out += f"when array_contains({_array(names)}, {word}) then element_at({_array(names)}, cast((array_position({_array(names)}, {word}) - 1 + {turn}) % {len(names)} as int) + 1) "
+    return out + "end"
 
 
 def kind_sql(m: str) -> str:
-    """SQL: the kind of a match, null where its check digits say that it is none."""
-    valid = {"card": f"and {_luhn(m, 1)} % 10 = 0", "iban": f"and {_mod97(m)} = 1"}
-    return "case " + " ".join(f"when {m} rlike {_q('^(?:' + p + ')$')} {valid.get(kind, '')} then '{kind}'" for kind, p in PATTERNS.items()) + " end"
+    """SQL: the kind of a match, null where its check digits or its beginning say that it is none."""
+    valid = {"card": f"and {_luhn(m, 1)} % 10 = 0 and {m} rlike {_q(ISSUERS)}", "iban": f"and {_mod97(m)} = 1", "secret": f"and regexp_replace({m}, {_q(SECRET_LEAD)}, '') rlike {_q(f'[{_MOVES}]')}"}
+    whole = {k: p for k, p in PATTERNS.items() if k != "name"} | {"name": rf"(?:(?:{'|'.join(TITLES)})\.? )?[{_LETTER}'’ -]+"}
+    return "case " + " ".join(f"when {m} rlike {_q('^(?:' + p + ')$')} {valid.get(kind, '')} then '{kind}'" for kind, p in whole.items()) + " end"
 
 
 def surrogate_sql(kind: str, m: str, key: str) -> str:
-    """SQL: the surrogate of match ``m`` of kind ``kind``; a match without a kind stays as it is."""
+    """SQL: the surrogate of match ``m`` of kind ``kind``; a match without a kind stays as it is.
+
+    An entity is cut into segments: a part that stays, a body that is permuted, and the body's tweak and mode.
+    """
+
+    def segment(keep: str = "''", body: str = "''", tweak: str = "''", mode: str = "'plain'") -> str:
+        return f"named_struct('keep', {keep}, 'body', {body}, 'tweak', {tweak}, 'mode', {mode})"
+
     at = f"instr({m}, '@')"
     domain = f"substr({m}, {at} + 1)"
     head, last = f"regexp_extract({domain}, '^(.*)[.]([^.]+)$', 1)", f"regexp_extract({domain}, '^(.*)[.]([^.]+)$', 2)"
-    email = f"concat({_permuted(f'substr({m}, 1, {at} - 1)', key, f'concat(\"local:\", {domain})')}, '@', {_permuted(head, key, _q('domain'))}, '.', {last})"
-    pair = "aggregate(split({0}, '[.]'), 0L, (a, o) -> a * 256 + cast(o as bigint))".format(m)
-    mix = f"cast(conv(substr(sha2(concat_ws('|', {_q(key)}, 'ipv4', i, s.r), 256), 1, 4), 16, 10) as bigint)"
-    halves = f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('l', v div 65536, 'r', v % 65536), (s, i) -> named_struct('l', s.r, 'r', s.l ^ {mix}), s -> s)"
-    ipv4 = f"transform(array({pair}), v -> transform(array({halves}), s -> concat_ws('.', s.l div 256, s.l % 256, s.r div 256, s.r % 256))[0])[0]"
-    code = f"regexp_extract({m}, '^([+][0-9]{{1,3}}[ .-]?)?', 0)"
-    phone = f"concat({code}, {_permuted(f'substr({m}, length({code}) + 1)', key, _q('phone'))})"
-    body = f"concat(substr({m}, 1, 1), {_permuted(f'substr({m}, 2, length({m}) - 2)', key, _q('card'))})"
-    card = f"transform(array({body}), p -> concat(p, cast((10 - {_luhn('p', 0)} % 10) % 10 as string)))[0]"
-    rest = f"concat(substr({m}, 1, 2), '00', {_permuted(f'substr({m}, 5)', key, _q('iban'))})"
-    iban = f"transform(array({rest}), p -> concat(substr(p, 1, 2), lpad(cast(98 - {_mod97('p')} as string), 2, '0'), substr(p, 5)))[0]"
-    access = f"concat('AKIA', {_permuted(f'substr({m}, 5)', key, _q('access_key'))})"
+    code = f"regexp_extract({m}, '^([+][0-9]{{1,3}}[ .-]?|0)?', 0)"
     lead = f"regexp_extract({m}, {_q(SECRET_LEAD)}, 0)"
     value = f"substr({m}, length({lead}) + 1)"
-    secret = f"concat({lead}, if({value} rlike '^[0-9a-f]+$', {_permuted(value, key, _q('secret'), 'hex')}, {_permuted(value, key, _q('secret'))}))"
-    titles = "array(" + ", ".join(_q(t + dot) for t in TITLES for dot in ("", ".")) + ")"
-    given = _listed("w1", key, _permuted("w1", key, _q("given"), "name"))
-    name = (
-        f"transform(array(split({m}, ' ')), p -> array_join(transform(p, (w1, n) -> case when n = 0 and array_contains({titles}, w1) then w1 "
-        f"when n = size(p) - 1 then {_permuted('w1', key, _q('family'), 'name')} else {given} end), ' '))[0]"
+    titles = _array([t + dot for t in TITLES for dot in ("", ".")])
+    space = "if(n > 0, ' ', '')"
+    token = (
+        f"case when n = 0 and array_contains({titles}, w) or w rlike '^[a-zа-яα-ω]' then {segment(f'concat({space}, w)')} "
+        f"when n = size(t) - 1 then {segment(space, 'w', _q('family'), _q('name'))} "
+        f"when {_turned('w', key)} is not null then {segment(f'concat({space}, {_turned(chr(119), key)})')} "
+        f"else {segment(space, 'w', _q('given'), _q('name'))} end"
     )
-    made = {"email": email, "ipv4": ipv4, "phone": phone, "ssn": _permuted(m, key, _q("ssn")), "card": card, "iban": iban, "access_key": access, "secret": secret, "name": name}
-    return f"case {kind} " + " ".join(f"when '{k}' then {v}" for k, v in made.items()) + f" else {m} end"
+    segments = {
+        "email": f"array({segment(body=f'substr({m}, 1, {at} - 1)', tweak=f'concat({_q("local:")}, {domain})')}, {segment(_q('@'), head, _q('domain'))}, {segment(f'concat({_q(".")}, {last})')})",
+        "ipv6": f"array({segment(body=m, tweak=_q('ipv6'), mode=_q('hex'))})",
+        "phone": f"array({segment(code, f'substr({m}, length({code}) + 1)', _q('phone'))})",
+        "ssn": f"array({segment(body=m, tweak=_q('ssn'))})",
+        "card": f"array({segment(f'substr({m}, 1, 4)', f'substr({m}, 5, length({m}) - 5)', f'concat({_q("card")}, substr({m}, 1, 4))')})",
+        "iban": f"array({segment(f'concat(substr({m}, 1, 2), {_q("00")})', f'substr({m}, 5)', _q('iban'))})",
+        "access_key": f"array({segment(f'substr({m}, 1, 4)', f'substr({m}, 5)', _q('access_key'))})",
+        "secret": f"array({segment(lead, value, _q('secret'), f'if({value} rlike {_q("^[0-9a-f]+$")}, {_q("hex")}, {_q("plain")})')})",
+        "name": _let("t", f"split({m}, ' ')", f"transform(t, (w, n) -> {token})"),
+    }
+    cut = f"case {kind} " + " ".join(f"when '{k}' then {v}" for k, v in segments.items()) + " end"
+    every = _array([x for names in GIVEN.values() for x in names])
+    # what is not in a list must not become a listed name: go on along the permutation until it is none
+    body = _let("y", _permuted("g.body", key, "g.tweak", "g.mode"), f"if(g.tweak = 'given' and array_contains({every}, y), {_permuted('y', key, 'g.tweak', 'g.mode')}, y)")
+    joined = f"array_join(transform({cut}, g -> concat(g.keep, {body})), '')"
+    checked = _let("o", joined, f"case {kind} when 'card' then concat(o, cast((10 - {_luhn('o', 0)} % 10) % 10 as string)) when 'iban' then concat(substr(o, 1, 2), lpad(cast(98 - {_mod97('o')} as string), 2, '0'), substr(o, 5)) else o end")
 
+    hash12 = lambda x: _number(f"sha2(concat_ws('|', {_q(key)}, 'ipv4', {x}), 256)", 3)
+    high = f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('l', v.hi div 4096, 'r', v.hi % 4096), (s, i) -> named_struct('l', s.r, 'r', s.l ^ {hash12('u, i, s.r')}), s -> s.l * 4096 + s.r)"
+    octets = f"transform(split({m}, '[.]'), o -> cast(o as bigint))"
+    ipv4 = _let("q", octets, _let("v", "named_struct('hi', q[0] * 65536 + q[1] * 256 + q[2], 'lo', q[3])", _let("u", f"(v.lo + 1 + {hash12(chr(118) + '.hi')} % 255) % 256", _let("z", high, "concat_ws('.', z div 65536, z div 256 % 256, z % 256, u)"))))
+    return f"case when {kind} is null then {m} when {kind} = 'ipv4' then {ipv4} else {checked} end"
+
+
+#: SQL of what ``replace_entities`` adds, over the matches.
+_REPORT = {
+    "n_entities": "cast(size(_real) as bigint)",
+    "entity_kinds": "array_sort(array_distinct(transform(_real, f -> f.kind)))",
+    "n_collisions": "cast(size(array_distinct(transform(_real, f -> f.entity))) - size(array_distinct(transform(_real, f -> f.surrogate))) + size(array_intersect(transform(_real, f -> f.entity), transform(_real, f -> f.surrogate))) as bigint)",
+}
+
+
+def _with_surrogates(docs: DataFrame, text_col: str, key: str) -> DataFrame:
+    """The whole row as a struct ``_row``, and beside it _text, _pattern and _found, the matches in order: (entity, kind, surrogate)."""
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    kinds = lambda matches: f"transform({matches}, m -> named_struct('entity', m, 'kind', {kind_sql('m')}))"
+    first = f"case when _text rlike {_q(HINT)} then regexp_extract_all(_text, {_q(PATTERN)}, 0) else array() end"
+    df = df.withColumn("_found", F.expr(f"coalesce({kinds(first)}, array())"))
+    family = f"array_distinct(filter(transform(filter(_found, f -> f.kind = 'name'), f -> element_at(split(f.entity, ' '), -1)), w -> length(w) >= {LEAST_FAMILY}))"
+    df = df.withColumn("_family", F.expr(family))
+    df = df.withColumn("_pattern", F.expr(f"if(size(_family) > 0, concat({_q(PATTERN)}, '|(?<!\\\\w)(?:', array_join(_family, '|'), ')(?!\\\\w)'), {_q(PATTERN)})"))
+    df = df.withColumn("_found", F.expr(f"if(size(_family) > 0, {kinds('regexp_extract_all(_text, _pattern, 0)')}, _found)"))
+    again = f"if(array_contains(transform(_found, x -> x.entity), s), {surrogate_sql('f.kind', 'f.entity', key + '|again')}, s)"
+    made = _let("s", surrogate_sql("f.kind", "f.entity", key), f"if(f.kind is null, s, {again})")
+    return df.withColumn("_found", F.expr(f"transform(_found, f -> named_struct('entity', f.entity, 'kind', f.kind, 'surrogate', {made}))"))
+
+
+_JOINED = _let("p", "split(_text, _pattern, -1)", "concat(p[0], array_join(transform(_found, (f, i) -> concat(f.surrogate, p[i + 1])), ''))")
 
-def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "krylark") -> DataFrame:
-    """``docs`` with its text replaced, and n_entities, entity_kinds and n_collisions beside it.
 
-    Every column of ``docs`` stays, but for columns with the three new names.  A null text stays null, with no
-    entities; a text without entities comes back unchanged.  ``n_collisions`` counts, within a document, entities
-    that lost their distinctness (always 0: each kind's surrogates are a permutation) and surrogates that equal
-    another entity of the document; ``collision_report`` makes the same check over a whole table.
+def _replaced(df: DataFrame, columns: list[str], text_col: str) -> list:
+    text = F.expr(f"if(size(_found) > 0, {_JOINED}, _text)")
+    return [text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in columns]
+
+
+def replace_text(docs: DataFrame, text_col: str = "text", key: str = "krylark") -> DataFrame:
+    """``docs`` with its text replaced and every other column, whatever its name, as it was.
+
+    A null text stays null; a text without entities, empty ones among them, comes back unchanged; texts of any length
+    are read whole; repeated rows come back alike; an empty table gives an empty one.
     """
     df = _with_surrogates(docs, text_col, key)
-    parts = f"split(text_in, {_q(PATTERN)}, -1)"
-    joined = f"transform(array({parts}), p -> concat(p[0], array_join(transform(found_in, (f, i) -> concat(f.surrogate, p[i + 1])), '')))[0]"
-    real = "filter(found_in, f -> f.kind is not null)"
-    extra = {
-        "n_entities": f"cast(size({real}) as bigint)",
-        "entity_kinds": f"array_sort(array_distinct(transform({real}, f -> f.kind)))",
-        "n_collisions": f"cast(size(array_distinct(transform({real}, f -> f.entity))) - size(array_distinct(transform({real}, f -> f.surrogate))) + size(array_intersect(transform({real}, f -> f.entity), transform({real}, f -> f.surrogate))) as bigint)",
-    }
-    text = F.expr(f"if(size(found_in) > 0, {joined}, text_in)")
-    keep = [text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in extra]
-    return df.select(*keep, *[F.expr(x).alias(n) for n, x in extra.items()])
+    return df.select(*_replaced(df, docs.columns, text_col))
 
 
-def _with_surrogates(docs: DataFrame, text_col: str, key: str) -> DataFrame:
-    """Adds text_in and found_in, the matches in order: (entity, kind, surrogate)."""
-    matches = f"case when text_in rlike {_q(HINT)} then regexp_extract_all(text_in, {_q(PATTERN)}, 0) else array() end"
-    df = docs.withColumn("text_in", F.col(text_col)).withColumn("found_in", F.expr(f"transform(coalesce({matches}, array()), m -> named_struct('entity', m, 'kind', {kind_sql('m')}))"))
-    made = f"transform(found_in, f -> named_struct('entity', f.entity, 'kind', f.kind, 'surrogate', {surrogate_sql('f.kind', 'f.entity', key)}))"
-    return df.withColumn("found_in", F.expr(made))
+def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "krylark") -> DataFrame:
+    """``docs`` with its text replaced, and n_entities, entity_kinds and n_collisions beside it.
+
+    Every column of ``docs`` stays, but for columns with the three new names, which the new ones replace
+    (``replace_text`` adds nothing).  A null text stays null, with no entities; a text without entities comes back unchanged.
+    ``n_collisions`` counts, within a document, entities that lost their distinctness and surrogates that are also
+    entities, after such a surrogate was drawn again; ``collision_report`` makes the same check over a whole table.
+    """
+    df = _with_surrogates(docs, text_col, key)
+    keep = [c for c in docs.columns if c not in _REPORT]
+    df = df.withColumn("_real", F.expr("filter(_found, f -> f.kind is not null)"))
+    return df.select(*_replaced(df, keep, text_col), *[F.expr(x).alias(n) for n, x in _REPORT.items()])
 
 
 def collision_report(docs: DataFrame, text_col: str = "text", key: str = "krylark") -> DataFrame:
     """Per kind over the whole table: distinct entities, distinct surrogates, and surrogates that are also entities."""
-    pairs = _with_surrogates(docs.select(text_col), text_col, key).select(F.explode("found_in").alias("f")).select("f.*").where("kind is not null").distinct()
+    pairs = _with_surrogates(docs.select(text_col), text_col, key).select(F.explode("_found").alias("f")).select("f.*").where("kind is not null").distinct()
     both = pairs.select("kind", F.col("entity").alias("value"), F.lit(1).alias("e"), F.lit(0).alias("s")).union(pairs.select("kind", "surrogate", F.lit(0), F.lit(1)))
     per = both.groupBy("kind", "value").agg(F.max("e").alias("e"), F.max("s").alias("s"))
     return per.groupBy("kind").agg(F.sum("e").alias("entities"), F.sum("s").alias("surrogates"), F.sum(F.col("e") * F.col("s")).alias("also_entities"))

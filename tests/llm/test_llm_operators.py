@@ -363,3 +363,62 @@ def test_luhn_of_surrogates(spark):
     cards = [n for n in range(4000000000000000, 4000000000000400) if luhn(str(n)) % 10 == 0]
     got = pii.replace_entities(frame(spark, [(k, str(n)) for k, n in enumerate(cards)], "doc_id long, text string")).collect()
     assert len({r.text for r in got}) == len(cards) and all(luhn(r.text) % 10 == 0 and r.text[0] == "4" and len(r.text) == 16 for r in got)
+
+
+def test_columns_beside_the_text_stay(spark):
+    rows = [(1, "mail bob@x.io", "mine", "f", 7, [1])]
+    df = frame(spark, rows, "doc_id long, text string, text_in string, found_in string, n_entities int, _found array<int>")
+    got = pii.replace_text(df)
+    assert got.columns == df.columns
+    row = got.first()
+    assert (row.text_in, row.found_in, row.n_entities, row._found) == ("mine", "f", 7, [1]) and "bob" not in row.text
+    row = pii.replace_entities(df).first()
+    assert (row.text_in, row.found_in, row.n_entities, row._found) == ("mine", "f", 1, [1])
+    odd = pii.replace_text(df.select("doc_id", "text").withColumn("a.b", df.doc_id)).first()
+    assert odd["a.b"] == 1
+
+
+def test_names_in_context(spark):
+    texts = {
+        "My name is Wei Zhang.": ["Wei", "Zhang"], "Contact: Fatima Khan <fk@x.org>": ["Fatima", "Khan", "fk@x.org"], "Ravi Patel said no. Then Patel left.": ["Ravi", "Patel"], "Carlos de la Cruz Ruiz met nobody": ["Carlos", "Cruz", "Ruiz"],
+        "Frau Æøåð saw it": ["Æøåð"], "Dr. Ωμέγα saw it": ["Ωμέγα"], "г-н Фшщчъ тут": ["Фшщчъ"], "then Dr Li came": ["Li"], "call 020 7946 0958 now": ["20 7946", "0958"], "at 2001:db8:85a3:0:0:8a2e:370:7334 it": ["2001:db8", "370:7334"],
+    }
+    got = pii.replace_entities(frame(spark, list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        before, gone = list(texts.items())[r.doc_id]
+        assert r.n_entities and not any(x in r.text for x in gone), (before, r.text)
+    calm = ["New York City is big. The old man said it.", "std::vector a::b 12:34:56 v1.2.3 password=********", "5731080387325255 and 9870157079875996", "Then Herr came. Anna left."]
+    assert all(r.n_entities == 0 and r.text == calm[r.doc_id] for r in pii.replace_entities(frame(spark, list(enumerate(calm)), "doc_id long, text string")).collect())
+
+
+def test_surrogates_against_brute_force(spark):
+    """Generated entities of every kind: no surrogate is its entity, distinct stays distinct over the whole table, formats stay."""
+    rng = random.Random(5)
+    luhn = lambda s: (sum(int(c) for c in s[::-2]) + sum(sum(divmod(2 * int(c), 10)) for c in s[-2::-2])) % 10
+    small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    word = lambda: rng.choice("KLMNPRSTVZÅÖÉ") + "".join(rng.choice("aeiouklmnrstéøñ") for _ in range(rng.randint(1, 3)))
+    made = set()
+    while len(made) < 700:
+        k = len(made) % 8
+        body = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        made.add([
+            ("email", f"{rng.choice('abc')}{rng.randint(0, 99)}@{rng.choice('xy')}.org"), ("ipv4", f"1.2.{rng.randint(0, 3)}.{rng.randint(0, 255)}"), ("phone", f"+1 (20{rng.randint(0, 9)}) 555-{rng.randint(0, 9999):04d}"),
+            ("ssn", f"078-05-{rng.randint(0, 9999):04d}"), ("card", next(body + d for d in "0123456789" if luhn(body + d) == 0)), ("access_key", "AKIA" + "".join(rng.choice(small) for _ in range(16))),
+            ("secret", "password=" + "".join(rng.choice("0123456789abcdef") for _ in range(9))), ("name", f"Dr {word()} {word()}"),
+        ][k])
+    made = sorted(made)
+    order = made * 2
+    rng.shuffle(order)
+    rows = [(k, "x " + " ; ".join(e for _, e in order[k:k + 5]) + " ; end") for k in range(0, len(order), 5)]
+    got = {r.doc_id: r for r in pii.replace_entities(frame(spark, rows, "doc_id long, text string")).collect()}
+    to: dict = {}
+    for k, _ in rows:
+        after = got[k].text[2:-6].split(" ; ")
+        assert len(after) == len(order[k:k + 5]) and got[k].n_collisions == 0
+        for (kind, e), s in zip(order[k:k + 5], after):
+            assert s != e and len(s) == len(e) and to.setdefault((kind, e), s) == s
+            assert kind == "ipv4" or [(c.isdigit(), c.isupper(), c.islower()) for c in s] == [(c.isdigit(), c.isupper(), c.islower()) for c in e]
+            assert kind != "card" or luhn(s) == 0
+    for kind in {k for k, _ in made}:
+        own = [s for (k, _), s in to.items() if k == kind]
+        assert len(own) == len(set(own)) == sum(k == kind for k, _ in made)
