@@ -416,7 +416,7 @@ def test_surrogates_against_brute_force(spark):
         after = got[k].text[2:-6].split(" ; ")
         assert len(after) == len(order[k:k + 5]) and got[k].n_collisions == 0
         for (kind, e), s in zip(order[k:k + 5], after):
-            assert s != e and len(s) == len(e) and to.setdefault((kind, e), s) == s
+            assert s != e and (len(s) == len(e) or kind == "ipv4") and to.setdefault((kind, e), s) == s
             assert kind == "ipv4" or [(c.isdigit(), c.isupper(), c.islower()) for c in s] == [(c.isdigit(), c.isupper(), c.islower()) for c in e]
             assert kind != "card" or luhn(s) == 0
     for kind in {k for k, _ in made}:
