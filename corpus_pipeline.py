@@ -30,9 +30,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Entities get surrogates; the count of characters follows the text."""
-    out = pii.replace_entities(docs).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    """Entities get surrogates; the count of characters follows the text.
+
+    Null and empty texts, repeated rows and all other columns, whatever their names, stay as they are; a null text keeps
+    its count.
+    """
+    out = pii.replace_text(docs)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
