@@ -37,6 +37,72 @@ def test_html_article():
     assert len(html_extract.extract(long)) == 20000 * len("Some words, again. ") - 1
 
 
+LONG = "This is a sentence, with marks. And here is another one, somewhat longer than the first. "
+
+
+def test_html_content_is_what_the_paths_say():
+    for attribute in ('title="the hidden valley"', 'data-hidden="false"', 'data-id="menu"', 'class="share-price"', 'id="story-comments-count2 x"'):
+        assert html_extract.extract(f"<div><p {attribute}>One, two. Three.</p></div>") == "One, two. Three.", attribute
+    two = f"<body><nav>Home</nav><article><h1 class='article-header'>A</h1><p>{LONG}</p></article><div class='ad-slot'>Buy, now.</div><article><h2>B</h2><p>{LONG}</p></article></body>"
+    assert html_extract.extract(two) == " ".join(["A", LONG.strip(), "B", LONG.strip()])
+    links = "<ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li><li><a href=/b>Blog</a></li></ul>"
+    parts = f"<body><div><h2>T</h2><p>{LONG}</p><p>short</p></div>{links}<div><p>{LONG}</p></div></body>"
+    assert html_extract.extract(parts) == " ".join(["T", LONG.strip(), "short", LONG.strip()])
+    assert html_extract.extract(parts.replace("</div><ul>", "<ul>").replace("</ul><div>", "</ul>")) == " ".join(["T", LONG.strip(), "short", LONG.strip()])
+    assert html_extract.extract(f"<div class='menu'>{links}</div><div class='sidebar'><p>Side, text.</p></div>") == "" and html_extract.extract(links) == ""
+    # gaps between content blocks are closed, and what follows as a sentence belongs to them
+    gap = f"<div><h1>Title</h1><p>{LONG}</p><blockquote>quoted</blockquote><ul><li>one</li></ul><p>{LONG}</p><table><tr><td>A last, short sentence.</td></tr></table></div><footer>f</footer><div><span>lone</span></div>"
+    assert html_extract.extract(gap) == " ".join(["Title", LONG.strip(), "quoted", "one", LONG.strip(), "A last, short sentence."])
+
+
+def test_html_paths_against_brute_force():
+    """Random pages of well-formed divs: the blocks of the chosen paths, worked out by another parser, are in the text, and nothing else is from other containers."""
+    from html.parser import HTMLParser
+
+    class Brute(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.blocks = [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.stack.append(tag)
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            self.blocks.append(("/".join(self.stack), data))
+
+    rng = random.Random(3)
+    for _ in range(200):
+        html = "".join(f"<div><{t}>{' '.join(f'{t}{rng.randint(0, 10**6)}' + rng.choice(['', ',', '.']) for _ in range(rng.choice((1, 5, 60))))}</{t}></div>" for t in rng.choices(("p", "section", "pre"), k=rng.randint(1, 12)))
+        brute = Brute()
+        brute.feed(html)
+        sums: dict = {}
+        for path, text in brute.blocks:
+            x = sums.setdefault(path, [0, 0, 0])
+            x[0], x[1], x[2] = x[0] + len(text), x[1] + sum(c in ".,;:!?" for c in text), x[2] + 1
+        smooth = lambda v: v if len(v) < 3 else [(v[max(i - 1, 0)] + 2 * v[i] + v[min(i + 1, len(v) - 1)]) / 4 for i in range(len(v))]
+        length, marks = (smooth([x[k] / x[2] for x in sums.values()]) for k in (0, 1))
+        fused = [n**0.5 * (1 + m) * x[0] for n, m, x in zip(length, marks, sums.values())]
+        mean = sum(fused) / len(fused)
+        cut = min((sum((f - mean) ** 2 for f in fused) / len(fused)) ** 0.5, max(fused))
+        chosen = {p for p, f in zip(sums, fused) if f >= cut * (1 - 1e-12)}
+        assert html_extract.extract(html) == " ".join(text for path, text in brute.blocks if path in chosen)
+
+
+def test_html_deep_pages_are_linear():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        assert html_extract.extract("<div>" * n + "<p>Some text, here.</p></i>" * n).startswith("Some text")
+        return time.perf_counter() - began
+
+    seconds(2000)
+    assert seconds(32000) < 40 * max(seconds(2000), 0.01)
+
+
 def test_html_table(spark):
     rows = [(1, "u", PAGE, "x", 1), (1, "u", PAGE, "x", 1), (None, None, None, None, None), (3, "v", "", "y", 2)]
     got = html_extract.extract_pages(frame(spark, rows, "page_id long, url string, html string, text string, n_chars int")).collect()
