@@ -119,3 +119,28 @@ def test_empty_table_null_ids_and_repeated_rows(spark, rows):
     if rows:
         assert {r.component_id for r in got if r.fingerprint != "0" * 16} == {3}
         assert sum(r.doc_id == 3 for r in simhash.drop_near_duplicates(df).collect()) == 1
+
+
+def test_repeated_ids_with_other_texts(spark):
+    rows = [(3, "a b c d e f", 1), (5, "a b c d e f", 2), (5, "quite another text than that", 3), (5, "quite another text than that", 4), (7, "A B c d e f", 5), (None, "a b c d e f", 6), (None, "a b c d e f", 7), (9, None, 8), (9, "", 9)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, row int"))
+    got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str)
+    assert got == [(3, "a b c d e f"), (5, "quite another text than that"), (9, ""), (None, "a b c d e f")]
+
+
+def test_full_anchors_are_compared_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 30, np.uint64)
+    prints = {int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 64, (25, 2))} | {1 << k for k in range(60)}
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in prints], "fp long")
+    want = brute_components({x: x for x in prints})
+    for most in (1 << 16, 6):
+        monkeypatch.setattr(simhash, "ANCHOR_ROWS", most)
+        roots = {r.node % (1 << 64): r.root for r in connected_components(simhash.links(df)).collect()}
+        got = {}
+        for x in prints:
+            got.setdefault(roots.get(x, x), set()).add(x)
+        groups = {}
+        for x, r in want.items():
+            groups.setdefault(r, set()).add(x)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
