@@ -5,7 +5,7 @@ Windows of eight canonical words are hashed on both sides, in two forms: the tem
 names stand literally and without case, since a copy in capitals or lower case has no names to see.  A window most of
 whose words are placeholders even then, and an item of fewer than five words, is hashed by its literal words.  A bit set of fixed size built from the benchmark lets a
 scan of the documents pass only windows that may match; those are hash-joined to the benchmark's.  On every
-alignment of a document with an item the placeholders' values must map one to one, and an item counts when such
+alignment of a document with an item the fixed words must be equal and the placeholders' values must map one to one, and an item counts when such
 alignments, in either form, cover half of its windows, so a question with other numbers and names is caught and loose overlap is not.
 """
 
@@ -16,17 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_type, materialize, texts
+from .common import by_bytes, column_type, materialize
 
 #: Words in a window, and the fewest that have a template.
 WIDTH, LEAST_WIDTH = 8, 5
 #: Share of an item's windows that must be found.
 COVER = 0.5
-#: Bits of the window filter: two megabytes, whatever the size of the benchmark.
-FILTER_BITS = 24
+#: Bits of the window filter, two megabytes, and of the filter of the windows' first two words, 128 kilobytes, whatever the size of the benchmark.
+FILTER_BITS, PAIR_BITS = 24, 20
 #: Benchmark windows are broadcast up to this many (a counted bound); beyond it the join shuffles both sides.
 BROADCAST_WINDOWS = 200_000
 
@@ -52,7 +53,7 @@ def canonical(word: str) -> tuple[str, str]:
         return "num", low
     if low in UNITS:
         return "unit", low
-    if low not in PLAIN and len(value) > 1 and value[0].isupper() and value[1:].islower():
+    if low not in PLAIN and len(value) > 1 and value[0].isupper() and not value.isupper():
         return "name", low
     return "word", low
 
@@ -69,7 +70,8 @@ class Codes(dict):
         from xxhash import xxh64_intdigest
 
         kind, value = canonical(word)
-        at = self[word] = len(self)
+        at = len(self)
+        self[word] = at
         if at >= self.table.shape[1]:
             self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
         for row, literal in enumerate(FORMS.values()):
@@ -77,138 +79,176 @@ class Codes(dict):
             self.table[row, at] = 0 if not value else int(SLOTS[kind]) | 1 if kind not in literal else xxh64_intdigest(text) & ~1 or 2
         return at
 
-    def of(self, words: list[str]) -> np.ndarray:
-        """The codes of ``words``, a row for each form."""
-        if len(self) >= self.LIMIT:
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The places of ``words``, each distinct one looked up once."""
+        coded = words.dictionary_encode()
+        new = coded.dictionary.to_pylist()
+        if len(self) + len(new) > self.LIMIT:
             self.clear()
-        places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.table[:, places]
+        return np.fromiter(map(self.__getitem__, new), np.int64, len(new))[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
 
 
-def _hashes(code: np.ndarray, width: int, form: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, number of placeholders) of every run of ``width`` words."""
-    n = code.shape[-1] - width + 1
-    h = np.full(n, np.uint64(width + 64 * form))
-    slots = np.zeros(n, np.int8)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ h >> np.uint64(29)
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
+def _pairs(code: np.ndarray, form: int) -> np.ndarray:
+    """The hash of every two words in a row."""
+    return _mixed(code[:-1] * _FACTORS[0] + code[1:] * _FACTORS[1] + np.uint64(form))
+
+
+def _slots(code: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """How many of the ``width`` words from each place on are placeholders."""
+    n = np.zeros(len(first), np.int8)
+    for k in range(width):
+        n += (code[first + k] & np.uint64(1)).astype(np.int8)
+    return n
+
+
+def _hashes(code: np.ndarray, first: np.ndarray, width: int, form: int) -> np.ndarray:
+    h = np.full(len(first), np.uint64(width + 64 * form))
     for k in range(width):
-        part = code[k:k + n]
-        h += part * _FACTORS[k]
-        slots += (part & np.uint64(1)).astype(np.int8)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return h, slots
-
-
-def windows(docs: list[str], codes: Codes, widths: list[int]) -> Iterator[tuple[int, np.ndarray, list[tuple], tuple]]:
-    """Per width: (width, document of each place, a (hashes, places of first words, codes) for each form, (all words, the places of those kept))."""
-    words = [t.split() for t in docs]
-    flat = [w for d in words for w in d]
-    code = codes.of(flat)
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d in words])
-    kept = np.flatnonzero(code[0])
-    code, owner = code[:, kept], owner[kept]
-    for width in widths:
-        n = len(kept) - width + 1
+        h += code[first + k] * _FACTORS[k]
+    return _mixed(h)
+
+
+class Words:
+    """Canonical words of some texts in a row: the words, their places in ``Codes``, and the text of each."""
+
+    def __init__(self, column: pa.Array, codes: Codes):
+        lists = pa.compute.utf8_split_whitespace(column.fill_null("").cast(pa.large_string()))
+        self.words = lists.flatten()
+        place = codes.places(self.words)
+        self.kept = np.flatnonzero(codes.table[0, place])
+        owner = np.repeat(np.arange(len(column)), lists.value_lengths().to_numpy())
+        self.owner, place = owner[self.kept], place[self.kept]
+        self.code = [row[place] for row in codes.table]
+
+    def windows(self, width: int, maybe: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        """First words of the windows of each form; ``maybe``: the places of each form that are worth a look."""
+        n = len(self.kept) - width + 1
         if n <= 0:
-            continue
-        inside = owner[:n] == owner[width - 1:]
-        found, rest = [], inside
-        for form, name in enumerate(FORMS):
-            h, slots = _hashes(code[form], width, form)
-            if name == "literal":
-                good = rest
-            else:
-                good = inside & (width - slots >= (width + 1) // 2) & (width >= LEAST_WIDTH)
-                rest = rest & ~good
-            good = np.flatnonzero(good)
-            found.append((h[good], good, code[form]))
-        yield width, owner[:n], found, (flat, kept)
-
-
-def _slot_values(words: tuple, code: np.ndarray, at: int, width: int) -> list[str]:
-    flat, kept = words
-    out = []
-    for i in range(at, at + width):
-        if code[i] & np.uint64(1):
-            kind, value = canonical(flat[kept[i]])
-            out.append(f"{kind}:{value}")
-    return out
-
-
-def _scan(df: DataFrame, id_type, widths: list[int] | None, table: bytes | None) -> DataFrame:
-    """(id, at, form, hash, slots, plain, of, of_plain, width) of the windows of (id, text).
+            return [np.zeros(0, np.int64)] * len(FORMS)
+        out = []
+        for form in range(len(FORMS)):
+            first = np.arange(n) if maybe is None else maybe[form][maybe[form] < n]
+            first = first[self.owner[first] == self.owner[first + width - 1]]
+            good = [(width - _slots(self.code[k], first, width) >= (width + 1) // 2) & (width >= LEAST_WIDTH) for k in ((form,) if form < 2 else (0, 1))]
+            out.append(first[good[0] if form < 2 else ~(good[0] | good[1])])
+        return out
+
+    def texts(self, form: int, first: np.ndarray, width: int) -> tuple[list[str], list[list[str]]]:
+        """The fixed words of windows, and the values of their placeholders."""
+        fixed, values = [], []
+        literal = FORMS[list(FORMS)[form]]
+        flat = [canonical(w) for w in self.words.take(pa.array(self.kept[first[:, None] + np.arange(width)].ravel())).to_pylist()]
+        for at in range(0, len(flat), width):
+            own = flat[at:at + width]
+            fixed.append(" ".join((v.casefold() if form else v) if k in literal else f"<{k}>" for k, v in own))
+            values.append([f"{k}:{v}" for k, v in own if k not in literal])
+        return fixed, values
+
+
+BENCH = "id {}, at long, form int, hash long, pair long, fixed string, slots array<string>, plain boolean, of int, of_plain int, width int"
+HITS = "id {}, text_hash long, at long, form int, hash long, fixed string, slots array<string>"
+
+
+def _bench_windows(items: DataFrame, id_type) -> DataFrame:
+    """All windows of (id, text), each text's of its own width, its length if that is less than ``WIDTH``.
 
     ``plain``: the window has a template; ``of``, ``of_plain``: how many windows, and how many plain ones, the whole text has.
-    ``widths`` None: each text has windows of its own width, its length if that is less than ``WIDTH``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
-        bits = np.frombuffer(table, np.uint8) if table is not None else None
         for b in batches:
-            for start in range(0, b.num_rows, 256):
-                part = b.slice(start, 256)
-                bodies = texts(part.column(1))
-                ids, out = [], [[] for _ in range(8)]
-                groups = [(widths, list(range(len(bodies))))]
-                if widths is None:
-                    size = [int(np.count_nonzero(codes.of(t.split())[0])) for t in bodies]
-                    groups = [([k], [i for i, n in enumerate(size) if min(n, WIDTH) == k]) for k in range(1, WIDTH + 1)]
-                for use, chosen in groups:
-                    if not chosen:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1)
+                words = Words(row.column(1), codes)
+                width = min(len(words.kept), WIDTH)
+                if not width:
+                    continue
+                forms = words.windows(width)
+                every, plain = np.unique(np.concatenate(forms)), set(forms[0].tolist())
+                for form, first in enumerate(forms):
+                    n = len(first)
+                    code = words.code[form]
+                    pair = _pairs(code, form)[first] if width > 1 else np.zeros(n, np.uint64)
+                    fixed, values = words.texts(form, first, width)
+                    columns = [row.column(0).take(pa.array(np.zeros(n, np.int64))), pa.array(first), pa.array([form] * n, pa.int32()), pa.array(_hashes(code, first, width, form).view(np.int64)), pa.array(pair.view(np.int64)), pa.array(fixed, pa.string()), pa.array(values, pa.list_(pa.string()))]
+                    columns += [pa.array([f in plain for f in first.tolist()], pa.bool_()), *(pa.array([x] * n, pa.int32()) for x in (len(every), len(plain), width))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "at", "form", "hash", "pair", "fixed", "slots", "plain", "of", "of_plain", "width"])
+
+    return items.mapInArrow(run, BENCH.format(id_type.simpleString()))
+
+
+def _document_windows(docs: DataFrame, id_type, widths: list[int], table: bytes, pairs: bytes) -> DataFrame:
+    """The windows of (id, text, text_hash) that pass the filters: first their first two words, then all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        bits, pair_bits = np.frombuffer(table, np.uint8), np.frombuffer(pairs, np.uint8)
+
+        def passes(h: np.ndarray, in_bits: np.ndarray, size: int) -> np.ndarray:
+            cell = h >> np.uint64(64 - size)
+            return np.flatnonzero(in_bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1)
+
+        for b in by_bytes(batches, 4 << 20):
+            words = Words(b.column(1), codes)
+            maybe = [passes(_pairs(c, form), pair_bits, PAIR_BITS) if len(c) > 1 else np.zeros(0, np.int64) for form, c in enumerate(words.code)]
+            for width in widths:
+                for form, first in enumerate(words.windows(width, maybe if width > 1 else None)):
+                    h = _hashes(words.code[form], first, width, form)
+                    good = passes(h, bits, FILTER_BITS)
+                    if not len(good):
                         continue
-                    for width, owner, forms, words in windows([bodies[i] for i in chosen], codes, use):
-                        plain, some = np.zeros(len(owner), bool), np.zeros(len(owner), bool)
-                        plain[forms[0][1]] = True
-                        for _, first, _ in forms:
-                            some[first] = True
-                        of, of_plain = (np.bincount(owner[x], minlength=len(chosen)) for x in (some, plain))
-                        for form, (h, first, code) in enumerate(forms):
-                            if bits is not None:
-                                cell = h >> np.uint64(64 - FILTER_BITS)
-                                maybe = np.flatnonzero(bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1)
-                                h, first = h[maybe], first[maybe]
-                            who = owner[first]
-                            ids.extend(chosen[o] for o in who.tolist())
-                            values = [_slot_values(words, code, f, width) for f in first.tolist()]
-                            for column, x in zip(out, (first, [form] * len(h), h.view(np.int64), values, plain[first], of[who], of_plain[who], [width] * len(h))):
-                                column.extend(x if isinstance(x, list) else x.tolist())
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ids, pa.int32())), *map(pa.array, out, types)], names=["id", "at", "form", "hash", "slots", "plain", "of", "of_plain", "width"])
-
-    return df.mapInArrow(run, f"id {id_type.simpleString()}, at long, form int, hash long, slots array<string>, plain boolean, of int, of_plain int, width int")
+                    h, first = h[good], first[good]
+                    fixed, values = words.texts(form, first, width)
+                    who = pa.array(words.owner[first])
+                    n = len(first)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(2).take(who), pa.array(first), pa.array([form] * n, pa.int32()), pa.array(h.view(np.int64)), pa.array(fixed, pa.string()), pa.array(values, pa.list_(pa.string()))], names=["id", "text_hash", "at", "form", "hash", "fixed", "slots"])
+
+    return docs.mapInArrow(run, HITS.format(id_type.simpleString()))
+
+
+def _bit_table(hashes: DataFrame, size: int) -> bytes:
+    """A bit for each cell that a hash (column h) falls into; at most as many rows come back as the table has bytes."""
+    packed = hashes.groupBy(F.expr(f"cast(shiftrightunsigned(h, {67 - size}) as int)").alias("byte")).agg(F.expr(f"cast(bit_or(1 << cast(shiftrightunsigned(h, {64 - size}) % 8 as int)) as int)").alias("bits"))
+    table = np.zeros(1 << (size - 3), np.uint8)
+    for r in packed.toLocalIterator():
+        table[r.byte] = r.bits
+    return table.tobytes()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cover: float = COVER) -> DataFrame:
     """(id, item, cover) of the documents that hold a benchmark item, literally or with other slot values."""
     items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
-    bench = _scan(items, column_type(benchmark, item_col), None, None).persist()
-    n = bench.count()
-    packed = bench.groupBy(F.expr(f"cast(shiftrightunsigned(hash, {67 - FILTER_BITS}) as int)").alias("byte")).agg(F.expr(f"cast(bit_or(1 << cast(shiftrightunsigned(hash, {64 - FILTER_BITS}) % 8 as int)) as int)").alias("bits"))
-    table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in packed.toLocalIterator():  # at most as many rows as the filter has bytes
-        table[r.byte] = r.bits
-    widths = sorted(r.width for r in bench.select("width").distinct().collect())
-    schema_id = column_type(docs, id_col)
-    hits = _scan(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), schema_id, widths or [WIDTH], table.tobytes())
-    right = bench.select(F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("hash").alias("item_hash"), F.col("slots").alias("item_slots"), F.struct(F.col("at").alias("at"), "plain").alias("place"), F.struct("of", "of_plain").alias("size"))
-    if n <= BROADCAST_WINDOWS:
+    bench = materialize(_bench_windows(items, column_type(benchmark, item_col)))
+    widths = {r.width: r.n for r in bench.groupBy("width").agg(F.count("*").alias("n")).collect()}
+    table = _bit_table(bench.select(F.col("hash").alias("h")), FILTER_BITS)
+    pairs = _bit_table(bench.where("width > 1").select(F.col("pair").alias("h")), PAIR_BITS)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    hits = _document_windows(rows, column_type(docs, id_col), sorted(widths), table, pairs)
+    right = bench.select(F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("hash").alias("item_hash"), F.col("fixed").alias("item_fixed"), F.col("slots").alias("item_slots"), F.struct(F.col("at").alias("at"), "plain").alias("place"), F.struct("of", "of_plain").alias("size"))
+    if sum(widths.values()) <= BROADCAST_WINDOWS:
         right = F.broadcast(right)
-    met = hits.select("id", "at", "form", "hash", "slots").join(right, (F.col("hash") == F.col("item_hash")) & (F.size("slots") == F.size("item_slots")))
-    met = met.select("id", "item", (F.col("at") - F.col("item_at")).alias("shift"), "form", "place", "size", F.arrays_zip("item_slots", "slots").alias("pairs"))
-    # an alignment has at most as many rows as the item has windows; each form is judged alone
-    aligned = met.groupBy("id", "item", "shift", "form").agg(
+    met = hits.join(right, (F.col("hash") == F.col("item_hash")) & (F.col("fixed") == F.col("item_fixed")))
+    met = met.select("id", "text_hash", "item", (F.col("at") - F.col("item_at")).alias("shift"), "form", "place", "size", F.arrays_zip("item_slots", "slots").alias("pairs"))
+    # an alignment of a text has at most as many different rows as the item has windows; each form is judged alone
+    aligned = met.groupBy("id", "text_hash", "item", "shift", "form").agg(
         F.collect_set("place").alias("places"),
         F.first("size").alias("size"),
-        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
     n_item, n_doc = (F.expr(f"size(array_distinct(transform(pairs, p -> p.{side})))") for side in ("item_slots", "slots"))
     one_to_one = aligned.where(4 * F.size("pairs") <= 5 * F.least(n_item, n_doc))
-    placed = one_to_one.select("id", "item", "size", F.explode("places").alias("place"))
+    placed = one_to_one.select("id", "text_hash", "item", "size", F.explode("places").alias("place"))
     # of all windows or of those with a template, whichever is more: values that differ hide the others
     share = F.greatest(F.countDistinct("place") / F.first("size.of"), F.countDistinct(F.when(F.col("place.plain"), F.col("place"))) / F.nullif(F.first("size.of_plain"), F.lit(0)))
-    return placed.groupBy("id", "item").agg(share.alias("cover")).where(F.col("cover") >= cover).select(F.col("id").alias(id_col), "item", "cover")
+    covered = placed.groupBy("id", "text_hash", "item").agg(share.alias("cover")).where(F.col("cover") >= cover)
+    return covered.groupBy("id", "item").agg(F.max("cover").alias("cover")).select(F.col("id").alias(id_col), "item", "cover")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cover: float = COVER) -> DataFrame:

@@ -236,6 +236,100 @@ def test_items_of_placeholders_and_of_few_words(spark):
     assert {r.doc_id: r.items for r in got if r.contaminated} == {n + k: [k] for n in (0, 10) for k in range(4)}
 
 
+def brute_leaks(docs, items):
+    """{(document, item)} by trying every shift of every document: no hashes, no filters."""
+    from itertools import product
+
+    def kept(text):
+        return [c for c in map(decontaminate.canonical, (text or "").split()) if c[1]]
+
+    def slots(own, form):
+        return [c for c in own if c[0] not in decontaminate.FORMS[form]]
+
+    found = set()
+    for (d, text), (i, item) in product(docs, items):
+        a, b = kept(text), kept(item)
+        width = min(len(b), decontaminate.WIDTH)
+        if not width:
+            continue
+        count, plain = 0, set()
+        by_form = {"template": [], "folded": [], "literal": []}
+        for at in range(len(b) - width + 1):
+            good = [f for f in ("template", "folded") if width >= decontaminate.LEAST_WIDTH and width - len(slots(b[at:at + width], f)) >= (width + 1) // 2]
+            for f in good or ["literal"]:
+                by_form[f].append(at)
+            plain |= {at} if "template" in good else set()
+            count += 1
+        covered = set()
+        for shift in range(-len(b), len(a)):
+            for form, places in by_form.items():
+                met, pairs = [], set()
+                for at in places:
+                    x, y = b[at:at + width], a[at + shift:at + shift + width] if at + shift >= 0 else []
+                    if not y or (x[0][0] == "word") != (y[0][0] == "word") or x[0][0] == "word" and x[0] != y[0]:
+                        continue
+                    fixed = [[("", v.casefold() if form != "template" else v) if k in decontaminate.FORMS[form] else (k, "") for k, v in z] for z in (x, y)]
+                    if fixed[0] == fixed[1]:
+                        met.append(at)
+                        pairs |= set(zip(slots(x, form), slots(y, form)))
+                if 4 * len(pairs) <= 5 * min(len({p[0] for p in pairs}), len({p[1] for p in pairs})):
+                    covered |= set(met)
+        if covered and (2 * len(covered) >= count or plain and 2 * len(covered & plain) >= len(plain)):
+            found.add((d, i))
+    return found
+
+
+def generated_questions(rng):
+    """(item, the same with other values, the same with inconsistent ones) of many shapes."""
+    people = "Tom Anna Lena Omar McTavish O'Brien Sofia Igor Nadia Pablo Ruth Yusuf".split()
+    things = "apples pears books coins stamps tickets marbles pencils".split()
+    verbs = "buys finds sells paints counts repairs carries borrows".split()
+    shapes = [
+        "{a} has {x} {t} and {v} {y} more {t} from {b} for {z} dollars each. How many {t} does {a} have at the end of the day?",
+        "A train leaves the old station at {x} km per hour while {a} {v} {y} {t} in the dining car. After {z} hours how far has the train gone?",
+        "In the garden behind the house {a} and {b} {v} {t} every morning; {a} takes {x} of them and {b} takes {y}. What is left of {z} {t}?",
+        "If the rope is {x} meters long and {b} cuts off {y} meters, {a} {v} the rest in {z} minutes. How long is each of the pieces that remain?",
+    ]
+    for k in range(60):
+        t, v = rng.choice(things), rng.choice(verbs)
+        shape = shapes[k % 4] + f" Explain the answer to question number {k} in words of {rng.choice('green red blue'.split())} ink."
+
+        def fill():
+            a, b = rng.sample(people, 2)
+            x, y, z = rng.sample(range(2, 997), 3)
+            return shape.format(a=a, b=b, x=x, y=y, z=z, t=t, v=v)
+
+        item = fill()
+        yield item, fill()
+
+
+def test_decontamination_recall_and_brute_force(spark):
+    """Re-parameterised questions: recall of at least 0.9 and no false hit; verbatim copies of every length: all."""
+    rng = random.Random(11)
+    vocabulary_ = [f"w{k}" for k in range(400)]
+    filler = lambda n: " ".join(rng.choices(vocabulary_, k=n))
+    questions = list(generated_questions(rng))
+    plain = [" ".join(rng.sample(vocabulary_, n)) for n in (*range(1, 24), 40, 90)] + ["What is 2 + 2?", "Who wrote Hamlet?", "3 + 4 = 7, 5 + 6 = 11, 7 + 8 = 15", "12"]
+    items = list(enumerate([q for q, _ in questions] + plain))
+    docs, wanted = [], set()
+    for k, (item, other) in enumerate(questions):
+        docs += [(k, f"{filler(20)} {other} {filler(20)}"), (1000 + k, f"{filler(9)} {item}")]
+        wanted.add((1000 + k, k))
+    for k, text in enumerate(plain, len(questions)):
+        if len(text.split()) > 3 or not text.startswith("w"):  # the fillers hold the shortest ones by chance
+            docs.append((2000 + k, f"{filler(5)} {text} {filler(5)}"))
+            wanted.add((2000 + k, k))
+    docs += [(5000 + k, "a quite different text about nothing of the kind " * 3 + " ".join(f"v{rng.randint(0, 99)}" for _ in range(40))) for k in range(40)]
+    got = decontaminate.decontaminate(frame(spark, docs, "doc_id long, text string"), frame(spark, items, "item_id long, text string")).collect()
+    found = {(r.doc_id, i) for r in got for i in r.items}
+    assert wanted <= found
+    asked = {(k, k) for k in range(len(questions))}
+    assert len(asked & found) >= 0.9 * len(asked)
+    assert not any(r.contaminated for r in got if r.doc_id >= 5000)
+    some = [d for d in docs if d[0] % 1000 in (0, 1, 2, 3, 62, 67, 75, 85, 86, 87)]
+    assert {(d, i) for d, i in found if d in dict(some)} == brute_leaks(some, items)
+
+
 def test_decontamination_finds_what_substring_search_finds(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
