@@ -1,4 +1,4 @@
-"""Algebraic multigrid: its steps as DataFrame operations, and a hierarchy with cycles in a local space."""
+"""Algebraic multigrid: its steps as DataFrame operations, and hierarchies with cycles in a local space and on tables."""
 
 from __future__ import annotations
 
@@ -6,16 +6,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import SparseMatrix, matrix
-from .spaces import LocalSpace
+from ..model import SolveError, SparseMatrix, matrix
+from .spaces import LocalSpace, TableSpace, strong_entries
 
 # Steps on tables
 
 
 def strength_graph(a: SparseMatrix, threshold: float = 0.5) -> DataFrame:
     """(r, c, v) of the strong connections: -a_ij is at least ``threshold`` of the row's largest."""
-    top = a.df.where("r <> c").groupBy("r").agg(F.max(-F.col("v")).alias("top"))
-    return a.df.where("r <> c").join(top, "r").where((F.col("top") > 0) & (-F.col("v") >= threshold * F.col("top"))).select("r", "c", "v")
+    return strong_entries(a.df, threshold)
 
 
 def handshake(a: SparseMatrix) -> DataFrame:
@@ -65,6 +64,190 @@ def grid_stats(levels: list[SparseMatrix]) -> list[tuple[int, int, int]]:
     return [(k, a.df.select("r").distinct().count(), a.nnz()) for k, a in enumerate(levels)]
 
 
+#: Rounds of pairing of the aggregation selectors.
+PAIRINGS = {"SIZE_4": 2, "MULTI_PAIRWISE": 2, "SIZE_8": 3}
+#: Rows that a dense coarse solver takes.
+DENSE_ROWS = 5000
+#: A level of a table hierarchy with at most so many entries and rows goes on in the driver's memory.
+DRIVER_ENTRIES, DRIVER_ROWS = 400_000, 50_000
+#: What a visit of a level does on the level below.
+VISITS = {"V": ["V"], "W": ["W", "W"], "F": ["F", "V"], "CG": ["CG"], "CGF": ["CGF"]}
+
+
+def _symmetric(a: DataFrame) -> DataFrame:
+    """(i, j, w): absolute values of both entries of a pair, without the diagonal."""
+    one = a.where("r <> c").select(F.col("r").alias("i"), F.col("c").alias("j"), F.abs("v").alias("w"))
+    return one.unionByName(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.sum("w").alias("w"))
+
+
+def table_pairs(sp: TableSpace, a: DataFrame, index: DataFrame, rounds: int = 3) -> DataFrame:
+    """(i, agg): ``rounds`` of handshakes among rows still alone; then a row alone joins its strongest neighbour's aggregate."""
+    sym = sp.dealt(_symmetric(a), "i")
+    tie = F.xxhash64(F.least("i", "j"), F.greatest("i", "j"))  # the same from either side
+    best_of = lambda edges: edges.groupBy("i").agg(F.max(F.struct("w", tie.alias("tie"), F.col("j").alias("to"))).alias("best")).select("i", F.col("best.to").alias("j"))
+    done = index.select("i", F.lit(None).cast("long").alias("agg")).checkpoint()
+    for _ in range(rounds):
+        alone = done.where("agg is null").select("i")
+        edges = sym.join(alone, "i", "left_semi").join(alone.toDF("j"), "j", "left_semi")
+        best = best_of(edges)
+        pairs = best.join(best.toDF("j", "back"), "j").where("i = back").select("i", F.least("i", "j").alias("found"))
+        done = done.join(pairs, "i", "left").select("i", F.coalesce("agg", "found").alias("agg")).checkpoint()
+    rest = best_of(sym.join(done.where("agg is null").select("i"), "i", "left_semi")).join(done.where("agg is not null").toDF("j", "theirs"), "j").select("i", "theirs")
+    return done.join(rest, "i", "left").select("i", F.coalesce("agg", "theirs", "i").alias("agg"))
+
+
+def table_coarse_rows(sp: TableSpace, strong: DataFrame) -> DataFrame:
+    """(i, coarse): a maximal independent set of the strength graph (r, c), by weights of influence plus a hash, in rounds."""
+    both = sp.dealt(strong.union(strong.select("c", "r")).distinct(), "c")
+    weight = strong.groupBy(F.col("c").alias("i")).agg(F.count("*").alias("w"))
+    # 0 open, 1 coarse, -1 fine
+    state = sp.table.select("i").join(weight, "i", "left").select("i", F.struct(F.coalesce("w", F.lit(0)).alias("w"), F.xxhash64("i").alias("h"), F.col("i").alias("n")).alias("rank"), F.when(F.col("w") > 0, 0).otherwise(-1).alias("state")).checkpoint()
+    while state.where("state = 0").limit(1).count():
+        open_rows = state.where("state = 0").select(F.col("i").alias("c"), F.col("rank").alias("theirs"))
+        top = both.join(open_rows, "c").groupBy(F.col("r").alias("i")).agg(F.max("theirs").alias("top"))
+        state = state.join(top, "i", "left").select("i", "rank", F.when((F.col("state") == 0) & (F.col("top").isNull() | (F.col("rank") > F.col("top"))), 1).otherwise(F.col("state")).alias("state")).checkpoint()
+        near = strong.join(state.where("state = 1").select(F.col("i").alias("c")), "c", "left_semi").select(F.col("r").alias("i")).distinct().withColumn("near", F.lit(True))
+        state = state.join(near, "i", "left").select("i", "rank", F.when((F.col("state") == 0) & F.col("near"), -1).otherwise(F.col("state")).alias("state")).checkpoint()
+    return state.select("i", (F.col("state") == 1).alias("coarse"))
+
+
+def table_distance_two(sp: TableSpace, strong: DataFrame, coarse: DataFrame) -> DataFrame:
+    """(i, j, w): extended interpolation by joins; a coarse row keeps its name."""
+    a = sp.a
+    c_rows, f_rows = coarse.where("coarse").select("i"), coarse.where("not coarse").select("i")
+    fine = strong.join(f_rows.toDF("r"), "r", "left_semi")
+    to_c, to_f = fine.join(c_rows.toDF("c"), "c", "left_semi").select("r", "c"), fine.join(f_rows.toDF("c"), "c", "left_semi").select("r", "c")
+    second = to_f.join(to_c.toDF("c", "far"), "c").select("r", F.col("far").alias("c"))
+    reach = sp.dealt(to_c.union(second).distinct(), "r")
+    entries = a.join(f_rows.toDF("r"), "r", "left_semi")
+    marked = entries.join(reach.withColumn("reached", F.lit(True)), ["r", "c"], "left").join(to_f.withColumn("through", F.lit(True)), ["r", "c"], "left")
+    own = marked.groupBy("r").agg(F.sum(F.when((F.col("r") == F.col("c")) | F.col("reached").isNull() & F.col("through").isNull(), F.col("v")).otherwise(0.0)).alias("diag"))
+    direct = marked.where("reached").select("r", "c", "v")
+    # what a row has through its strong fine neighbours: a_ik times a_kj over the sum of the a_kj it can use
+    through = marked.where("through").select("r", F.col("c").alias("k"), F.col("v").alias("aik"))
+    diagonal = a.where("r = c").select(F.col("r").alias("k"), F.col("v").alias("akk"))
+    targets = reach.union(f_rows.select(F.col("i").alias("r"), F.col("i").alias("c")))
+    step = through.join(a.select(F.col("r").alias("k"), "c", F.col("v").alias("akj")), "k").join(diagonal, "k").where("akj * akk < 0").join(targets, ["r", "c"], "left_semi")
+    part = step.join(step.groupBy("r", "k").agg(F.sum("akj").alias("total")), ["r", "k"]).select("r", "c", "k", (F.col("aik") * F.col("akj") / F.col("total")).alias("v"))
+    part = sp.dealt(part, "r")
+    lost = through.join(part.select("r", "k").distinct(), ["r", "k"], "left_anti").groupBy("r").agg(F.sum("aik").alias("lost"))
+    back = part.where("r = c").groupBy("r").agg(F.sum("v").alias("back"))
+    diag = own.join(lost, "r", "left").join(back, "r", "left").select("r", (F.col("diag") + F.coalesce("lost", F.lit(0.0)) + F.coalesce("back", F.lit(0.0))).alias("diag"))
+    weights = direct.unionByName(part.where("r <> c").select("r", "c", "v")).groupBy("r", "c").agg(F.sum("v").alias("v"))
+    out = weights.join(diag.where("diag <> 0"), "r").select(F.col("r").alias("i"), F.col("c").alias("j"), (-F.col("v") / F.col("diag")).alias("w"))
+    return out.unionByName(c_rows.select("i", F.col("i").alias("j"), F.lit(1.0).alias("w")))
+
+
+def table_galerkin(a: DataFrame, p: DataFrame) -> DataFrame:
+    """P^T A P for P as (i, j, w)."""
+    right = a.join(p.select(F.col("i").alias("c"), F.col("j").alias("jc"), F.col("w").alias("wc")), "c").groupBy("r", "jc").agg(F.sum(F.col("v") * F.col("wc")).alias("v"))
+    return right.join(p.select(F.col("i").alias("r"), F.col("j").alias("jr"), F.col("w").alias("wr")), "r").groupBy("jr", "jc").agg(F.sum(F.col("v") * F.col("wr")).alias("v")).toDF("r", "c", "v")
+
+
+class TableHierarchy:
+    """Levels of table spaces; a coarse row keeps the name of a fine one.  A level that is counted to be small goes on as a
+    local hierarchy of the same kind in the driver, so that no more than ``DRIVER_ENTRIES`` entries ever leave the tables."""
+
+    def __init__(self, sp: TableSpace, opt: dict):
+        from .krylov import LOCAL_ONLY, RELAXATIONS
+
+        self.opt, block = opt, int(opt.get("block_dim", 1))
+        algorithm, selector = str(opt.get("algorithm", "CLASSICAL")).upper(), str(opt.get("selector", "PMIS")).upper()
+        smoother = opt.get("smoother", "BLOCK_JACOBI")
+        name, options = (smoother, {}) if isinstance(smoother, str) else (smoother.get("solver", "BLOCK_JACOBI"), smoother)
+        if str(name).upper() in LOCAL_ONLY:
+            raise ValueError(f"{name} runs in one task only and cannot smooth on tables")
+        if int(opt.get("aggressive_levels", 0)):
+            raise ValueError("aggressive_levels is for systems that are solved in one task")
+        self.spaces, self.p, self.smooth = [sp], [], []
+        left = int(opt.get("max_levels", 100))
+        while True:
+            fine = self.spaces[-1]
+            rows, entries = fine.table.count(), fine.a.count()
+            if rows <= int(opt.get("driver_rows", DRIVER_ROWS)) and entries <= DRIVER_ENTRIES:
+                break
+            if len(self.spaces) >= left:
+                raise ValueError(f"the last of {left} levels has {rows} rows and {entries} entries; levels end below {DRIVER_ROWS} rows and {DRIVER_ENTRIES} entries only")
+            index = fine.table.select("i")
+            if algorithm == "AGGREGATION":
+                nodes = fine.a.select(F.expr(f"r div {block}").alias("r"), F.expr(f"c div {block}").alias("c"), "v") if block > 1 else fine.a
+                names = index.select(F.expr(f"i div {block}").alias("i")).distinct() if block > 1 else index
+                agg = table_pairs(fine, nodes, names)
+                for _ in range(PAIRINGS.get(selector, 1) - 1):
+                    quotient = nodes.join(agg.toDF("r", "ra"), "r").join(agg.toDF("c", "ca"), "c").groupBy(F.col("ra").alias("r"), F.col("ca").alias("c")).agg(F.sum("v").alias("v"))
+                    step = table_pairs(fine, quotient, agg.select(F.col("agg").alias("i")).distinct())
+                    agg = agg.join(step.toDF("agg", "next"), "agg").select("i", F.col("next").alias("agg"))
+                p = agg.select("i", F.col("agg").alias("j"), F.lit(1.0).alias("w"))
+                if block > 1:
+                    p = p.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda k: F.struct((F.col("i") * block + k).alias("i"), (F.col("j") * block + k).alias("j"), F.col("w").alias("w")))).alias("x")).select("x.*")
+            else:
+                strong = fine.dealt(strong_entries(fine.a, float(opt.get("strength_threshold", 0.5))).select("r", "c"), "r")
+                p = table_distance_two(fine, strong, table_coarse_rows(fine, strong))
+            p = p.select(F.col("i").cast("long"), F.col("j").cast("long"), "w").checkpoint()
+            names = p.select(F.col("j").alias("i")).distinct().checkpoint()
+            size = names.count()
+            if size == 0 or size >= rows:
+                raise ValueError(f"the hierarchy does not get smaller than {rows} rows, which are too many for one task")
+            below = TableSpace(matrix(table_galerkin(fine.a, p), fine.n), None, fine.parts, names)
+            self.smooth.append(RELAXATIONS[str(name).upper()](fine, {"block_dim": block, **options}))
+            down = fine.dealt(p.select(F.col("j").alias("r"), F.col("i").alias("c"), F.col("w").alias("v")))
+            up = fine.dealt(p.select(F.col("i").alias("r"), F.col("j").alias("c"), F.col("w").alias("v")))
+            self.p.append((down, up))
+            fine.children.append(below)
+            self.spaces.append(below)
+        last = self.spaces[-1]
+        self.names = np.array(sorted(r.i for r in last.table.select("i").collect()), np.int64)  # counted above
+        got = last.a.select("r", "c", "v").toPandas()
+        small = LocalSpace(len(self.names), np.searchsorted(self.names, got["r"]), np.searchsorted(self.names, got["c"]), got["v"])
+        self.bottom = Hierarchy(small, {**opt, "max_levels": max(left - len(self.p), 1)})
+
+    def stats(self) -> list[tuple[int, int, int]]:
+        own = [(k, s.table.count(), s.a.count()) for k, s in enumerate(self.spaces[:-1])]
+        return own + [(k + len(own), rows, entries) for k, rows, entries in self.bottom.stats()]
+
+    def _bottom(self, r: str, kind: str) -> str:
+        sp = self.spaces[-1]
+        got = sp.table.select("i", F.col(r).alias("x")).toPandas().sort_values("i")
+        z = self.bottom.cycle(got["x"].to_numpy(), 0, kind)
+        return sp.put(sp.spark.createDataFrame(list(zip(self.names.tolist(), z.tolist())), "i long, x double"))
+
+    @staticmethod
+    def _moved(m: DataFrame, source: TableSpace, x: str, target: TableSpace) -> str:
+        side = source.table.select(F.col("i").alias("c"), F.col(x).alias("x"))
+        return target.put(m.join(side, "c").groupBy(F.col("r").alias("i")).agg(F.sum(F.col("v") * F.col("x"))))
+
+    def cycle(self, r: str, level: int = 0, kind: str | None = None) -> str:
+        kind = kind or str(self.opt.get("cycle", "V")).upper()
+        if level == len(self.p):
+            return self._bottom(r, kind)
+        sp, below, smooth = self.spaces[level], self.spaces[level + 1], self.smooth[level]
+        down, up = self.p[level]
+        x = None
+
+        def sweep(x: str | None) -> str:
+            left = r if x is None else sp.lin((1.0, r), (-1.0, sp.mul(x)))
+            return smooth(left) if x is None else sp.lin((1.0, x), (1.0, smooth(left)))
+
+        for _ in range(int(self.opt.get("presweeps", 1))):
+            x = sweep(x)
+        for again in VISITS.get(kind, ["V"]):
+            left = r if x is None else sp.lin((1.0, r), (-1.0, sp.mul(x)))
+            step = self._moved(up, below, self.cycle(self._moved(down, sp, left, below), level + 1, again), sp)
+            if kind in ("CG", "CGF"):  # the step length that minimizes the error along the correction
+                bottom, top = sp.dots((step, sp.mul(step)), (step, left))
+                step = sp.lin((top / bottom if bottom else 1.0, step))
+            x = step if x is None else sp.lin((1.0, x), (1.0, step))
+        for _ in range(int(self.opt.get("postsweeps", 1))):
+            x = sweep(x)
+        return x
+
+
+def hierarchy(sp: LocalSpace | TableSpace, opt: dict) -> Hierarchy | TableHierarchy:
+    out = Hierarchy(sp, opt) if isinstance(sp, LocalSpace) else TableHierarchy(sp, opt)
+    sp.grid = out.stats()
+    return out
+
+
 # Hierarchy in a local space
 
 
@@ -194,41 +377,29 @@ class Hierarchy:
         while len(self.spaces) < int(opt.get("max_levels", 100)) and self.spaces[-1].n > floor:
             fine = self.spaces[-1]
             if algorithm == "AGGREGATION":
-                number = pairwise(fine, block)
-                rounds = {"SIZE_4": 2, "MULTI_PAIRWISE": 2, "SIZE_8": 3}.get(selector, 1)
-                for _ in range(rounds - 1):
-                    size = int(number.max()) + 1
-                    quotient = LocalSpace(size, number[fine.r // block], number[fine.c // block], fine.v)
-                    number = pairwise(self._summed(quotient))[number]
+                number = fine.once(f"aggregates {selector} {block}", lambda: self._aggregates(fine, selector, block))  # noqa: B023
                 rows = np.arange(fine.n)
                 p = (rows, number[rows // block] * block + rows % block, np.ones(fine.n))
                 size = (int(number.max()) + 1) * block
             else:
                 sr, sc = strength(fine, float(opt.get("strength_threshold", 0.5)))
-                coarse = pmis(fine.n, sr, sc)
-                if len(self.spaces) <= int(opt.get("aggressive_levels", 0)) and coarse.sum() > 2:
-                    index = np.flatnonzero(coarse)
-                    steps = {}
-                    for i, j in zip(sr.tolist(), sc.tolist()):
-                        steps.setdefault(i, set()).add(j)
-                    far = [(a, b) for a in index.tolist() for k in steps.get(a, ()) for b in steps.get(k, ()) if coarse[b] and a != b]
-                    if far:
-                        back = np.full(fine.n, -1)
-                        back[index] = np.arange(len(index))
-                        f = np.array(far)
-                        coarse = np.zeros(fine.n, bool)
-                        coarse[index[pmis(len(index), back[f[:, 0]], back[f[:, 1]])]] = True
+                level = len(self.spaces)
+                coarse = fine.once(f"coarse {selector} {opt.get('strength_threshold', 0.5)} {opt.get('aggressive_levels', 0)}", lambda: self._coarse_rows(fine, sr, sc, level))  # noqa: B023
                 p, size = distance_two(fine, coarse, sr, sc), int(coarse.sum())
             if size == 0 or size >= fine.n:
                 break
             self.p.append((*p, size))
             self.smooth.append(RELAXATIONS[str(name).upper()](fine, {"block_dim": block, **options}))
-            self.spaces.append(self._coarse(fine, *p, size))
+            below = self._coarse(fine, *p, size)
+            below.kept = fine.once("below", dict)
+            self.spaces.append(below)
         last = self.spaces[-1]
         bottom = opt.get("coarse_solver", "DENSE_LU_SOLVER")
         bottom = {"solver": bottom} if isinstance(bottom, str) else bottom
         kind = str(bottom.get("solver")).upper()
-        if kind in ("DENSE_LU_SOLVER", "AMG") and last.n <= 5000:
+        if kind in ("DENSE_LU_SOLVER", "AMG"):
+            if last.n > DENSE_ROWS:
+                raise ValueError(f"the coarsest level has {last.n} rows; a dense coarse solver takes {DENSE_ROWS} at most: allow more levels or name a relaxation as coarse_solver")
             self.coarsest = self._pinv_safe(dense_lu(last), last)
         else:
             relax, count = RELAXATIONS.get(kind, RELAXATIONS["BLOCK_JACOBI"])(last, {"block_dim": block, **bottom}), int(bottom.get("max_iters", 50))
@@ -241,11 +412,38 @@ class Hierarchy:
 
             self.coarsest = several
 
+    def _aggregates(self, fine: LocalSpace, selector: str, block: int) -> np.ndarray:
+        number = pairwise(fine, block)
+        for _ in range(PAIRINGS.get(selector, 1) - 1):
+            size = int(number.max()) + 1
+            quotient = LocalSpace(size, number[fine.r // block], number[fine.c // block], fine.v)
+            number = pairwise(self._summed(quotient))[number]
+        return number
+
+    def _coarse_rows(self, fine: LocalSpace, sr: np.ndarray, sc: np.ndarray, level: int) -> np.ndarray:
+        coarse = pmis(fine.n, sr, sc)
+        if level > int(self.opt.get("aggressive_levels", 0)) or coarse.sum() <= 2:
+            return coarse
+        # a second selection among the coarse rows, by strong paths of two steps
+        index = np.flatnonzero(coarse)
+        order = np.argsort(sr, kind="stable")
+        to, start = sc[order], np.searchsorted(sr[order], np.arange(fine.n + 1))
+        first = coarse[sr]
+        a, k = sr[first], sc[first]
+        n = start[k + 1] - start[k]
+        a, b = np.repeat(a, n), to[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[k], n)]
+        far = coarse[b] & (a != b)
+        if far.any():
+            back = np.full(fine.n, -1)
+            back[index] = np.arange(len(index))
+            pair = np.unique(back[a[far]] * len(index) + back[b[far]])
+            coarse = np.zeros(fine.n, bool)
+            coarse[index[pmis(len(index), pair // len(index), pair % len(index))]] = True
+        return coarse
+
     @staticmethod
     def _pinv_safe(solve, space):
         def apply(r):
-            from ..model import SolveError
-
             try:
                 return solve(r)
             except SolveError:
@@ -287,7 +485,7 @@ class Hierarchy:
         x = np.zeros(sp.n)
         for _ in range(int(self.opt.get("presweeps", 1))):
             x = x + smooth(r - sp.mul(x))
-        visits = {"V": [kind], "W": [kind, kind], "F": ["F", "V"], "CG": [kind], "CGF": [kind]}.get(kind, ["V"])
+        visits = VISITS.get(kind, ["V"])
         if level + 1 == len(self.p):
             visits = visits[:1]
         for again in visits:

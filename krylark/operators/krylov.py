@@ -236,16 +236,13 @@ def preconditioned_richardson(sp, b, x, stop, m=None, opt=None):
 
 
 def block_jacobi(sp, opt) -> Callable:
-    """Point Jacobi; with block_dim k in a local space the k by k diagonal blocks are inverted."""
+    """Point Jacobi; with block_dim k the k by k diagonal blocks are inverted."""
     omega, k = float(opt.get("relaxation_factor", 0.9)), int(opt.get("block_dim", 1))
-    if k > 1 and hasattr(sp, "dense"):
+    if k > 1:
         if sp.n % k:
             raise ValueError(f"{sp.n} rows do not divide into blocks of {k}")
-        on = sp.r // k == sp.c // k
-        blocks = np.zeros((sp.n // k, k, k))
-        np.add.at(blocks, (sp.r[on] // k, sp.r[on] % k, sp.c[on] % k), sp.v[on])
-        inverse = np.linalg.inv(blocks)
-        return lambda r: omega * np.einsum("bij,bj->bi", inverse, r.reshape(-1, k)).ravel()
+        inverse = sp.block_inverse(k)
+        return lambda r: sp.lin((omega, sp.product(inverse, r)))
     d = sp.inverse(sp.diagonal())
     return lambda r: sp.lin((omega, sp.times(d, r)))
 
@@ -259,7 +256,7 @@ def chebyshev(sp, opt) -> Callable:
     """A polynomial of degree ``chebyshev_polynomial_order`` in the Jacobi-scaled matrix; no inner products at all."""
     order = int(opt.get("chebyshev_polynomial_order", 5))
     d = sp.inverse(sp.diagonal())
-    hi = sp.largest(sp.times(sp.inverse_abs(d) if hasattr(sp, "inverse_abs") else d, sp.abs_row_sums()))
+    hi = sp.largest(sp.times(d, sp.abs_row_sums()))
     lo = hi * float(opt.get("cheby_min_ratio", 1 / 30))
     theta, delta = (hi + lo) / 2, (hi - lo) / 2
 
@@ -301,45 +298,44 @@ def colors_of(n: int, r: np.ndarray, c: np.ndarray) -> np.ndarray:
 def multicolor_gs(sp, opt) -> Callable:
     """Gauss-Seidel in the order of the colors; ``symmetric`` sweeps back again."""
     omega = float(opt.get("relaxation_factor", 1.0))
-    color = colors_of(sp.n, sp.r, sp.c)
+    color, n_colors = sp.colors()
     d = sp.inverse(sp.diagonal())
-    order = list(range(color.max() + 1 if len(color) else 0))
+    order = list(range(n_colors))
     if opt.get("symmetric_GS"):
         order += order[::-1]
 
     def apply(r):
-        z = sp.zero()
+        z, left = None, r
         for k in order:
-            z = z + np.where(color == k, omega * d * (r - sp.mul(z)), 0.0)
-        return z
+            step = sp.only(color, k, sp.lin((omega, sp.times(d, left))))
+            z = step if z is None else sp.lin((1.0, z), (1.0, step))
+            left = sp.lin((1.0, r), (-1.0, sp.mul(z)))
+        return sp.zero() if z is None else z
 
     return apply
 
 
 def multicolor_dilu(sp, opt) -> Callable:
-    """(E + L) E^-1 (E + U) with the triangles of the color order and E chosen so that the diagonals agree."""
+    """(E + L) E^-1 (E + U) with the triangles of the color order and E chosen so that the diagonals agree.
+
+    A product with A on the rows of a color is one with a triangle as long as the vector is zero on that color and the later
+    (or the earlier) ones, so both sweeps need no other matrix.
+    """
     omega = float(opt.get("relaxation_factor", 1.0))
-    color = colors_of(sp.n, sp.r, sp.c)
-    e = sp.diagonal().copy()
-    pair = {(i, j): v for i, j, v in zip(sp.r.tolist(), sp.c.tolist(), sp.v.tolist())}
-    both = np.array([pair.get((j, i), 0.0) for i, j in zip(sp.r.tolist(), sp.c.tolist())])
-    lower, upper = color[sp.c] < color[sp.r], color[sp.c] > color[sp.r]
-    n_colors = int(color.max()) + 1 if len(color) else 0
+    color, n_colors = sp.colors()
+    mirrored, e = sp.mirrored(), sp.diagonal()
     for k in range(1, n_colors):
-        own = lower & (color[sp.r] == k)
-        e -= np.bincount(sp.r[own], sp.v[own] * both[own] / e[sp.c[own]], sp.n)
+        e = sp.lin((1.0, e), (-1.0, sp.only(color, k, sp.product(mirrored, sp.before(color, k, sp.inverse(e))))))
     inv = sp.inverse(e)
 
     def apply(r):
-        y = np.zeros(sp.n)
-        for k in range(n_colors):
-            own = lower & (color[sp.r] == k)
-            y = np.where(color == k, inv * (r - np.bincount(sp.r[own], sp.v[own] * y[sp.c[own]], sp.n)), y)
-        z = y.copy()
+        y = sp.only(color, 0, sp.times(inv, r))
+        for k in range(1, n_colors):
+            y = sp.lin((1.0, y), (1.0, sp.only(color, k, sp.times(inv, sp.lin((1.0, r), (-1.0, sp.mul(y)))))))
+        z = sp.only(color, n_colors - 1, y)
         for k in reversed(range(n_colors - 1)):
-            own = upper & (color[sp.r] == k)
-            z = np.where(color == k, y - inv * np.bincount(sp.r[own], sp.v[own] * z[sp.c[own]], sp.n), z)
-        return omega * z
+            z = sp.lin((1.0, z), (1.0, sp.only(color, k, sp.lin((1.0, y), (-1.0, sp.times(inv, sp.mul(z)))))))
+        return sp.lin((omega, z))
 
     return apply
 
@@ -375,15 +371,14 @@ def multicolor_ilu(sp, opt) -> Callable:
 
 def cf_jacobi(sp, opt) -> Callable:
     """Jacobi on the coarse points, then on the fine ones."""
-    from .amg import pmis, strength
-
     omega = float(opt.get("relaxation_factor", 0.9))
-    coarse = pmis(sp.n, *strength(sp, float(opt.get("strength_threshold", 0.5))))
-    d = omega * sp.inverse(sp.diagonal())
+    coarse = sp.coarse_rows(float(opt.get("strength_threshold", 0.5)))
+    d = sp.inverse(sp.diagonal())
 
     def apply(r):
-        z = np.where(coarse, d * r, 0.0)
-        return z + np.where(coarse, 0.0, d * (r - sp.mul(z)))
+        z = sp.lin((omega, sp.times(coarse, sp.times(d, r))))
+        step = sp.lin((omega, sp.times(d, sp.lin((1.0, r), (-1.0, sp.mul(z))))))
+        return sp.lin((1.0, z), (1.0, step), (-1.0, sp.times(coarse, step)))
 
     return apply
 
@@ -411,5 +406,5 @@ RELAXATIONS = {
     "BLOCK_JACOBI": block_jacobi, "JACOBI_L1": jacobi_l1, "GS": multicolor_gs, "MULTICOLOR_GS": multicolor_gs, "MULTICOLOR_DILU": multicolor_dilu, "MULTICOLOR_ILU": multicolor_ilu,
     "CHEBYSHEV": chebyshev, "CHEBYSHEV_POLY": chebyshev, "CF_JACOBI": cf_jacobi, "DENSE_LU_SOLVER": dense_lu, "NOSOLVER": nosolver,
 }
-#: What runs on a table too; the others need a row's neighbours in order and run in one task.
-ON_TABLES = set(KRYLOV) | {"BLOCK_JACOBI", "JACOBI_L1", "CHEBYSHEV", "CHEBYSHEV_POLY", "NOSOLVER"}
+#: What runs in one task only: the factors of the one need a row's neighbours in order, the other is dense.
+LOCAL_ONLY = {"MULTICOLOR_ILU", "DENSE_LU_SOLVER"}

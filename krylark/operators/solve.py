@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import pickle
+import zlib
 from collections import OrderedDict
 from collections.abc import Callable
 from typing import Any
@@ -15,14 +17,16 @@ from pyspark.sql import functions as F
 
 from ..model import SolveError, SparseMatrix, Status
 from ..plans import config as cfg
+from ..storage import shared_root
 from .algebra import sddmm, structure_hash, transpose
-from .amg import Hierarchy
-from .krylov import KRYLOV, ON_TABLES, PLAIN, RELAXATIONS, Stop, preconditioned_richardson
+from .amg import hierarchy
+from .krylov import KRYLOV, LOCAL_ONLY, PLAIN, RELAXATIONS, Stop, preconditioned_richardson
 from .spaces import LocalSpace, TableSpace
 
 #: Systems with at most so many entries and rows are solved in one task (about 200 MB of arrays).
 LOCAL_ENTRIES, LOCAL_ROWS = 2_000_000, 1_000_000
 RESULT = "batch long, i long, x double, iterations int, residual double, status int, residual_history array<double>"
+DETAILS = RESULT + ", grid array<array<long>>, setup binary"
 
 
 def _preconditioner(sp: Any, entry: Any, options: dict) -> Callable | None:
@@ -33,7 +37,7 @@ def _preconditioner(sp: Any, entry: Any, options: dict) -> Callable | None:
         return None
     sweeps = int(block.get("max_iters", 1))
     if name == "AMG":
-        one = Hierarchy(sp, block).cycle
+        one = hierarchy(sp, block).cycle
     elif name in RELAXATIONS:
         one = RELAXATIONS[name](sp, block)
     elif name in KRYLOV:
@@ -70,22 +74,27 @@ def run(sp: Any, b: Any, x0: Any, options: dict, m: Callable | None = None) -> t
     return preconditioned_richardson(sp, b, x0, stop, one, options), stop
 
 
-def _only_local(scope: dict, given: bool) -> str | None:
+def _only_local(scope: Any, given: bool) -> str | None:
     """What of an outer scope runs in one task only; ``given``: the caller's own preconditioner takes the scope's place."""
-    name, inner = str(scope.get("solver", "PBICGSTAB")).upper(), scope.get("preconditioner")
-    if name not in ON_TABLES:
+    scope = {"solver": scope} if isinstance(scope, str) else dict(scope or {})
+    name = str(scope.get("solver", "PBICGSTAB")).upper()
+    if name in LOCAL_ONLY:
         return name
-    if name == "BLOCK_JACOBI" and int(scope.get("block_dim", 1)) > 1:
-        return f"{name} with blocks"
-    if given or name not in KRYLOV or name in PLAIN or not inner:
+    if name == "AMG":  # its coarse solver always runs on a level that is counted to be small
+        return _only_local(scope.get("smoother", "BLOCK_JACOBI"), False)
+    if given or name not in KRYLOV or name in PLAIN or not scope.get("preconditioner"):
         return None
-    block = {"solver": inner} if isinstance(inner, str) else inner
-    return _only_local({"block_dim": scope.get("block_dim", 1), **block}, False) if block.get("solver") else None
+    inner = scope["preconditioner"]
+    return _only_local(inner, False) if isinstance(inner, str) or inner.get("solver") else None
 
 
-def _local_task(n: int, options: dict) -> Callable:
+def _local_task(n: int, options: dict, setup: bytes | None = None, keep: bool | None = None) -> Callable:
+    """``setup``: what an earlier solve with the same pattern worked out; ``keep``: hand back what this one did, and (unless None) its grid."""
+
     def task(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         sp = LocalSpace(n, a["r"], a["c"], a["v"])
+        if setup:
+            sp.kept = pickle.loads(zlib.decompress(setup))
         right, first = np.zeros(n), np.zeros(n)
         right[b["i"].to_numpy()] = b["x"]
         first[b["i"].to_numpy()] = b["x0"]
@@ -97,43 +106,62 @@ def _local_task(n: int, options: dict) -> Callable:
                 x, status, info = np.full(n, np.nan), int(Status.FAILED), {"iterations": 0, "residual": float("nan"), "residual_history": []}
         out = pd.DataFrame({"batch": key[0], "i": np.arange(n), "x": x, "iterations": info["iterations"], "residual": info["residual"], "status": status})
         out["residual_history"] = [info["residual_history"] if k == 0 else None for k in range(n)]
+        if keep is not None:
+            out["grid"] = [[list(map(int, level)) for level in sp.grid or []] if k == 0 else None for k in range(n)]
+            out["setup"] = [zlib.compress(pickle.dumps(sp.kept), 1) if keep and k == 0 else None for k in range(n)]
         return out
 
     return task
 
 
+def check_vector(x: DataFrame, n: int, name: str) -> None:
+    """Raises if a vector has a row outside of 0 to n - 1; rows that it lacks are zeros."""
+    low, high = x.toDF("i", "x").agg(F.min("i"), F.max("i")).first()
+    if low is not None and (low < 0 or high >= n):
+        raise ValueError(f"{name} has rows {low} to {high}, the matrix has {n}")
+
+
 def solve_batched(a: DataFrame, b: DataFrame, n: int, config: dict | None = None, *, block_dim: int = 1, **options: Any) -> DataFrame:
-    """Every batch's solution with its own status: ``a`` (batch, r, c, v), ``b`` (batch, i, x); lanes run side by side."""
+    """Every batch's solution with its own status: ``a`` (batch, r, c, v), ``b`` (batch, i, x); lanes run side by side.
+
+    A lane is one task, so its entries are counted; one that is too large raises and is for ``solve``.
+    """
     scope = json.loads(cfg.prepare(config, block_dim=block_dim, **options))["solver"] | {"block_dim": block_dim}
     left = a.select(F.col("batch").cast("long"), F.col("r").cast("long"), F.col("c").cast("long"), F.col("v").cast("double"))
     right = b.select(F.col("batch").cast("long"), F.col("i").cast("long"), F.col("x").cast("double"), F.lit(0.0).alias("x0"))
+    largest = left.groupBy("batch").count().agg(F.max("count")).first()[0] or 0
+    if largest > LOCAL_ENTRIES or n > LOCAL_ROWS:
+        raise ValueError(f"a lane has {largest} entries and {n} rows; lanes take {LOCAL_ENTRIES} entries and {LOCAL_ROWS} rows at most")
     return left.groupBy("batch").cogroup(right.groupBy("batch")).applyInPandas(_local_task(n, scope), RESULT)
 
 
 class _Setups:
-    """Persisted tables of recent systems, by configuration and pattern; the oldest goes first."""
+    """What solves worked out from patterns alone (coarse rows, aggregates, colors), by configuration and pattern; the oldest goes first.
+
+    Values are never kept: a solve with the same pattern takes its own.
+    """
 
     def __init__(self) -> None:
-        self.kept: OrderedDict[tuple, DataFrame] = OrderedDict()
+        self.kept: OrderedDict[tuple, bytes] = OrderedDict()
 
     @property
     def capacity(self) -> int:
         return max(0, int(os.environ.get("KRYLARK_CACHE_SIZE", "1")))
 
-    def get(self, key: tuple) -> DataFrame | None:
+    def get(self, key: tuple) -> bytes | None:
         if key in self.kept:
             self.kept.move_to_end(key)
         return self.kept.get(key)
 
-    def put(self, key: tuple, df: DataFrame) -> None:
+    def put(self, key: tuple, setup: bytes) -> None:
+        self.kept.pop(key, None)
         while self.kept and len(self.kept) >= max(self.capacity, 1):
-            self.kept.popitem(last=False)[1].unpersist()
+            self.kept.popitem(last=False)
         if self.capacity:
-            self.kept[key] = df.persist()
+            self.kept[key] = setup
 
     def clear(self) -> None:
-        while self.kept:
-            self.kept.popitem()[1].unpersist()
+        self.kept.clear()
 
 
 _SETUPS = _Setups()
@@ -157,51 +185,61 @@ def solve(
 ) -> tuple[DataFrame, dict[str, Any]]:
     """(x, info): info has iterations, residual, status and residual_history (entry 0 is the initial residual).
 
-    ``strategy``: ``local`` (one task), ``table`` (a loop over distributed tables) or ``auto``, by the counted size; a method or
-    preconditioner that tables do not have raises there, and nothing takes its place.
-    ``reuse_setup`` keeps the prepared matrix of a pattern; ``preconditioner`` maps a residual to a correction in the
-    space where the solve runs.
+    ``strategy``: ``local`` (one task), ``table`` (a loop over distributed tables) or ``auto``, by the counted size.  Both run
+    the same methods; the two that need one task raise on tables, and nothing takes their place.
+    ``reuse_setup`` keeps what was worked out from a pattern (coarse rows, aggregates, colors) for the next matrix with
+    that pattern and configuration, whose own values are always taken.  ``preconditioner`` maps a residual to a
+    correction in the space where the solve runs.
     """
     n, m = a.shape
     if n != m:
         raise ValueError(f"the matrix must be square, not {a.shape}")
     if n % block_dim:
         raise ValueError(f"{n} rows do not divide into blocks of {block_dim}")
+    check_vector(b, n, "b")
+    if x0 is not None:
+        check_vector(x0, n, "x0")
     text = cfg.prepare(config, save_stats=save_stats_file is not None, distributed=strategy == "table", block_dim=block_dim, **options)
     scope = json.loads(text)["solver"] | {"block_dim": block_dim}
-    df = a.df
-    if reuse_setup:
-        key = (text, structure_hash(a))
-        if _SETUPS.get(key) is None:
-            _SETUPS.put(key, df)
-        df = _SETUPS.get(key) or df
-    if strategy == "auto":
-        small = n <= LOCAL_ROWS and df.limit(LOCAL_ENTRIES + 1).count() <= LOCAL_ENTRIES
-        strategy = "local" if small else "table"
-    if strategy == "table" and (name := _only_local(scope, preconditioner is not None)):
-        raise ValueError(f"{name} runs in one task only, for at most {LOCAL_ENTRIES} entries and {LOCAL_ROWS} rows")
-    x_df, info = (_solve_local if strategy == "local" else _solve_table)(SparseMatrix(df, a.meta), b, x0, scope, num_partitions, preconditioner)
+    # computed once: counted, hashed and solved from the same rows
+    df = a.df.persist()
+    try:
+        key = (text, structure_hash(SparseMatrix(df, a.meta))) if reuse_setup else None
+        if strategy == "auto":
+            strategy = "local" if n <= LOCAL_ROWS and df.count() <= LOCAL_ENTRIES else "table"
+        if strategy == "table" and (name := _only_local(scope, preconditioner is not None)):
+            raise ValueError(f"{name} runs in one task only, for at most {LOCAL_ENTRIES} entries and {LOCAL_ROWS} rows")
+        kept = SparseMatrix(df, a.meta)
+        x_df, info = _solve_local(kept, b, x0, scope, key) if strategy == "local" else _solve_table(kept, b, x0, scope, num_partitions, preconditioner)
+    finally:
+        df.unpersist()
     if info["status"] == Status.FAILED:
         raise SolveError("the solver failed")
     if save_stats_file:
         from ..sources.matrix_market import save_stats
 
-        save_stats(save_stats_file, info)
+        save_stats(save_stats_file, info, info.get("grid"))
     return x_df, info
 
 
-def _solve_local(a: SparseMatrix, b: DataFrame, x0: DataFrame | None, scope: dict, parts: int | None, m: Callable | None) -> tuple[DataFrame, dict]:
-    n = a.shape[0]
+def _solve_local(a: SparseMatrix, b: DataFrame, x0: DataFrame | None, scope: dict, key: tuple | None) -> tuple[DataFrame, dict]:
+    n, spark = a.shape[0], a.df.sparkSession
     right = b.toDF("i", "x")
     right = right.withColumn("x0", F.lit(0.0)) if x0 is None else right.join(x0.toDF("i", "x0"), "i", "full").select("i", F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("x0", F.lit(0.0)).alias("x0"))
     left = a.df.withColumn("batch", F.lit(0).cast("long"))
     right = right.withColumn("batch", F.lit(0).cast("long"))
+    shared_root(spark)
     # one task on purpose: the size is counted before
-    out = left.groupBy("batch").cogroup(right.groupBy("batch")).applyInPandas(_local_task(n, scope), RESULT).persist()
+    task = _local_task(n, scope, _SETUPS.get(key) if key else None, key is not None)
+    out = left.groupBy("batch").cogroup(right.groupBy("batch")).applyInPandas(task, DETAILS).checkpoint()
     row = out.where("i = 0").first()
     if row is None:
         return out.select("i", "x"), {"iterations": 0, "residual": 0.0, "status": Status.SUCCESS, "residual_history": [0.0]}
+    if key:
+        _SETUPS.put(key, bytes(row.setup))
     info = {"iterations": row.iterations, "residual": row.residual, "status": Status(row.status), "residual_history": list(row.residual_history or [])}
+    if row.grid:
+        info["grid"] = [tuple(level) for level in row.grid]
     return out.select("i", "x"), info
 
 
@@ -209,7 +247,7 @@ def _solve_table(a: SparseMatrix, b: DataFrame, x0: DataFrame | None, scope: dic
     sp = TableSpace(a, {"b": b} | ({"x0": x0} if x0 is not None else {}), parts)
     try:
         x, stop = run(sp, "b", "x0" if x0 is not None else sp.zero(), scope, (lambda r: m(sp, r)) if m else None)
-        return sp.vector(x), stop.info()
+        return sp.vector(x), stop.info() | ({"grid": sp.grid} if sp.grid else {})
     finally:
         sp.close()
 
@@ -234,7 +272,10 @@ def make_preconditioner(a: SparseMatrix, config: dict | None = None, *, block_di
     """A function from a residual (i, x) to a correction (i, x): one multigrid cycle unless configured otherwise."""
     scope = json.loads(cfg.prepare_preconditioner(config, block_dim=block_dim, **options))["solver"]
     n = a.shape[0]
-    left = a.df.withColumn("batch", F.lit(0).cast("long")).persist()
+    shared_root(a.df.sparkSession)
+    left = a.df.withColumn("batch", F.lit(0).cast("long")).checkpoint()
+    if n > LOCAL_ROWS or left.count() > LOCAL_ENTRIES:
+        raise ValueError(f"a preconditioner of its own runs in one task, for at most {LOCAL_ENTRIES} entries and {LOCAL_ROWS} rows; name it in the configuration of solve instead")
 
     def task(key, rows: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         sp, right = LocalSpace(n, rows["r"], rows["c"], rows["v"]), np.zeros(n)

@@ -4,14 +4,15 @@ A method is written once over a small set of operations: linear combinations, ba
 with A, and products with a pointwise weight.  ``LocalSpace`` runs them in numpy inside one task, for systems whose
 number of entries is counted and small.  ``TableSpace`` keeps all vectors of an iteration as columns of one table,
 dealt by row: combinations are projections, inner products share one aggregation, and a product with A is one
-shuffle, after which the table is checkpointed.
+shuffle, after which the table is checkpointed.  A coloring, a coarse set and other matrices on the same rows are
+operations of both spaces too.
 """
 
 from __future__ import annotations
 
 import itertools
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import SparseMatrix
+from ..storage import shared_root
 
 
 class LocalSpace:
@@ -29,6 +31,15 @@ class LocalSpace:
         order = np.lexsort((c, r))
         self.n, self.r, self.c, self.v = n, r[order], c[order], v[order]
         self.indptr = np.searchsorted(self.r, np.arange(n + 1))
+        #: What was worked out from the pattern alone; a later system with the same pattern may bring it along.
+        self.kept: dict = {}
+        #: (level, rows, entries) of the multigrid that runs here.
+        self.grid: list[tuple[int, int, int]] | None = None
+
+    def once(self, name: str, make: Callable):
+        if name not in self.kept:
+            self.kept[name] = make()
+        return self.kept[name]
 
     def transposed(self) -> LocalSpace:
         return LocalSpace(self.n, self.c, self.r, self.v)
@@ -73,6 +84,46 @@ class LocalSpace:
     def largest(self, w: np.ndarray) -> float:
         return float(w.max()) if len(w) else 0.0
 
+    def colors(self) -> tuple[np.ndarray, int]:
+        """The color of each row, and how many there are."""
+        from .krylov import colors_of
+
+        color = self.once("colors", lambda: colors_of(self.n, self.r, self.c))
+        return color, int(color.max()) + 1 if len(color) else 0
+
+    def only(self, color: np.ndarray, k: int, x: np.ndarray) -> np.ndarray:
+        """x on the rows of a color, zero elsewhere."""
+        return np.where(color == k, x, 0.0)
+
+    def before(self, color: np.ndarray, k: int, x: np.ndarray) -> np.ndarray:
+        """x on the rows of earlier colors, zero elsewhere."""
+        return np.where(color < k, x, 0.0)
+
+    def mirrored(self) -> LocalSpace:
+        """The matrix of a_ij a_ji off the diagonal."""
+        key = self.r * self.n + self.c
+        at = np.searchsorted(key, self.c * self.n + self.r)
+        at = np.minimum(at, len(key) - 1) if len(key) else at
+        found = (key[at] == self.c * self.n + self.r) & (self.r != self.c) if len(key) else np.zeros(0, bool)
+        return LocalSpace(self.n, self.r[found], self.c[found], self.v[found] * self.v[at[found]])
+
+    def product(self, m: LocalSpace, x: np.ndarray) -> np.ndarray:
+        return m.mul(x)
+
+    def coarse_rows(self, threshold: float) -> np.ndarray:
+        """One on the rows of a maximal independent set of the strength graph."""
+        from .amg import pmis, strength
+
+        return pmis(self.n, *strength(self, threshold)).astype(float)
+
+    def block_inverse(self, k: int) -> LocalSpace:
+        """The matrix of the inverted k by k blocks on the diagonal."""
+        on = self.r // k == self.c // k
+        blocks = np.zeros((self.n // k, k, k))
+        np.add.at(blocks, (self.r[on] // k, self.r[on] % k, self.c[on] % k), self.v[on])
+        b, i, j = np.indices(blocks.shape).reshape(3, -1)
+        return LocalSpace(self.n, b * k + i, b * k + j, np.linalg.inv(blocks).ravel())
+
     def dense(self) -> np.ndarray:
         out = np.zeros((self.n, self.n))
         np.add.at(out, (self.r, self.c), self.v)
@@ -99,25 +150,34 @@ class Vec(str):
 
 
 class TableSpace:
-    """Vectors are names of columns of ``self.table``, which is dealt by ``i`` and checkpointed at every product with A."""
+    """Vectors are names of columns of ``self.table``, which is dealt by ``i`` and checkpointed at every product with A.
 
-    def __init__(self, a: SparseMatrix, columns: dict[str, DataFrame], parts: int | None = None):
+    ``index``: the names of the rows, (i); 0 to n - 1 unless given.
+    """
+
+    def __init__(self, a: SparseMatrix, columns: dict[str, DataFrame] | None = None, parts: int | None = None, index: DataFrame | None = None):
         self.spark: SparkSession = a.df.sparkSession
         self.n = a.shape[0]
         self.parts = parts or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        if not self.spark.sparkContext.getCheckpointDir():
-            import tempfile
-
-            self.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="krylark-"))
-        with fixed_plan(self.spark, self.parts):
-            self.a = a.df.repartition(self.parts, "c").persist()
-        table = self.spark.range(self.n).toDF("i")
-        for name, x in columns.items():
+        shared_root(self.spark)
+        self._persisted: list[DataFrame] = []
+        self.children: list[TableSpace] = []  # coarser spaces, closed with this one
+        self.grid: list[tuple[int, int, int]] | None = None
+        self.a = self.dealt(a.df)
+        table = self.spark.range(self.n).toDF("i") if index is None else index
+        for name, x in (columns or {}).items():
             table = table.join(x.toDF("i", name), "i", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
         self._names = (f"w{k}" for k in itertools.count())
         self._dead: set[str] = set()
         self.table = self._kept(table.repartition(self.parts, "i"))
 
+    def dealt(self, m: DataFrame, by: str = "c") -> DataFrame:
+        """A matrix dealt by column and kept until the space is closed."""
+        with fixed_plan(self.spark, self.parts):
+            out = m.repartition(self.parts, by).persist()
+        self._persisted.append(out)
+        return out
+
     def _handle(self, name: str) -> Vec:
         out = Vec(name)
         weakref.finalize(out, self._dead.add, name)
@@ -134,13 +194,20 @@ class TableSpace:
         self.table = self.table.withColumn(name, expression)
         return self._handle(name)
 
-    def mul(self, x: str) -> str:
+    def put(self, x: DataFrame, otherwise: float = 0.0) -> str:
+        """(i, value) as a vector; rows that it lacks get ``otherwise``."""
         name = next(self._names)
-        side = self.table.select(F.col("i").alias("j"), F.col(x).alias("xj"))
-        product = self.a.join(side, F.col("c") == F.col("j")).groupBy("r").agg(F.sum(F.col("v") * F.col("xj")).alias(name)).withColumnRenamed("r", "i")
-        self.table = self._kept(self.table.join(product, "i", "left").withColumn(name, F.coalesce(name, F.lit(0.0))))
+        self.table = self._kept(self.table.join(x.toDF("i", name), "i", "left").withColumn(name, F.coalesce(name, F.lit(otherwise))))
         return self._handle(name)
 
+    def product(self, m: DataFrame, x: str) -> str:
+        """A vector of sums of v x over the rows of (r, c, v), dealt by column."""
+        side = self.table.select(F.col("i").alias("j"), F.col(x).alias("xj"))
+        return self.put(m.join(side, F.col("c") == F.col("j")).groupBy("r").agg(F.sum(F.col("v") * F.col("xj"))))
+
+    def mul(self, x: str) -> str:
+        return self.product(self.a, x)
+
     def lin(self, *terms: tuple[float, str]) -> str:
         return self._put(sum((F.lit(float(k)) * F.col(x) for k, x in terms[1:]), F.lit(float(terms[0][0])) * F.col(terms[0][1])))
 
@@ -160,19 +227,17 @@ class TableSpace:
     def forget(self, *vectors: str) -> None:
         self.table = self.table.drop(*[v for v in vectors if v])
 
-    def _per_row(self, expression, name: str) -> str:
-        sums = self.a.groupBy("r").agg(F.sum(expression).alias(name)).withColumnRenamed("r", "i")
-        self.table = self._kept(self.table.join(sums, "i", "left").withColumn(name, F.coalesce(name, F.lit(0.0))))
-        return self._handle(name)
+    def _per_row(self, expression) -> str:
+        return self.put(self.a.groupBy("r").agg(F.sum(expression)))
 
     def diagonal(self) -> str:
-        return self._per_row(F.when(F.col("r") == F.col("c"), F.col("v")).otherwise(0.0), next(self._names))
+        return self._per_row(F.when(F.col("r") == F.col("c"), F.col("v")).otherwise(0.0))
 
     def l1_diagonal(self) -> str:
-        return self._per_row(F.when(F.col("r") == F.col("c"), F.col("v")).otherwise(F.abs("v")), next(self._names))
+        return self._per_row(F.when(F.col("r") == F.col("c"), F.col("v")).otherwise(F.abs("v")))
 
     def abs_row_sums(self) -> str:
-        return self._per_row(F.abs("v"), next(self._names))
+        return self._per_row(F.abs("v"))
 
     def inverse(self, w: str) -> str:
         return self._put(F.when(F.col(w) != 0, 1 / F.nullif(F.col(w), F.lit(0.0))).otherwise(0.0))
@@ -180,8 +245,67 @@ class TableSpace:
     def largest(self, w: str) -> float:
         return float(self.table.agg(F.max(w)).first()[0] or 0.0)
 
+    def colors(self) -> tuple[str, int]:
+        """The color of each row, and how many there are: in each round, the open rows whose hash tops their open neighbours' get the next one."""
+        edges = self.a.where("r <> c").select("r", "c")
+        edges = self.dealt(edges.union(edges.select("c", "r")).distinct())
+        color, rank = self._put(F.lit(-1.0)), F.struct(F.xxhash64("i"), F.col("i"))
+        k = 0
+        while self.table.where(F.col(color) < 0).limit(1).count():
+            open_rows = self.table.where(F.col(color) < 0).select(F.col("i").alias("j"), rank.alias("rank"))
+            top = edges.join(open_rows, F.col("c") == F.col("j")).groupBy(F.col("r").alias("i")).agg(F.max("rank").alias("top"))
+            name = next(self._names)
+            wins = (F.col(color) < 0) & (F.col("top").isNull() | (rank > F.col("top")))
+            self.table = self._kept(self.table.join(top, "i", "left").withColumn(name, F.when(wins, F.lit(float(k))).otherwise(F.col(color))).drop("top"))
+            color, k = self._handle(name), k + 1
+        return color, k
+
+    def only(self, color: str, k: int, x: str) -> str:
+        return self._put(F.when(F.col(color) == k, F.col(x)).otherwise(0.0))
+
+    def before(self, color: str, k: int, x: str) -> str:
+        return self._put(F.when(F.col(color) < k, F.col(x)).otherwise(0.0))
+
+    def mirrored(self) -> DataFrame:
+        other = self.a.select(F.col("c").alias("r"), F.col("r").alias("c"), F.col("v").alias("w"))
+        return self.dealt(self.a.where("r <> c").join(other, ["r", "c"]).select("r", "c", (F.col("v") * F.col("w")).alias("v")))
+
+    def coarse_rows(self, threshold: float) -> str:
+        from .amg import table_coarse_rows
+
+        strong = self.dealt(strong_entries(self.a, threshold).select("r", "c"), "r")
+        return self.put(table_coarse_rows(self, strong).select("i", F.col("coarse").cast("double")))
+
+    def block_inverse(self, k: int) -> DataFrame:
+        import pyarrow as pa
+
+        def run(batches):
+            for b in batches:
+                n = b.num_rows
+                lists = b.column(1)
+                entry = lists.flatten()
+                at = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
+                blocks = np.zeros((n, k, k))
+                np.add.at(blocks, (at, *(entry.field(f).to_numpy(zero_copy_only=False) for f in ("i", "j"))), entry.field("v").to_numpy(zero_copy_only=False))
+                at, i, j = np.indices(blocks.shape).reshape(3, -1)
+                first = b.column(0).to_numpy()[at] * k
+                yield pa.RecordBatch.from_arrays([pa.array(first + i), pa.array(first + j), pa.array(np.linalg.inv(blocks).ravel())], names=["r", "c", "v"])
+
+        on = self.a.where(F.expr(f"r div {k} = c div {k}"))
+        lists = on.groupBy(F.expr(f"r div {k}").alias("b")).agg(F.collect_list(F.struct((F.col("r") % k).alias("i"), (F.col("c") % k).alias("j"), "v")).alias("e"))  # k * k entries at most
+        return self.dealt(lists.mapInArrow(run, "r long, c long, v double"))
+
     def vector(self, x: str) -> DataFrame:
         return self.table.select("i", F.col(x).alias("x"))
 
     def close(self) -> None:
-        self.a.unpersist()
+        for child in self.children:
+            child.close()
+        for df in self._persisted:
+            df.unpersist()
+
+
+def strong_entries(a: DataFrame, threshold: float) -> DataFrame:
+    """The strong connections: -a_ij is at least ``threshold`` of the row's largest."""
+    top = a.where("r <> c").groupBy("r").agg(F.max(-F.col("v")).alias("top"))
+    return a.where("r <> c").join(top, "r").where((F.col("top") > 0) & (-F.col("v") >= threshold * F.col("top"))).select("r", "c", "v")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import SparseMatrix, matrix
+from ..storage import shared_root
 
 MAX_UNROLL = 4096
 MAX_EDGES = 50_000_000
@@ -431,10 +432,7 @@ def color_columns(pattern: DataFrame, rounds: int = 10_000) -> DataFrame:
 
 
 def _cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="krylark-"))
+    shared_root(spark)
     return df.checkpoint()
 
 

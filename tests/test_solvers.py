@@ -98,10 +98,10 @@ def test_both_spaces_agree(spark):
         assert left.keys() == right.keys() and all(abs(left[k] - right[k]) < 1e-7 for k in left)
 
 
-@pytest.mark.parametrize("inner", [None, "AMG", {"solver": "AMG", "algorithm": "AGGREGATION"}, "MULTICOLOR_DILU", "MULTICOLOR_GS", "CF_JACOBI", {"solver": "PCG", "preconditioner": "MULTICOLOR_GS"}])
+@pytest.mark.parametrize("inner", ["MULTICOLOR_ILU", "DENSE_LU_SOLVER", {"solver": "PCG", "preconditioner": "MULTICOLOR_ILU"}, {"solver": "AMG", "smoother": "MULTICOLOR_ILU"}])
 def test_tables_replace_no_preconditioner(spark, monkeypatch, inner):
     a, b = gen.poisson_matrix(spark, 4), gen.rhs_ones(spark, 16)
-    options = {"solver": "PBICGSTAB"} | ({"preconditioner": inner} if inner else {})
+    options = {"solver": "PBICGSTAB", "preconditioner": inner}
     with pytest.raises(ValueError, match="one task only"):
         solve(a, b, None, options, strategy="table", num_partitions=2)
     assert solve(a, b, None, options)[1]["status"] == Status.SUCCESS
@@ -110,13 +110,77 @@ def test_tables_replace_no_preconditioner(spark, monkeypatch, inner):
         solve(a, b, None, options)
 
 
-def test_tables_replace_no_blocks(spark):
-    a, b = gen.poisson_matrix(spark, 4), gen.rhs_ones(spark, 16)
-    for options in ({"solver": "PCG", "preconditioner": "BLOCK_JACOBI"}, {"solver": "BLOCK_JACOBI"}):
-        with pytest.raises(ValueError, match="with blocks"):
-            solve(a, b, None, options, strategy="table", num_partitions=2, block_dim=2)
-    _, info = solve(a, b, None, {"solver": "CG"}, strategy="table", num_partitions=2, block_dim=2)
-    assert info["status"] == Status.SUCCESS
+def _same(left, right, tolerance):
+    left, right = ({r.i: r.x for r in x.collect()} for x in (left, right))
+    assert left.keys() == right.keys() and all(abs(left[k] - right[k]) < tolerance for k in left)
+
+
+@pytest.mark.parametrize("inner", [{"solver": "AMG", "driver_rows": 4}, {"solver": "AMG", "algorithm": "AGGREGATION", "selector": "SIZE_2", "driver_rows": 4, "cycle": "CG"}, "MULTICOLOR_DILU", "MULTICOLOR_GS", "CF_JACOBI"])
+def test_methods_of_one_task_run_on_tables(spark, inner):
+    a, b = gen.poisson_matrix(spark, 4, 0.5), gen.rhs_ones(spark, 16)
+    options = {"solver": "PBICGSTAB", "preconditioner": inner, "tolerance": 1e-6, "max_iters": 60}
+    x, info = solve(a, b, None, options, strategy="table", num_partitions=2)
+    assert info["status"] == Status.SUCCESS and info["iterations"] < 20
+    _same(x, solve(a, b, None, options | {"tolerance": 1e-10})[0], 1e-4)
+    if "AMG" in str(inner):
+        rows = [level[1] for level in info["grid"]]
+        assert len(rows) > 2 and all(p > q for p, q in zip(rows, rows[1:]))
+
+
+def test_table_steps_of_multigrid_equal_the_local_ones(spark):
+    """Interpolation and the Galerkin product by joins against the arrays, on the coarse rows that tables choose."""
+    from krylark.operators import amg
+    from krylark.operators.spaces import TableSpace, strong_entries
+
+    a = gen.poisson_matrix(spark, 6, 0.7)
+    sp = TableSpace(a, None, 2)
+    strong = strong_entries(sp.a, 0.5).select("r", "c")
+    coarse = amg.table_coarse_rows(sp, strong)
+    mask = np.array([r.coarse for r in coarse.orderBy("i").collect()])
+    local = poisson(6, 0.7)
+    sr, sc = amg.strength(local, 0.5)
+    assert 0 < mask.sum() < 30
+    names = np.flatnonzero(mask)
+    p = np.zeros((36, 36))
+    for r in amg.table_distance_two(sp, strong, coarse).collect():
+        p[r.i, r.j] += r.w
+    pi, pj, pv = amg.distance_two(local, mask, sr, sc)
+    want = np.zeros((36, 36))
+    want[pi, names[pj]] = pv
+    np.testing.assert_allclose(p, want, atol=1e-12)
+    got = np.zeros((36, 36))
+    for r in amg.table_galerkin(sp.a, amg.table_distance_two(sp, strong, coarse)).collect():
+        got[r.r, r.c] += r.v
+    np.testing.assert_allclose(got, want.T @ local.dense() @ want, atol=1e-12)
+    sp.close()
+
+
+def test_blocks_on_tables(spark):
+    a = gen.kron(gen.poisson_matrix(spark, 3), formats.to_matrix(spark, [[3.0, 1.0], [0.5, 2.0]]))
+    b = gen.rhs_ones(spark, 18)
+    for options in ({"solver": "PBICGSTAB", "preconditioner": "BLOCK_JACOBI"}, {"solver": "PBICGSTAB", "preconditioner": {"solver": "AMG", "algorithm": "AGGREGATION", "driver_rows": 6}}):
+        options |= {"tolerance": 1e-7}
+        x, info = solve(a, b, None, options, strategy="table", num_partitions=2, block_dim=2)
+        local, li = solve(a, b, None, options, block_dim=2)
+        assert info["status"] == li["status"] == Status.SUCCESS
+        assert abs(info["iterations"] - li["iterations"]) <= (1 if options["preconditioner"] == "BLOCK_JACOBI" else 10)
+        _same(x, local, 1e-4)
+
+
+def test_shapes_are_checked(spark):
+    a = gen.tridiagonal_matrix(spark, 8, 4.0)
+    with pytest.raises(ValueError, match="b has rows"):
+        solve(a, gen.rhs_ones(spark, 9))
+    with pytest.raises(ValueError, match="x0 has rows"):
+        solve(a, gen.rhs_ones(spark, 8), gen.rhs_ones(spark, 10))
+
+
+def test_a_dense_coarse_solver_is_not_replaced(spark, monkeypatch):
+    from krylark.operators import amg
+
+    monkeypatch.setattr(amg, "DENSE_ROWS", 5)
+    with pytest.raises(ValueError, match="dense coarse solver"):
+        amg.Hierarchy(poisson(8), {"max_levels": 2})
 
 
 def test_status_warm_start_and_errors(spark):
@@ -176,9 +240,15 @@ def test_preconditioner_and_cache(spark):
     left = algebra.spmv(a, z).join(r.toDF("i", "b"), "i").selectExpr("sum(pow(b - x, 2)) as e").first().e
     assert left < 0.3 * 64
     clear_cache()
-    solve(a, r, reuse_setup=True)
+    first, _ = solve(a, r, None, {"tolerance": 1e-10}, reuse_setup=True)
     assert cache_info()["size"] == 1
-    solve(SparseMatrix(a.df.selectExpr("r", "c", "2 * v as v"), a.meta), r, reuse_setup=True)
+    twice = SparseMatrix(a.df.selectExpr("r", "c", "2 * v as v"), a.meta)
+    for options in ({}, {"preconditioner": {"solver": "AMG", "algorithm": "AGGREGATION"}}, {"preconditioner": "MULTICOLOR_DILU"}):
+        options = {"tolerance": 1e-10} | options
+        for m, scale in ((a, 1.0), (twice, 0.5), (a, 1.0)):
+            x, _ = solve(m, r, None, options, reuse_setup=True)
+            _same(x, first.selectExpr("i", f"{scale} * x as x"), 1e-8)
+        assert cache_info()["size"] == 1
     clear_cache()
     assert cache_info()["size"] == 0
 
