@@ -154,6 +154,20 @@ it as (select 0 as k, i, 0.0::double as x from nodes
 select {out} from it where k = {sweeps}"""
 
 
+def cg_sql(entries: str, rhs: str, steps: int, out: str, head: str = "") -> str:
+    """SQL of ``steps`` of conjugate gradients from zero: ``entries`` has (r, c, v), ``rhs`` (i, b); ``out`` selects from it (k, i, x, r)."""
+    return f"""with recursive {head}{', ' if head else ''}e as materialized ({entries}), rhs as materialized ({rhs}),
+it as (select 0 as k, i, 0.0::double as x, b::double as r, b::double as p from rhs
+  union all
+  select k + 1, i, x, r, r + rr_new / rr * p from (
+    select *, sum(r * r) over () as rr_new from (
+      select k, i, x + rr / pq * p as x, r - rr / pq * q as r, p, rr from (
+        select *, sum(r * r) over () as rr, sum(p * q) over () as pq from (
+          select a.k, a.i, any_value(a.x) as x, any_value(a.r) as r, any_value(a.p) as p, coalesce(sum(e.v * b.p), 0.0) as q from it a left join e on e.r = a.i left join it b on b.i = e.c where a.k < {steps} group by a.k, a.i))))
+  )
+{out}"""
+
+
 # Generators
 
 
@@ -280,12 +294,12 @@ def csr_round_trip(spark, sf):
     return formats.expand_csr(formats.to_csr_rows(laplacian(spark, sf).df))
 
 
-@query(f"""with {LAPLACIAN}, cells as (select r // 2 as br, c // 2 as bc, (r % 2) * 2 + c % 2 as pos, v from lap where r < 2 * (select count(*) // 2 from idx) and c < 2 * (select count(*) // 2 from idx))
-select br, bc, [coalesce(sum(v) filter (where at = k), 0.0) for k in [0, 1, 2, 3]] as blk from cells group by br, bc""".replace("[coalesce(sum(v) filter (where at = k), 0.0) for k in [0, 1, 2, 3]]", "[" + ", ".join(f"coalesce(sum(v) filter (where pos = {k}), 0.0)" for k in range(4)) + "]"))
+@query(f"""with {LAPLACIAN}, cells as (select r // 2 as br, c // 2 as bc, (r % 2) * 2 + c % 2 as pos, v from lap)
+select br, bc, [{", ".join(f"coalesce(sum(v) filter (where pos = {k}), 0.0)" for k in range(4))}] as blk from cells group by br, bc""")
 def to_bsr(spark, sf):
+    """An odd number of rows is rounded up: the last block ends in an empty row and column."""
     a = laplacian(spark, sf)
-    n = a.shape[0] // 2 * 2
-    return formats.to_bsr(matrix(a.df.where((F.col("r") < n) & (F.col("c") < n)), n), 2)
+    return formats.to_bsr(matrix(a.df, a.shape[0] + a.shape[0] % 2), 2)
 
 
 # Algebra
@@ -346,11 +360,12 @@ def block_diag_inverse(spark, sf):
     return algebra.block_diagonal_inverse(a, 2).select("br", F.transform("blk", lambda x: F.round(x, 6) + 0.0).alias("blk"))
 
 
-@query("select true as same_pattern, false as other_pattern")
+@query(f"with {LAPLACIAN} select (select count(*) from idx) as n_rows, count(*) as entries, true as same_pattern, false as other_pattern from lap")
 def structure_hash(spark, sf):
     """Values do not change the key of a pattern, places do."""
-    a, b, c = (algebra.structure_hash(m) for m in (gen.tridiagonal_matrix(spark, 50, 2.0), gen.tridiagonal_matrix(spark, 50, 4.0), algebra.transpose(gen.poisson_matrix(spark, 7))))
-    return spark.range(1).select(F.lit(a == b).alias("same_pattern"), F.lit(a[2:] == c[2:]).alias("other_pattern"))
+    lap = laplacian(spark, sf)
+    a, b, c = (algebra.structure_hash(m) for m in (lap, SparseMatrix(lap.df.select("r", "c", (F.col("v") * 3).alias("v")), lap.meta), SparseMatrix(lap.df.where("r <> 1 or c <> 1"), lap.meta)))
+    return spark.createDataFrame([(a[0], a[-1], a == b, a[2:] == c[2:])], "n_rows long, entries long, same_pattern boolean, other_pattern boolean")
 
 
 # Partitions
@@ -456,17 +471,15 @@ def solve_transpose(spark, sf):
     return rounded(x, "x")
 
 
-@query(f"""with {GRAM}, s as (select r, c, v + case when r = c then 100.0 else 0.0 end as v from gram) select true as solved, count(distinct r) as n from s""")
+@query(cg_sql("select r, c, v + case when r = c then 100.0 else 0.0 end as v from gram", "select distinct r as i, 1.0 as b from gram", 60, "select i, round(x, 6) + 0.0 as x from it where k = 60", GRAM))
 def solve_gram_direct(spark, sf):
-    """Dense factorization of the Gram matrix + 100 I; the residual against the relation is what is reported."""
+    """Dense factorization of the Gram matrix + 100 I, against conjugate gradients in SQL."""
     g = gram(spark, sf)
     d = g.agg(F.max("r")).first()[0] + 1
     shift = spark.range(d).select(F.col("id").alias("r"), F.col("id").alias("c"), F.lit(100.0).alias("v"))
     a = matrix(g.unionByName(shift).groupBy("r", "c").agg(F.sum("v").alias("v")), d)
-    b = gen.rhs_ones(spark, d)
-    x, _ = solving.solve(a, b, None, {"solver": "DENSE_LU_SOLVER", "tolerance": 1e-12})
-    gap = algebra.spmv(a, x).join(b.withColumnRenamed("x", "b"), "i").agg(F.max(F.abs(F.col("x") - F.col("b"))).alias("e"), F.count("*").alias("n"))
-    return gap.select((F.col("e") < 1e-9).alias("solved"), "n")
+    x, _ = solving.solve(a, gen.rhs_ones(spark, d), None, {"solver": "DENSE_LU_SOLVER", "tolerance": 1e-12})
+    return rounded(x, "x")
 
 
 KRON = f"p as ({_grid(6, -1.0, -1.0)}), m(a, b, w) as (values (0, 0, 3.0), (0, 1, 1.0), (1, 0, 0.5), (1, 1, 2.0)), full_a as (select r * 2 + a as r, c * 2 + b as c, (v * w)::double as v from p, m)"
@@ -511,26 +524,45 @@ def l1_jacobi_k_sweeps(spark, sf):
     return rounded(x, "x")
 
 
-@query()
+@query(cg_sql("select i as r, i + s as c, case s when 0 then 4.0 else -1.0 end as v from range(100) t(i), (values (-1), (0), (1)) o(s) where i + s between 0 and 99", "select i::bigint as i, 1.0 as b from range(100) t(i)", 12, "select k::int as iteration, round(sqrt(sum(r * r)), 9) + 0.0 as residual from it group by k"))
 def residual_history(spark, sf):
     """Residual norms of plain conjugate gradients, entry by entry."""
     _, info = solving.solve(gen.tridiagonal_matrix(spark, 100, 4.0), gen.rhs_ones(spark, 100), None, {"solver": "CG", "convergence": "ABSOLUTE", "tolerance": 1e-6})
-    return spark.createDataFrame(list(enumerate(info["residual_history"])), "iteration int, residual double")
+    return rounded(spark.createDataFrame(list(enumerate(info["residual_history"])), "iteration int, residual double"), "residual", digits=9)
 
 
-@query("select 'SUCCESS' as status, true as converged")
+@query(cg_sql("select i as r, i + s as c, case s when 0 then 4.0 else -1.0 end as v from range(32) t(i), (values (-1), (0), (1)) o(s) where i + s between 0 and 31", "select i::bigint as i, 1.0 as b from range(32) t(i)", 30, """select 'SUCCESS' as status, min(k)::int as iterations from (select k, sqrt(sum(r * r)) as n from it group by k) where n <= 1e-6 * sqrt(32)"""))
 def solve_info(spark, sf):
-    _, info = solving.solve(gen.tridiagonal_matrix(spark, 32), gen.rhs_ones(spark, 32), None, {"solver": "CG", "max_iters": 100})
-    return spark.createDataFrame([(info["status"].name, info["residual"] <= 1e-6 * info["residual_history"][0])], "status string, converged boolean")
+    """Status and the number of steps to a relative residual of 1e-6."""
+    _, info = solving.solve(gen.tridiagonal_matrix(spark, 32, 4.0), gen.rhs_ones(spark, 32), None, {"solver": "CG", "max_iters": 100})
+    return spark.createDataFrame([(info["status"].name, info["iterations"])], "status string, iterations int")
 
 
-@query("select 1::bigint as size, 1::bigint as capacity, false as isolated_mode")
+_REUSED = "\nunion all\n".join("select %d::bigint as scale, i, x from (%s)" % (k, fixed_point("select r, c, -v as w from (" + _grid(6, -1.25, -0.75) + ") where r <> c", f"select i::bigint as i, {1 / k} as b, 4.0 as d from range(36) t(i)", 400)) for k in (1, 2))
+
+
+@query(_REUSED)
+def solve_reuse_setup(spark, sf):
+    """A and then 2 A with the setup of A's pattern: each solution is its own matrix's."""
+    a, b = gen.poisson_matrix(spark, 6, 0.5), gen.rhs_ones(spark, 36)
+    solving.clear_cache()
+    out = None
+    for k in (1, 2):
+        scaled = SparseMatrix(a.df.select("r", "c", (F.col("v") * k).alias("v")), a.meta)
+        x, _ = solving.solve(scaled, b, None, {"tolerance": 1e-13}, reuse_setup=True)
+        x = rounded(x, "x").select(F.lit(k).cast("long").alias("scale"), "i", "x")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query("select 1::bigint as size, 1::bigint as capacity, false as isolated_mode, 32::bigint as n_rows, 94::bigint as entries")
 def cache_info(spark, sf):
     solving.clear_cache()
     solving.solve(gen.tridiagonal_matrix(spark, 32, 4.0), gen.rhs_ones(spark, 32), reuse_setup=True, config={"solver": "CG"})
     info = solving.cache_info()
     solving.clear_cache()
-    return spark.createDataFrame([(info["size"], info["capacity"], info["isolated_mode"])], "size long, capacity long, isolated_mode boolean")
+    entry = info["entries"][0]
+    return spark.createDataFrame([(info["size"], info["capacity"], info["isolated_mode"], entry["shape"][0], entry["entries"])], "size long, capacity long, isolated_mode boolean, n_rows long, entries long")
 
 
 # Adjoint
@@ -593,7 +625,15 @@ def galerkin_rap(spark, sf):
     return amg.galerkin(a, pairs).df
 
 
-@query()
+def _shaken(source: str, name: str) -> str:
+    """SQL: a level of handshakes on ``source`` (r, c, v) and the summed matrix ``name`` below it."""
+    return f"""{name}_sym as (select r as i, c as j, sum(abs(v)) as w from (select r, c, v from {source} where r <> c union all select c, r, v from {source} where r <> c) group by 1, 2),
+{name}_best as (select i, j from (select *, row_number() over (partition by i order by w desc, (least(i, j) % 1000003 * 7919 + greatest(i, j) % 1000003 * 104729) % 1000003 desc, j) as k from {name}_sym) where k = 1),
+{name}_agg as (select a.i, least(a.i, a.j) as agg from {name}_best a join {name}_best b on a.j = b.i and b.j = a.i),
+{name} as (select coalesce(x.agg, r) as r, coalesce(y.agg, c) as c, sum(v) as v from {source} left join {name}_agg x on x.i = r left join {name}_agg y on y.i = c group by 1, 2)"""
+
+
+@query(f"with {LAPLACIAN}, {_shaken('lap', 'one')}, {_shaken('one', 'two')}\n" + " union all ".join(f"select {k}::int as level, count(distinct r) as rows, count(*) as entries from {t}" for k, t in enumerate(("lap", "one", "two"))))
 def grid_stats(spark, sf):
     """Rows and entries of three levels of pairwise aggregation."""
     a = laplacian(spark, sf)
@@ -601,7 +641,10 @@ def grid_stats(spark, sf):
     for _ in range(2):
         coarse = amg.galerkin(levels[-1], amg.handshake(levels[-1]))
         levels.append(SparseMatrix(coarse.df.persist(), coarse.meta))
-    return spark.createDataFrame(amg.grid_stats(levels), "level int, rows long, entries long")
+    stats = amg.grid_stats(levels)
+    for level in levels:
+        level.df.unpersist()
+    return spark.createDataFrame(stats, "level int, rows long, entries long")
 
 
 # Patterns of operators
@@ -646,7 +689,7 @@ def pattern_scan(spark, sf):
 
 @query("select i as r, i as c from range(48) t(i) where i % 2 = 0")
 def pattern_zero_skip(spark, sf):
-    return _pattern(spark, linop.Weights(linop.Input(48), lambda o: o % 2 == 0 if False else F.when(o % 2 == 0, 1.0).otherwise(0.0)))
+    return _pattern(spark, linop.Weights(linop.Input(48), lambda o: F.when(o % 2 == 0, 1.0).otherwise(0.0)))
 
 
 @query("select i // 4 as r, i as c from range(12) t(i) union all select 3 + i, i from range(12) t(i)")
@@ -680,3 +723,6 @@ def coloring_valid(spark, sf):
 @query(f"with p as (select r, c from ({_grid(8, -1.0, -1.0)})) select distinct x.c as a, y.c as b from p x join p y using (r) where x.c <> y.c")
 def conflict_graph(spark, sf):
     return linop.conflict_graph(gen.poisson_matrix(spark, 8).df)
+
+
+from . import queries_parts  # noqa: E402, F401  (registers its own)

@@ -1,6 +1,7 @@
 """Formats, configuration, operators' patterns, Matrix Market files and streaming solves."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -101,28 +102,38 @@ def _probed(spark, op, n):
 
 
 X = linop.Input(12)
-TREES = {
-    "elementwise": X.scaled(2.0) + X,
-    "shift": X + linop.Move(X, 12, lambda o: o - 1),
-    "flip": linop.Move(X, 12, lambda o: 11 - o),
-    "transpose": linop.Move(X, 12, lambda o: (o % 4) * 3 + F.floor(o / 4)),
-    "rotate": linop.Concat([linop.Move(X, 5, lambda o: o + 7), linop.Move(X, 7, lambda o: o)]),
-    "slice_pad": linop.Move(X, 12, lambda o: F.when((o >= 2) & (o < 9), o)),
-    "reduce": linop.Move(linop.Reduce(X, 3, lambda i: F.floor(i / 4)), 12, lambda o: F.floor(o / 4)),
-    "zero_weights": linop.Weights(X, lambda o: F.when(o % 3 == 0, 0.0).otherwise(2.0)),
-    "where": linop.Where(lambda o: o < 6, X, linop.Move(X, 12, lambda o: 11 - o)),
-    "scatter_set": linop.Scatter(X, linop.Move(X, 3, lambda o: o), lambda u: u * 2 + 5),
-    "scatter_add": linop.Scatter(X, linop.Move(X, 4, lambda o: o), lambda u: u % 2 + 7, add=True),
-    "update_slice": linop.update_slice(X, linop.Move(X, 4, lambda o: o), 50),
-    "conv": linop.Conv(X, (3, 4), [((0, 0), 4.0), ((0, 1), -1.0), ((-1, 0), 0.0), ((1, 0), -1.0)]),
-    "scan": linop.scan(X, lambda c, k: c + linop.Move(c, 12, lambda o: o - 1), 2),
-    "call": linop.Call(X - linop.Move(X, 12, lambda o: o + 1).scaled(3.0)),
-}
-
-
-@pytest.mark.parametrize("name", sorted(TREES))
-def test_traced_pattern_is_the_probed_one(spark, name):
-    op = TREES[name]
+
+
+def random_tree(rng, depth):
+    """An operator from 12 to 12 values of randomly chosen nodes; all factors are positive, so that nothing cancels."""
+    if depth == 0:
+        return X
+    x = random_tree(rng, depth - 1)
+    a, b, lo = rng.choice([1, 5, 7, 11]), rng.randrange(12), rng.randrange(6)
+    hi = lo + rng.randrange(1, 7)
+    inside = lambda o: (o >= lo) & (o < hi)
+    cut = 1 + rng.randrange(11)
+    kinds = {
+        "permuted": lambda: linop.Move(x, 12, lambda o: (a * o + b) % 12),
+        "part of it": lambda: linop.Move(x, 12, lambda o: F.when(inside(o), (a * o + b) % 12)),
+        "sum of two": lambda: x.scaled(1.5) + random_tree(rng, depth - 1),
+        "folded": lambda: linop.Move(linop.Reduce(x, 4, lambda i: (i + b) % 4), 12, lambda o: (a * o) % 4),
+        "weighted": lambda: linop.Weights(x, lambda o: F.when(inside(o), 0.0).otherwise(o + 1.0)),
+        "chosen": lambda: linop.Where(inside, x, linop.Move(x, 12, lambda o: (o + b) % 12)),
+        "written over": lambda: linop.Scatter(x, linop.Move(x, 3, lambda o: o + lo), lambda u: (5 * u + b) % 12),
+        "added at": lambda: linop.Scatter(x, linop.Move(x, 5, lambda o: (o + b) % 12), lambda u: u + lo, add=True),
+        "slice put": lambda: linop.update_slice(x, linop.Move(x, 4, lambda o: o + lo), b),
+        "joined": lambda: linop.Concat([linop.Move(x, cut, lambda o: 11 - o), linop.Move(x, 12 - cut, lambda o: o)]),
+        "stencil": lambda: linop.Conv(x, (4, 3), [((0, 0), 2.0), ((0, 1), 0.0), ((1, -1), 0.5), ((-1, 0), 1.0)]),
+        "repeated": lambda: linop.scan(x, lambda c, k: c + linop.Move(c, 12, lambda o: o - 2), 2),
+        "called": lambda: linop.Call(x.scaled(0.5)),
+    }
+    return rng.choice(list(kinds.values()))()
+
+
+@pytest.mark.parametrize("seed", range(16))
+def test_traced_pattern_is_the_probed_one(spark, seed):
+    op = random_tree(random.Random(seed), 3)
     traced = {(r.r, r.c) for r in linop.trace_pattern(spark, op).collect()}
     assert traced == _probed(spark, op, 12)
 
