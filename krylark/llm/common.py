@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,16 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import shared_root
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of a fresh folder below ``spark.checkpoint.dir``; a temporary one is set only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        known = spark.sparkContext.getCheckpointDir()
-        if not known:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="krylark-"))
-            known = spark.sparkContext.getCheckpointDir()
-        base = known
+    """URI of a fresh folder below ``spark.checkpoint.dir``."""
+    base = shared_root(spark)
     if "://" not in base and not base.startswith("file:"):
         base = "file://" + base
     if base.startswith("file:/") and not base.startswith("file://"):

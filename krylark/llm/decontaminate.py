@@ -20,7 +20,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, column_type, materialize
+from .common import by_bytes, column_type, materialize, string_parts
 
 #: Words in a window, and the fewest that have a template.
 WIDTH, LEAST_WIDTH = 8, 5
@@ -58,34 +58,61 @@ def canonical(word: str) -> tuple[str, str]:
     return "word", low
 
 
-class Codes(dict):
-    """Places of words in a table of stable 64-bit codes, a row for each form; zero for what is dropped, odd for placeholders."""
-
-    LIMIT = 500_000
-
-    def __init__(self) -> None:
-        self.table = np.zeros((len(FORMS), 1 << 12), np.uint64)
-
-    def __missing__(self, word: str) -> int:
-        from xxhash import xxh64_intdigest
-
-        kind, value = canonical(word)
-        at = len(self)
-        self[word] = at
-        if at >= self.table.shape[1]:
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
-        for row, literal in enumerate(FORMS.values()):
-            text = value.casefold() if row else value
-            self.table[row, at] = 0 if not value else int(SLOTS[kind]) | 1 if kind not in literal else xxh64_intdigest(text) & ~1 or 2
-        return at
-
-    def places(self, words: pa.Array) -> np.ndarray:
-        """The places of ``words``, each distinct one looked up once."""
-        coded = words.dictionary_encode()
-        new = coded.dictionary.to_pylist()
-        if len(self) + len(new) > self.LIMIT:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, new), np.int64, len(new))[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+KINDS = ("", "word", "num", "unit", "name")
+#: ``NUMERIC`` for words of ASCII characters alone.
+_ASCII_NUMERIC = r"^[+-]?\$?[0-9][0-9.,:/]*(?:%|[a-z/]{1,8})?$"
+_BASE = 0x9E3779B97F4A7C55
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """A stable even 64-bit hash of every string, never zero: a polynomial of its bytes, mixed."""
+    raw, offsets = string_parts(words)
+    size = np.diff(offsets)
+    longest = int(size.max()) if len(size) else 0
+    powers = np.cumprod(np.full(longest + 1, _BASE, np.uint64), dtype=np.uint64)
+    place = np.arange(len(raw)) - np.repeat(offsets[:-1], size)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[place], dtype=np.uint64)])
+    h = _mixed(sums[offsets[1:]] - sums[offsets[:-1]] + size.astype(np.uint64))
+    h &= ~np.uint64(1)
+    h[h == 0] = 2
+    return h
+
+
+def _kinds(words: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """``canonical`` of every word: the number of its kind (0 for what is dropped), its value, and that without case."""
+    compute = pa.compute
+    ascii_ = compute.string_is_ascii(words).to_numpy(zero_copy_only=False)
+    plain, other = words.filter(pa.array(ascii_)), words.filter(pa.array(~ascii_)).to_pylist()
+    value = compute.utf8_trim(plain, _EDGES)
+    low = compute.ascii_lower(value)
+    flag = lambda x: x.to_numpy(zero_copy_only=False)
+    among = lambda names: flag(compute.is_in(low, value_set=pa.array(sorted(names), low.type)))
+    name = flag(compute.match_substring_regex(value, "^[A-Z].*[a-z]")) & ~among(PLAIN)
+    kind = np.where(name, 4, 1)
+    kind[among(UNITS)] = 3
+    kind[among(NUMBERS) | flag(compute.match_substring_regex(low, _ASCII_NUMERIC))] = 2
+    kind[~flag(compute.match_substring_regex(value, "[A-Za-z0-9]"))] = 0
+    rest = [canonical(w) for w in other]
+    kinds = np.zeros(len(words), np.int8)
+    kinds[ascii_], kinds[~ascii_] = kind, [KINDS.index(k) if v else 0 for k, v in rest]
+    order = pa.array(np.argsort(np.argsort(~ascii_, kind="stable")))
+    values = pa.concat_arrays([low, pa.array([v for _, v in rest], low.type)]).take(order)
+    folded = pa.concat_arrays([low, pa.array([v.casefold() for _, v in rest], low.type)]).take(order)
+    return kinds, values, folded
+
+
+def codes(words: pa.Array) -> np.ndarray:
+    """Stable 64-bit codes of words, a row for each form; zero for what is dropped, odd for placeholders."""
+    kinds, values, folded = _kinds(words)
+    exact, loose = _word_hashes(values), _word_hashes(folded)
+    out = np.empty((len(FORMS), len(words)), np.uint64)
+    for row, literal in enumerate(FORMS.values()):
+        out[row] = loose if row else exact
+        for k in range(1, len(KINDS)):
+            if KINDS[k] not in literal:
+                out[row, kinds == k] = SLOTS[KINDS[k]] | np.uint64(1)
+        out[row, kinds == 0] = 0
+    return out
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -115,16 +142,17 @@ def _hashes(code: np.ndarray, first: np.ndarray, width: int, form: int) -> np.nd
 
 
 class Words:
-    """Canonical words of some texts in a row: the words, their places in ``Codes``, and the text of each."""
+    """Canonical words of some texts in a row: the words, and of those that are kept the places, texts and codes by form."""
 
-    def __init__(self, column: pa.Array, codes: Codes):
-        lists = pa.compute.utf8_split_whitespace(column.fill_null("").cast(pa.large_string()))
+    def __init__(self, column: pa.Array):
+        lists = pa.compute.utf8_split_whitespace(column.cast(pa.large_string()).fill_null(""))
         self.words = lists.flatten()
-        place = codes.places(self.words)
-        self.kept = np.flatnonzero(codes.table[0, place])
+        coded = self.words.dictionary_encode()
+        table, place = codes(coded.dictionary), coded.indices.to_numpy()
+        self.kept = np.flatnonzero(table[0, place])
         owner = np.repeat(np.arange(len(column)), lists.value_lengths().to_numpy())
         self.owner, place = owner[self.kept], place[self.kept]
-        self.code = [row[place] for row in codes.table]
+        self.code = [row[place] for row in table]
 
     def windows(self, width: int, maybe: list[np.ndarray] | None = None) -> list[np.ndarray]:
         """First words of the windows of each form; ``maybe``: the places of each form that are worth a look."""
@@ -162,11 +190,10 @@ def _bench_windows(items: DataFrame, id_type) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
         for b in batches:
             for k in range(b.num_rows):
                 row = b.slice(k, 1)
-                words = Words(row.column(1), codes)
+                words = Words(row.column(1))
                 width = min(len(words.kept), WIDTH)
                 if not width:
                     continue
@@ -188,7 +215,6 @@ def _document_windows(docs: DataFrame, id_type, widths: list[int], table: bytes,
     """The windows of (id, text, text_hash) that pass the filters: first their first two words, then all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
         bits, pair_bits = np.frombuffer(table, np.uint8), np.frombuffer(pairs, np.uint8)
 
         def passes(h: np.ndarray, in_bits: np.ndarray, size: int) -> np.ndarray:
@@ -196,7 +222,7 @@ def _document_windows(docs: DataFrame, id_type, widths: list[int], table: bytes,
             return np.flatnonzero(in_bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1)
 
         for b in by_bytes(batches, 4 << 20):
-            words = Words(b.column(1), codes)
+            words = Words(b.column(1))
             maybe = [passes(_pairs(c, form), pair_bits, PAIR_BITS) if len(c) > 1 else np.zeros(0, np.int64) for form, c in enumerate(words.code)]
             for width in widths:
                 for form, first in enumerate(words.windows(width, maybe if width > 1 else None)):

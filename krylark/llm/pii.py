@@ -32,8 +32,8 @@ AFTER_NAME = ["said", "says", "wrote", "writes", "told", "asked", "replied", "sa
 STARTERS = ["The", "Then", "When", "While", "And", "But", "Or", "So", "If", "As", "In", "On", "At", "For", "From", "After", "Before", "Yesterday", "Today", "Now", "Later", "Here", "There", "This", "That", "Der", "Die", "Das", "Dann", "Und", "Aber", "El", "La", "Los", "Las", "Pero", "Le", "Les", "Puis", "Mais", "Et"]
 PARTICLES = ["de", "da", "di", "del", "della", "dos", "van", "von", "der", "den", "la", "le", "bin", "al", "el"]
 
-# Letters that surrogates are made of: Latin with its first two blocks of accented letters, Cyrillic and Greek.
-_WIDE = [chr(c) for c in (*range(0xC0, 0x180), *range(0x370, 0x400), *range(0x400, 0x460)) if chr(c).isalpha()]
+# Letters that surrogates are made of: Latin with its accented letters, Greek and Cyrillic.
+_WIDE = [chr(c) for c in (*range(0xC0, 0x250), *range(0x370, 0x460)) if chr(c).isupper() or chr(c).islower()]
 _VOWELS, _SIGNS = "aeiouаеиоуыэюяёαεηιουω", "ъьЪЬ"
 
 
@@ -44,24 +44,30 @@ def _classes(name: bool, hexadecimal: bool = False) -> list[str]:
         return [digits, small[:6], capital[:6]]
     groups: dict[tuple, list[str]] = {}
     for c in [*digits, *small, *capital, *_WIDE]:
-        script = "digit" if c.isdigit() else "plain" if c < "\x7f" else "latin" if c < "ƀ" else "greek" if c < "Ѐ" else "cyrillic"
+        script = "digit" if c.isdigit() else "plain" if c < "\x7f" else "latin" if c < "ƀ" else "wide latin" if c < "Ͱ" else "greek" if c < "Ѐ" else "cyrillic"
         basic = c.lower() in "абвгдежзийклмнопрстуфхцчшщъыьэюяё" or c.lower() in "αβγδεζηθικλμνξοπρστυφχψω"
         groups.setdefault((script, c.isupper(), basic, name and c.lower() in _VOWELS, name and c in _SIGNS), []).append(c)
     return ["".join(g) for g in groups.values() if len(g) > 1]
 
 
-_LETTER = "A-Za-z" + "".join(x for g in _classes(False) for x in g if x > "\x7f")
-_UPPER = "A-Z" + "".join(x for x in _LETTER if x > "\x7f" and x.isupper())
-_MOVES = f"0-9{_LETTER}"
-_NAME = rf"[{_UPPER}][{_LETTER}'’]+(?:-[{_UPPER}][{_LETTER}]+)?"
+_MOVES = "".join(x for g in _classes(False) for x in g)
+# (ranges, as a long list of characters makes a slow test)
+_WIDE_RANGE = r"\u00C0-\u024F\u0370-\u045F"
+_LETTER = "A-Za-z" + _WIDE_RANGE
+_UPPER = rf"(?:[A-Z]|(?=[{_WIDE_RANGE}])\p{{Lu}})"
+_NAME = rf"{_UPPER}[{_LETTER}'’]+(?:-{_UPPER}[{_LETTER}]+)?"
 _FULL = rf"(?!(?:{'|'.join(STARTERS)}) ){_NAME}(?: (?:{'|'.join(PARTICLES)})){{0,3}} {_NAME}(?: {_NAME})?"
 _GIVEN_ANY = "|".join(x for names in GIVEN.values() for x in names)
-_NAMED = [
-    rf"(?<!\w)(?:{'|'.join(TITLES)})\.? (?:{_NAME} ){{0,2}}{_NAME}(?!\w)",
-    rf"(?<!\w)(?:{_GIVEN_ANY})(?: (?:{'|'.join(PARTICLES)})){{0,3}}(?: {_NAME}){{1,2}}(?!\w)",
+# two capitalized words in a row, small words between them: looked at before any pattern of a name is tried
+_TWO = rf"{_UPPER}[{_LETTER}'’-]*\.? (?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{_UPPER}"
+_CAPITAL = "|".join(t for t in TITLES if t[0].isupper())
+_SMALL = "|".join(t for t in TITLES if t[0].islower())
+_NAMED = "|".join([
+    rf"(?:{_CAPITAL})\.? (?:{_NAME} ){{0,2}}{_NAME}(?!\w)",
+    rf"(?:{_GIVEN_ANY})(?: (?:{'|'.join(PARTICLES)})){{0,3}}(?: {_NAME}){{1,2}}(?!\w)",
     rf"(?<=(?<!\w)(?:{'|'.join(BEFORE_NAME)}) ){_FULL}(?!\w)",
-    rf"(?<!\w){_FULL}(?= (?:{'|'.join(AFTER_NAME)})(?!\w)|,? [<(]?[A-Za-z0-9._%+-]{{1,64}}@[A-Za-z0-9])",
-]
+    rf"{_FULL}(?= (?:{'|'.join(AFTER_NAME)})(?!\w)|,? [<(]?[A-Za-z0-9._%+-]{{1,64}}@[A-Za-z0-9])",
+])
 #: Kind of entity and its pattern; the first that fits at a place counts.
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])",
@@ -73,13 +79,17 @@ PATTERNS = {
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "access_key": r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)",
     "secret": r"(?i:(?<!\w)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?:\s*[=:]\s*[\"']?)[^\s\"',;]{8,})",
-    "name": "|".join(_NAMED),
+    "name": rf"(?={_TWO})(?<!\w)(?:{_NAMED})|(?=г-)(?<!\w)(?:{_SMALL}) (?:{_NAME} ){{0,2}}{_NAME}(?!\w)",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What a match of a kind begins with, looked at before its pattern is tried.
+BEGINS = {"email": r"[A-Za-z0-9](?<![\w.+-].)[A-Za-z0-9._%+-]*+@", "ipv4": r"\d", "ipv6": r"[0-9A-Fa-f]{1,4}:", "phone": r"[+(\d]", "ssn": r"\d", "card": r"\d", "iban": r"[A-Z][A-Z]\d", "access_key": "AKIA", "secret": r"[pPsStTaA]"}
+#: All kinds but names, and all kinds.
+PLAIN_PATTERN = "|".join(f"(?={BEGINS[k]})(?:{p})" for k, p in PATTERNS.items() if k != "name")
+PATTERN = f"{PLAIN_PATTERN}|(?:{PATTERNS['name']})"
 #: How card numbers of the issuers begin.
 ISSUERS = r"^(?:4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[47]|30[0-5]|3[68]|352[89]|35[3-8]|6011|62|64[4-9]|65)"
-#: A document without any of these has no entity; the cheap test spares most texts the whole pattern.
-HINT = r"\d|@|AKIA|::|(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)|(?<!\w)(?:" + "|".join([*TITLES, *BEFORE_NAME]) + rf")\.? [{_UPPER}]|(?<!\w)(?:" + _GIVEN_ANY + r") \p{L}|" + rf"(?<=\p{{L}}) (?:{'|'.join(AFTER_NAME)})(?!\w)"
+#: A document without any of these has no entity but names; the cheap test spares most texts the patterns.
+HINT = r"@|\d\d|\d\.\d+\.\d|AKIA|:[0-9A-Fa-f]{0,4}:|(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
 SECRET_LEAD = r"^(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?:\s*[=:]\s*[\"']?))?"
 #: An even number of rounds leaves the halves in their places.
 ROUNDS = 4
@@ -214,12 +224,14 @@ def _with_surrogates(docs: DataFrame, text_col: str, key: str) -> DataFrame:
     """The whole row as a struct ``_row``, and beside it _text, _pattern and _found, the matches in order: (entity, kind, surrogate)."""
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
     kinds = lambda matches: f"transform({matches}, m -> named_struct('entity', m, 'kind', {kind_sql('m')}))"
-    first = f"case when _text rlike {_q(HINT)} then regexp_extract_all(_text, {_q(PATTERN)}, 0) else array() end"
+    extract = lambda pattern: f"regexp_extract_all(_text, {pattern}, 0)"
+    df = df.withColumn("_named", F.expr(f"coalesce(_text rlike {_q(PATTERNS['name'])}, false)"))
+    first = f"case when _named then {extract(_q(PATTERN))} when _text rlike {_q(HINT)} then {extract(_q(PLAIN_PATTERN))} else array() end"
     df = df.withColumn("_found", F.expr(f"coalesce({kinds(first)}, array())"))
     family = f"array_distinct(filter(transform(filter(_found, f -> f.kind = 'name'), f -> element_at(split(f.entity, ' '), -1)), w -> length(w) >= {LEAST_FAMILY}))"
     df = df.withColumn("_family", F.expr(family))
-    df = df.withColumn("_pattern", F.expr(f"if(size(_family) > 0, concat({_q(PATTERN)}, '|(?<!\\\\w)(?:', array_join(_family, '|'), ')(?!\\\\w)'), {_q(PATTERN)})"))
-    df = df.withColumn("_found", F.expr(f"if(size(_family) > 0, {kinds('regexp_extract_all(_text, _pattern, 0)')}, _found)"))
+    df = df.withColumn("_pattern", F.expr(f"case when size(_family) > 0 then concat({_q(PATTERN)}, '|(?<!\\w)(?:', array_join(_family, '|'), ')(?!\\w)') when _named then {_q(PATTERN)} else {_q(PLAIN_PATTERN)} end"))
+    df = df.withColumn("_found", F.expr(f"if(size(_family) > 0, {kinds(extract('_pattern'))}, _found)"))
     again = f"if(array_contains(transform(_found, x -> x.entity), s), {surrogate_sql('f.kind', 'f.entity', key + '|again')}, s)"
     made = _let("s", surrogate_sql("f.kind", "f.entity", key), f"if(f.kind is null, s, {again})")
     return df.withColumn("_found", F.expr(f"transform(_found, f -> named_struct('entity', f.entity, 'kind', f.kind, 'surrogate', {made}))"))

@@ -33,7 +33,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     null or has no ``://`` have an empty host and path and get the default; an empty table gives an empty result;
     repeated rows and null ids stay as they are; other columns of ``pages`` are ignored, whatever their names.
     """
-    rules = rules.select(F.lower("host").alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("action").alias("rule_action")).where("rule_host is not null and rule_action is not null").distinct()
+    rules = rules.select(lower_ascii("host").alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("action").alias("rule_action")).where("rule_host is not null and rule_action is not null").distinct()
     shapes = rules.select(F.size(F.split("rule_host", "\\.")).alias("labels"), F.length("rule_path").alias("chars")).distinct().collect()
     n_rules = rules.limit(BROADCAST_RULES + 1).count()
 

@@ -582,3 +582,15 @@ def test_surrogates_against_brute_force(spark):
     for kind in {k for k, _ in made}:
         own = [s for (k, _), s in to.items() if k == kind]
         assert len(own) == len(set(own)) == sum(k == kind for k, _ in made)
+
+
+def test_kinds_of_columns_are_those_of_words():
+    rng = random.Random(6)
+    words = ["", "...", "12.5km", "seven,", "$5", "-3%", "1,000", "McTavish", "O'Brien", "(The)", "the", "USA", "iPhone", "Straße", "İstanbul", "ﬁsh", "Σίσυφος", "«Omar»", "x", "X", "Xy", "3µm", "٣٤", "km/h", "Dollars.", "a.b", "A1", "A1b", "+1", "+", "12:30", "5..", "½"]
+    words += ["".join(rng.choice("abAB12.,$%-+/:'é€ ß") for _ in range(rng.randint(1, 6))).replace(" ", "") for _ in range(4000)]
+    kinds, values, folded = decontaminate._kinds(pa.array(words, pa.large_string()))
+    for w, k, v, f in zip(words, kinds, values.to_pylist(), folded.to_pylist()):
+        kind, value = decontaminate.canonical(w)
+        assert (decontaminate.KINDS[k], v, f) == (kind, value, value.casefold()) if value else k == 0, w
+    hashes = decontaminate._word_hashes(pa.array(sorted(set(words)), pa.large_string()))
+    assert len(set(hashes.tolist())) == len(set(words)) and not (hashes & np.uint64(1)).any()
