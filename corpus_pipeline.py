@@ -15,17 +15,29 @@ from krylark.llm.queries import pack_query
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the policy rejects go."""
+    """Documents that the policy rejects go.
+
+    Null and empty texts have no words and go; very long texts are measured whole; repeated rows stay or go alike; an
+    empty table stays empty; other columns, whatever their names, are kept.
+    """
     return quality_rules.keep_documents(spread(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Of rows that share that id the one with the smallest hash of its text stays, of repeated rows one; rows without an id
+    stay, once for each text; null and empty texts are copies of each other.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none; rows that share an id share the verdict, null ids too; an empty benchmark, or null items,
+    reject nothing.
+    """
     return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
@@ -40,7 +52,11 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens."""
+    """Pieces of sequences of at most 1024 tokens.
+
+    Null and empty texts have their end token alone, null sources are one source, null ids stay null, and repeated rows are
+    packed as often as they occur; no rows give no pieces.
+    """
     return pack_query(docs)
 
 

@@ -64,8 +64,8 @@ def grid_stats(levels: list[SparseMatrix]) -> list[tuple[int, int, int]]:
     return [(k, a.df.select("r").distinct().count(), a.nnz()) for k, a in enumerate(levels)]
 
 
-#: Rounds of pairing of the aggregation selectors.
-PAIRINGS = {"SIZE_4": 2, "MULTI_PAIRWISE": 2, "SIZE_8": 3}
+#: Rounds of pairing of the aggregation selectors with a size in their name.
+PAIRINGS = {"SIZE_2": 1, "SIZE_4": 2, "SIZE_8": 3}
 #: Rows that a dense coarse solver takes.
 DENSE_ROWS = 5000
 #: A level of a table hierarchy with at most so many entries and rows goes on in the driver's memory.
@@ -74,6 +74,12 @@ DRIVER_ENTRIES, DRIVER_ROWS = 400_000, 50_000
 VISITS = {"V": ["V"], "W": ["W", "W"], "F": ["F", "V"], "CG": ["CG"], "CGF": ["CGF"]}
 
 
+def pairings(opt: dict) -> int:
+    """Rounds of pairing; ``MULTI_PAIRWISE`` makes ``aggregation_passes`` of them."""
+    selector = str(opt.get("selector", "SIZE_2")).upper()
+    return max(1, int(opt.get("aggregation_passes", 2))) if selector == "MULTI_PAIRWISE" else PAIRINGS.get(selector, 1)
+
+
 def _symmetric(a: DataFrame) -> DataFrame:
     """(i, j, w): absolute values of both entries of a pair, without the diagonal."""
     one = a.where("r <> c").select(F.col("r").alias("i"), F.col("c").alias("j"), F.abs("v").alias("w"))
@@ -159,6 +165,8 @@ class TableHierarchy:
             raise ValueError(f"{name} runs in one task only and cannot smooth on tables")
         if int(opt.get("aggressive_levels", 0)):
             raise ValueError("aggressive_levels is for systems that are solved in one task")
+        if algorithm != "AGGREGATION" and selector == "HMIS":
+            raise ValueError("HMIS goes from row to row and runs in one task only; PMIS runs on tables")
         self.spaces, self.p, self.smooth = [sp], [], []
         left = int(opt.get("max_levels", 100))
         while True:
@@ -173,7 +181,7 @@ class TableHierarchy:
                 nodes = fine.a.select(F.expr(f"r div {block}").alias("r"), F.expr(f"c div {block}").alias("c"), "v") if block > 1 else fine.a
                 names = index.select(F.expr(f"i div {block}").alias("i")).distinct() if block > 1 else index
                 agg = table_pairs(fine, nodes, names)
-                for _ in range(PAIRINGS.get(selector, 1) - 1):
+                for _ in range(pairings(opt) - 1):
                     quotient = nodes.join(agg.toDF("r", "ra"), "r").join(agg.toDF("c", "ca"), "c").groupBy(F.col("ra").alias("r"), F.col("ca").alias("c")).agg(F.sum("v").alias("v"))
                     step = table_pairs(fine, quotient, agg.select(F.col("agg").alias("i")).distinct())
                     agg = agg.join(step.toDF("agg", "next"), "agg").select("i", F.col("next").alias("agg"))
@@ -285,6 +293,33 @@ def pmis(n: int, r: np.ndarray, c: np.ndarray, first: np.ndarray | None = None)
     return state == 1
 
 
+def first_pass(n: int, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Coarse points of the first pass of Ruge and Stueben: the open row on which most others depend becomes coarse, those that
+    depend on it fine, and what these depend on counts more."""
+    import heapq
+
+    order, back = np.argsort(r, kind="stable"), np.argsort(c, kind="stable")
+    on, on_at = c[order].tolist(), np.searchsorted(r[order], np.arange(n + 1)).tolist()
+    by, by_at = r[back].tolist(), np.searchsorted(c[back], np.arange(n + 1)).tolist()
+    weight = [by_at[i + 1] - by_at[i] for i in range(n)]
+    state = [0] * n  # 0 open, 1 coarse, -1 fine
+    heap = [(-w, i) for i, w in enumerate(weight) if w]
+    heapq.heapify(heap)
+    while heap:
+        w, i = heapq.heappop(heap)
+        if state[i] or -w != weight[i]:
+            continue
+        state[i] = 1
+        for j in by[by_at[i]:by_at[i + 1]]:
+            if not state[j]:
+                state[j] = -1
+                for k in on[on_at[j]:on_at[j + 1]]:
+                    if not state[k]:
+                        weight[k] += 1
+                        heapq.heappush(heap, (-weight[k], k))
+    return np.array(state) == 1
+
+
 def distance_two(sp: LocalSpace, coarse: np.ndarray, sr: np.ndarray, sc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Extended interpolation: a fine point takes from its strong coarse neighbours and from those of its strong fine ones."""
     number = np.cumsum(coarse) - 1
@@ -377,7 +412,7 @@ class Hierarchy:
         while len(self.spaces) < int(opt.get("max_levels", 100)) and self.spaces[-1].n > floor:
             fine = self.spaces[-1]
             if algorithm == "AGGREGATION":
-                number = fine.once(f"aggregates {selector} {block}", lambda: self._aggregates(fine, selector, block))  # noqa: B023
+                number = fine.once(f"aggregates {pairings(opt)} {block}", lambda: self._aggregates(fine, block))  # noqa: B023
                 rows = np.arange(fine.n)
                 p = (rows, number[rows // block] * block + rows % block, np.ones(fine.n))
                 size = (int(number.max()) + 1) * block
@@ -412,16 +447,17 @@ class Hierarchy:
 
             self.coarsest = several
 
-    def _aggregates(self, fine: LocalSpace, selector: str, block: int) -> np.ndarray:
+    def _aggregates(self, fine: LocalSpace, block: int) -> np.ndarray:
         number = pairwise(fine, block)
-        for _ in range(PAIRINGS.get(selector, 1) - 1):
+        for _ in range(pairings(self.opt) - 1):
             size = int(number.max()) + 1
             quotient = LocalSpace(size, number[fine.r // block], number[fine.c // block], fine.v)
             number = pairwise(self._summed(quotient))[number]
         return number
 
     def _coarse_rows(self, fine: LocalSpace, sr: np.ndarray, sc: np.ndarray, level: int) -> np.ndarray:
-        coarse = pmis(fine.n, sr, sc)
+        first = first_pass(fine.n, sr, sc) if str(self.opt.get("selector", "PMIS")).upper() == "HMIS" else None
+        coarse = pmis(fine.n, sr, sc, first)
         if level > int(self.opt.get("aggressive_levels", 0)) or coarse.sum() <= 2:
             return coarse
         # a second selection among the coarse rows, by strong paths of two steps

@@ -173,8 +173,12 @@ def gmres(sp, b, x, stop, m=None, opt=None):
     return x
 
 
-def idr(sp, b, x, stop, m=None, opt=None):
-    """IDR(s) with s shadow vectors (``subspace_dim_s``, 4)."""
+def idr(sp, b, x, stop, m=None, opt=None, fused=False):
+    """IDR(s) with s shadow vectors (``subspace_dim_s``, 4).
+
+    ``fused``: all inner products of a step with the shadow vectors share one reduction; what they become as the step is
+    made orthogonal is worked out from them.
+    """
     s = int((opt or {}).get("subspace_dim_s", 4))
     r, rr, ended = _start(sp, b, x, stop)
     shadow = [sp.random(k + 1) for k in range(s)]
@@ -193,12 +197,18 @@ def idr(sp, b, x, stop, m=None, opt=None):
             v = m(v) if m else v
             new = sp.lin((omega, v), *[(c[i - k], u[i]) for i in range(k, s)])
             image = sp.mul(new)
-            for i in range(k):
-                top, = sp.dots((shadow[i], image))
-                a = top / big[i, i]
-                image, new = sp.lin((1.0, image), (-a, g[i])), sp.lin((1.0, new), (-a, u[i]))
+            if fused:
+                tops = np.array(sp.dots(*[(p, image) for p in shadow]))
+                turned = [(i, np.linalg.solve(big[:k, :k], tops[:k])[i]) for i in range(k)]
+                image, new = (sp.lin((1.0, y), *[(-a, old[i]) for i, a in turned]) for y, old in ((image, g), (new, u)))
+                big[k:, k] = tops[k:] - sum((a * big[k:, i] for i, a in turned), np.zeros(s - k))
+            else:
+                for i in range(k):
+                    top, = sp.dots((shadow[i], image))
+                    a = top / big[i, i]
+                    image, new = sp.lin((1.0, image), (-a, g[i])), sp.lin((1.0, new), (-a, u[i]))
+                big[k:, k] = sp.dots(*[(shadow[i], image) for i in range(k, s)])
             g[k], u[k] = image, new
-            big[k:, k] = sp.dots(*[(shadow[i], image) for i in range(k, s)])
             if big[k, k] == 0:
                 stop.status = Status.DIVERGED
                 return x
@@ -221,6 +231,10 @@ def idr(sp, b, x, stop, m=None, opt=None):
     return x
 
 
+def idr_fused(sp, b, x, stop, m=None, opt=None):
+    return idr(sp, b, x, stop, m, opt, fused=True)
+
+
 def preconditioned_richardson(sp, b, x, stop, m=None, opt=None):
     """x += M r until the residual is small: how a relaxation or a multigrid cycle runs as a solver."""
     r, rr, ended = _start(sp, b, x, stop)
@@ -252,12 +266,8 @@ def jacobi_l1(sp, opt) -> Callable:
     return lambda r: sp.lin((omega, sp.times(d, r)))
 
 
-def chebyshev(sp, opt) -> Callable:
-    """A polynomial of degree ``chebyshev_polynomial_order`` in the Jacobi-scaled matrix; no inner products at all."""
-    order = int(opt.get("chebyshev_polynomial_order", 5))
-    d = sp.inverse(sp.diagonal())
-    hi = sp.largest(sp.times(d, sp.abs_row_sums()))
-    lo = hi * float(opt.get("cheby_min_ratio", 1 / 30))
+def _polynomial(sp, d, lo: float, hi: float, order: int) -> Callable:
+    """The Chebyshev polynomial of the Jacobi-scaled matrix (``d``: its inverse diagonal) for eigenvalues from lo to hi."""
     theta, delta = (hi + lo) / 2, (hi - lo) / 2
 
     def apply(r):
@@ -275,6 +285,25 @@ def chebyshev(sp, opt) -> Callable:
     return apply
 
 
+def chebyshev(sp, opt) -> Callable:
+    """A polynomial of degree ``chebyshev_polynomial_order`` in the Jacobi-scaled matrix; no inner products at all: Gershgorin's bound is the largest eigenvalue."""
+    d = sp.inverse(sp.diagonal())
+    hi = sp.largest(sp.times(d, sp.abs_row_sums()))
+    return _polynomial(sp, d, hi * float(opt.get("cheby_min_ratio", 1 / 30)), hi, int(opt.get("chebyshev_polynomial_order", 5)))
+
+
+def chebyshev_smoother(sp, opt) -> Callable:
+    """The polynomial as a smoother: the largest eigenvalue is estimated by power steps, and only the upper part of the spectrum is damped."""
+    d = sp.inverse(sp.diagonal())
+    v, top = sp.random(1), 1.0
+    for _ in range(int(opt.get("power_steps", 10))):
+        size = math.sqrt(sp.dots((v, v))[0])
+        w = sp.times(d, sp.mul(sp.lin((1 / size if size else 0.0, v))))
+        top, v = math.sqrt(sp.dots((w, w))[0]), w
+    hi = 1.1 * (top or 1.0)
+    return _polynomial(sp, d, hi / float(opt.get("eigenvalue_ratio", 8)), hi, int(opt.get("chebyshev_polynomial_order", 5)))
+
+
 def colors_of(n: int, r: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Colors of the rows so that no two that share an entry have the same: greedy by rounds of local maxima of a hash."""
     off = r != c
@@ -399,12 +428,12 @@ def nosolver(sp, opt=None) -> Callable:
     return lambda r: r
 
 
-KRYLOV = {"CG": cg, "PCG": cg, "PCGF": flexible_cg, "BICGSTAB": bicgstab, "PBICGSTAB": bicgstab, "GMRES": gmres, "FGMRES": gmres, "IDR": idr, "IDRMSYNC": idr}
+KRYLOV = {"CG": cg, "PCG": cg, "PCGF": flexible_cg, "BICGSTAB": bicgstab, "PBICGSTAB": bicgstab, "GMRES": gmres, "FGMRES": gmres, "IDR": idr, "IDRMSYNC": idr_fused}
 #: Methods that take no preconditioner.
 PLAIN = {"CG", "BICGSTAB"}
 RELAXATIONS = {
     "BLOCK_JACOBI": block_jacobi, "JACOBI_L1": jacobi_l1, "GS": multicolor_gs, "MULTICOLOR_GS": multicolor_gs, "MULTICOLOR_DILU": multicolor_dilu, "MULTICOLOR_ILU": multicolor_ilu,
-    "CHEBYSHEV": chebyshev, "CHEBYSHEV_POLY": chebyshev, "CF_JACOBI": cf_jacobi, "DENSE_LU_SOLVER": dense_lu, "NOSOLVER": nosolver,
+    "CHEBYSHEV": chebyshev, "CHEBYSHEV_POLY": chebyshev_smoother, "CF_JACOBI": cf_jacobi, "DENSE_LU_SOLVER": dense_lu, "NOSOLVER": nosolver,
 }
 #: What runs in one task only: the factors of the one need a row's neighbours in order, the other is dense.
 LOCAL_ONLY = {"MULTICOLOR_ILU", "DENSE_LU_SOLVER"}

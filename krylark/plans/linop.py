@@ -387,6 +387,17 @@ def poisson3d_operator(n: int, robin: float = 0.0, diagonal_value: float = 6.0)
 # Patterns, probes, materialization
 
 
+def input_size(op: Op) -> int | None:
+    """How many values the operator takes, by the inputs of its tree; None if it has none."""
+    if isinstance(op, Input):
+        return op.n
+    for value in vars(op).values():
+        for child in value if isinstance(value, (list, tuple)) else (value,):
+            if isinstance(child, Op) and (found := input_size(child)) is not None:
+                return found
+    return None
+
+
 def trace_pattern(spark: SparkSession, op: Op) -> DataFrame | None:
     """(r, c), or None where only probing can tell."""
     try:
@@ -412,21 +423,26 @@ def conflict_graph(pattern: DataFrame) -> DataFrame:
 
 
 def color_columns(pattern: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(c, color): columns that share a row differ.  Each round colors the local maxima of a hash (ties by number)."""
+    """(c, color): columns that share a row differ.  Each round colors the local maxima of a hash (ties by number).
+
+    A column is a local maximum if it is the largest of every row it is in, so a round is one maximum a row and no pairs of
+    columns are made.  ``rounds`` bounds the colors; a pattern that needs more raises and loses nothing.
+    """
     spark = pattern.sparkSession
-    edges = conflict_graph(pattern).persist()
-    left = pattern.select("c").distinct()
+    places = pattern.select("r", "c").distinct().persist()
+    left = places.select("c").distinct()
     done = None
     for k in range(rounds):
-        weight = lambda c, k=k: F.struct(F.xxhash64(F.col(c), F.lit(k)), F.col(c))
-        live = edges.join(left.select(F.col("c").alias("a")), "a").join(left.select(F.col("c").alias("b")), "b")
-        beaten = live.where(weight("b") > weight("a")).select(F.col("a").alias("c")).distinct()
+        weight = F.struct(F.xxhash64("c", F.lit(k)), F.col("c"))
+        live = places.join(left, "c", "left_semi").select("r", "c", weight.alias("weight"))
+        top = live.groupBy("r").agg(F.max("weight").alias("top"))
+        beaten = live.join(top, "r").where("top > weight").select("c").distinct()
         won = left.join(beaten, "c", "left_anti").select("c", F.lit(k).alias("color"))
         won = _cut(spark, won)
         done = won if done is None else done.unionByName(won)
         left = _cut(spark, left.join(won, "c", "left_anti"))
         if left.isEmpty():
-            edges.unpersist()
+            places.unpersist()
             return done
     raise RuntimeError("coloring did not settle")
 
@@ -465,8 +481,15 @@ def verify(op: Op, a: SparseMatrix, checks: int = 5, tol: float = 1e-6) -> bool:
     return (row.e or 0.0) <= tol * tol * max(row.s or 0.0, 1e-300)
 
 
-def cache_coloring(spark: SparkSession, op: Op, n_in: int) -> tuple[SparseMatrix, Coloring]:
-    """The operator's matrix and its coloring: traced where the tree allows it and the result verifies, else probed."""
+def cache_coloring(spark: SparkSession, op: Op, n_in: int | tuple[int, int]) -> tuple[SparseMatrix, Coloring]:
+    """The operator's matrix and its coloring: traced where the tree allows it and the result verifies, else probed.
+
+    ``n_in`` may be the whole shape; one that is not the operator's raises.
+    """
+    rows, n_in = n_in if isinstance(n_in, tuple) else (op.n, n_in)
+    width = input_size(op)
+    if rows != op.n or width is not None and width != n_in:
+        raise ValueError(f"the operator has shape ({op.n}, {width}), not ({rows}, {n_in})")
     shape = (op.n, n_in)
     pattern = trace_pattern(spark, op)
     if pattern is not None:

@@ -10,16 +10,18 @@ from ..model import SparseMatrix, matrix
 
 def read_matrix_market(spark: SparkSession, path: str) -> SparseMatrix:
     """A coordinate file: real, integer or pattern; general, symmetric or skew-symmetric (expanded)."""
-    lines = spark.read.text(path)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     banner = lines.where(F.lower("value").startswith("%%matrixmarket")).first()
     if banner is None:
         raise ValueError(f"{path} is not a Matrix Market file")
     _, kind, layout, field, symmetry = banner[0].lower().split()
     if kind != "matrix" or layout != "coordinate" or field not in ("real", "integer", "double", "pattern"):
         raise ValueError(f"unsupported Matrix Market header: {banner[0]}")
-    # the size line is the first one that is no comment; it is told from entries by its place, not by its content
+    # the size line is the first one below the banner, in its file, that is no comment; it is told from entries by its place
     body = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).withColumn("at", F.monotonically_increasing_id())
-    size = body.orderBy("at").first()
+    size = body.where((F.col("file") == banner.file) & (F.col("block") == 0)).orderBy("at").first()
+    if size is None:
+        raise ValueError(f"{path} has no size line")
     n, m, _ = (int(float(x)) for x in size["value"].split())
     parts = F.split(F.trim("value"), r"\s+")
     value = F.lit(1.0) if field == "pattern" else parts[2].cast("double")
@@ -56,6 +58,27 @@ def unpack_archive(archive: str, cache_dir: str, name: str | None = None) -> str
     return target
 
 
+def load_collection(spark: SparkSession, cache_dir: str, name: str, group: str | None = None) -> SparseMatrix:
+    """A matrix of a collection by group and name (``group/name`` in one works too), from a cache of its files.
+
+    The cache has ``group/name.mtx``, or ``group/name.tar.gz``, which is unpacked once; nothing is fetched, so a matrix that
+    is not there is an error that says where it was looked for.
+    """
+    import os
+
+    if group is None:
+        group, _, name = name.rpartition("/")
+    if not group or not name:
+        raise ValueError("a collection's matrix has a group and a name")
+    folder = os.path.join(cache_dir, group)
+    plain, archive = os.path.join(folder, f"{name}.mtx"), os.path.join(folder, f"{name}.tar.gz")
+    if not os.path.exists(plain):
+        if not os.path.exists(archive):
+            raise FileNotFoundError(f"neither {plain} nor {archive} is there")
+        plain = unpack_archive(archive, folder, name)
+    return read_matrix_market(spark, plain)
+
+
 def write_matrix_market(a: SparseMatrix, path: str) -> None:
     """One text part per partition below ``path``; the header goes to the first part, so the files read in order."""
     n, m = a.shape

@@ -200,6 +200,35 @@ def test_archives(spark, tmp_path):
         unpack_archive(str(tmp_path / "toy.tar.gz"), str(tmp_path / "cache"), "other")
 
 
+def test_collections(spark, tmp_path):
+    from krylark.sources.matrix_market import load_collection
+
+    (tmp_path / "Group").mkdir()
+    (tmp_path / "Group" / "tiny.mtx").write_text("%%MatrixMarket matrix coordinate real skew-symmetric\n2 2 1\n2 1 5\n")
+    for a in (load_collection(spark, str(tmp_path), "tiny", "Group"), load_collection(spark, str(tmp_path), "Group/tiny")):
+        assert (dense(a) == [[0, -5], [5, 0]]).all()
+    with pytest.raises(FileNotFoundError, match="huge"):
+        load_collection(spark, str(tmp_path), "Group/huge")
+    with pytest.raises(ValueError):
+        load_collection(spark, str(tmp_path), "tiny")
+
+
+def test_shapes_of_operators_are_checked(spark):
+    for shape in (8, (9, 8), (8, 9)):
+        with pytest.raises(ValueError, match="shape"):
+            linop.cache_coloring(spark, linop.tridiagonal_operator(9), shape)
+    assert linop.cache_coloring(spark, linop.tridiagonal_operator(5), (5, 5))[0].shape == (5, 5)
+
+
+def test_columns_of_a_full_row_all_differ(spark):
+    p = spark.range(40).selectExpr("id % 2 as r", "id as c").unionByName(spark.range(40).selectExpr("5 + id as r", "id as c"))
+    colors = {r.c: r.color for r in linop.color_columns(p).collect()}
+    assert len(colors) == 40
+    for k in range(2):
+        own = [colors[c] for c in range(k, 40, 2)]
+        assert len(set(own)) == 20
+
+
 def test_blocks_refresh_and_operator_parts(spark):
     from krylark.operators.solve import as_operator, make_preconditioner
 
