@@ -263,7 +263,7 @@ class WordCache:
             stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + self.CHUNK, "right")) - 1)
             ids, n = self.encode_parts(raw[offsets[at]:offsets[stop]], offsets[at:stop + 1] - offsets[at])
             if end is not None:
-                ids, n = np.insert(ids, np.cumsum(n), end), n + 1
+                ids, n = np.insert(ids if end <= np.iinfo(ids.dtype).max else ids.astype(np.uint32), np.cumsum(n), end), n + 1
             yield at, ids, n
             at = stop
 

@@ -4,6 +4,7 @@ Each language has a context tree of bytes: counts of a byte after its last 0 to
 probabilities by method C (d distinct of n: escape d / (n + d)).  Contexts begin at the blank before a word, so the
 exact code length of a word under the frozen counts does not depend on its neighbours: it is worked out once for each
 distinct word, and a text's code length is a sum.  Letters are lower-cased, and what stands between words is left out.
+Two limits follow: no context spans a blank, and digits and punctuation carry no code length.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import column_type, materialize
 ORDER = 4
 #: The classifier is fitted on at most so many labelled rows of each language, those with the least hash of the id.
 TRAIN_ROWS = 300
+#: The model is built from at most so many words of each language, those most frequent in these rows.
+TRAIN_WORDS = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 CACHE = 400_000
 UNKNOWN = "und"
@@ -149,8 +152,8 @@ class _Costs(dict):
         return k
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """The model of the labelled rows of ``docs``, at most ``rows`` a language."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, words: int = TRAIN_WORDS) -> Model:
+    """The model of the labelled rows of ``docs``: at most ``rows`` and ``words`` a language, so what the driver gathers is bounded."""
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("train_id"), F.col(lang_col).alias("train_lang")).withColumn("key", F.xxhash64("train_id"))
     # about four times as many rows as wanted lie below a language's cut, whatever the size of the corpus
     span = float(1 << 64)
@@ -161,7 +164,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     first = Window.partitionBy("train_lang").orderBy("key", "train_id")
     ids = few.withColumn("place", F.row_number().over(first)).where(F.col("place") <= rows).select("train_id", "train_lang").distinct()
     sample = docs.join(F.broadcast(ids), (F.col(id_col) == F.col("train_id")) & (F.col(lang_col) == F.col("train_lang")), "left_semi")
-    return Model([tuple(r) for r in word_counts(sample, text_col, lang_col).orderBy("lang", "word").collect()])
+    counts = word_counts(sample, text_col, lang_col)
+    most = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    counts = counts.withColumn("place", F.row_number().over(most)).where(F.col("place") <= words).drop("place")
+    return Model([tuple(r) for r in counts.orderBy("lang", "word").collect()])
 
 
 def held_out(id_col: str):

@@ -124,16 +124,17 @@ def tokenize_splits(docs: DataFrame, folder: str, tokenizer: str, end_id: int, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, words = TaskContext.get().partitionId(), word_cache(tokenizer, keep_space)
+        kind = np.uint16 if max(words.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
         held: dict[str, list[tuple]] = {}
         size: dict[str, int] = {}
         written: dict[str, list[tuple[int, int]]] = {}
         count = 0
-        with Published(f"{folder}/split-{split:06d}.arrow") as sink, pa.ipc.new_file(sink, SHARD.with_metadata({"bits": str(8 * words.kind().itemsize)})) as out:
+        with Published(f"{folder}/split-{split:06d}.arrow") as sink, pa.ipc.new_file(sink, SHARD.with_metadata({"bits": str(8 * kind().itemsize)})) as out:
 
             def write(source: str) -> None:
                 nonlocal count
                 docs, n, ids = zip(*held.pop(source))
-                n, ids = np.concatenate(n), np.concatenate(ids)
+                n, ids = np.concatenate(n), np.concatenate(ids).astype(kind, copy=False)
                 offsets = np.concatenate([[0], np.cumsum(n) * ids.itemsize]).astype(np.int32)
                 body = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
                 out.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays(docs), body], schema=SHARD))

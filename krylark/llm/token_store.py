@@ -97,7 +97,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, keep_space: bool,
     """Writes every document's ids and its end id; returns (shard, documents, tokens) of the shards, in order.
 
     Documents are dealt by ranges of the id and sorted, so shard by shard the ids ascend (nulls first; rows with
-    the same id by text).  Null texts are empty: the end id alone.  ``folder`` is a URI that all executors share.
+    the same id by a hash of the text).  An empty table gives empty shards; a text of any length is encoded in parts.  Null texts are empty: the end id alone.  ``folder`` is a URI that all executors share.
     What comes back to the driver is one row for each task.
     """
     spark = docs.sparkSession
@@ -121,7 +121,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, keep_space: bool,
             index.close()
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([count], pa.int64()), pa.array([total], pa.int64())], names=["shard", "documents", "tokens"])
 
-    df = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).repartitionByRange("doc").sortWithinPartitions("doc", "text")
+    df = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    order = ("doc", F.xxhash64("text"))  # rows that share an id are dealt by their texts, so no id is one task's
+    df = df.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     with small_batches(spark):
         stats = df.mapInArrow(run, "shard int, documents long, tokens long").collect()
     return sorted((r.shard, r.documents, r.tokens) for r in stats)

@@ -128,6 +128,21 @@ def test_word_cache_is_exact():
             assert [np.frombuffer(x, np.uint32).tolist() for x in WordCache(vocabulary(name), keep, limit).encode(cases)] == want
 
 
+def test_strings_of_special_tokens():
+    from tokenizers import Tokenizer
+
+    cases = ["a <|endoftext|> b", "<|endoftext|>", "a<|startoftext|>b <|endoftext", "plain words, only"] * 3
+    for name, keep in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        for special in (False, True):
+            tok = Tokenizer.from_file(vocabulary(name))
+            tok.encode_special_tokens = not special
+            want = [np.array(e.ids, np.uint32).tobytes() for e in tok.encode_batch(cases, add_special_tokens=False)]
+            cache = WordCache(vocabulary(name), keep, special=special)
+            assert cache.encode(cases) == want
+            got = [(ids[sum(n[:k]):sum(n[:k + 1])].tolist(), at) for at, ids, n in cache.encode_column(pa.array(["x", None, ""]), 70_000) for k in range(len(n))]
+            assert [g[0][-1] for g in got] == [70_000] * 3 and got[1][0] == got[2][0] == [70_000]
+
+
 def test_token_files(spark):
     rows = [(5, "some words here", 1), (2, None, 2), (2, "", 3), (None, "no id", 4), (9, "long " * 4000, 5)]
     folder = shared_dir(spark)
