@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_type, string_parts
+from .common import column_type, map_arrow, string_parts
 
 HEAD, TAIL = b"### ", b"</turn>\n"
 _CODE = np.zeros(256, np.uint8)
@@ -116,7 +116,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     df = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     df = df.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
-    return df.mapInArrow(run, schema).withColumnRenamed("conv", conv_col)
+    return map_arrow(df, run, schema).withColumnRenamed("conv", conv_col)
 
 
 def _plain(raw: bytes) -> bytes:
@@ -150,4 +150,4 @@ def read_back(chats: DataFrame, conv_col: str = "conv_id") -> DataFrame:
                     column.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, k) for x, k in zip(got, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))]], names=schema.names)
 
-    return chats.select(conv_col, "formatted", "loss_spans").mapInArrow(run, schema)
+    return map_arrow(chats.select(conv_col, "formatted", "loss_spans"), run, schema)

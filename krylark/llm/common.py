@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from itertools import chain
 
@@ -117,7 +118,7 @@ class WordCache:
     """
 
     #: Bytes of text that are worked on together, and the most pieces.
-    CHUNK, PIECES = 8 << 20, 4 << 20
+    CHUNK, PIECES = 4 << 20, 2 << 20
 
     def __init__(self, path: str, keep_space: bool, limit: int = 480_000, special: bool = False):
         import os
@@ -320,6 +321,27 @@ def by_bytes(batches: Iterator[pa.RecordBatch], most: int = WordCache.CHUNK) ->
         yield pa.concat_batches(held)
 
 
+def _release() -> None:
+    """Gives memory that a task no longer uses back to the machine; its process waits for the next one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose processes hold little between tasks."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(task, schema)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, most: int = 1000) -> Iterator[None]:
     """At most ``most`` rows in an Arrow batch of what is run inside, as whole texts make long rows."""

@@ -20,7 +20,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, column_type, materialize, string_parts
+from .common import by_bytes, column_type, map_arrow, materialize, string_parts
 
 #: Words in a window, and the fewest that have a template.
 WIDTH, LEAST_WIDTH = 8, 5
@@ -208,7 +208,7 @@ def _bench_windows(items: DataFrame, id_type) -> DataFrame:
                     columns += [pa.array([f in plain for f in first.tolist()], pa.bool_()), *(pa.array([x] * n, pa.int32()) for x in (len(every), len(plain), width))]
                     yield pa.RecordBatch.from_arrays(columns, names=["id", "at", "form", "hash", "pair", "fixed", "slots", "plain", "of", "of_plain", "width"])
 
-    return items.mapInArrow(run, BENCH.format(id_type.simpleString()))
+    return map_arrow(items, run, BENCH.format(id_type.simpleString()))
 
 
 def _document_windows(docs: DataFrame, id_type, widths: list[int], table: bytes, pairs: bytes) -> DataFrame:
@@ -236,7 +236,7 @@ def _document_windows(docs: DataFrame, id_type, widths: list[int], table: bytes,
                     n = len(first)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(2).take(who), pa.array(first), pa.array([form] * n, pa.int32()), pa.array(h.view(np.int64)), pa.array(fixed, pa.string()), pa.array(values, pa.list_(pa.string()))], names=["id", "text_hash", "at", "form", "hash", "fixed", "slots"])
 
-    return docs.mapInArrow(run, HITS.format(id_type.simpleString()))
+    return map_arrow(docs, run, HITS.format(id_type.simpleString()))
 
 
 def _bit_table(hashes: DataFrame, size: int) -> bytes:

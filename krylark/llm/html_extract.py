@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_type
+from .common import column_type, map_arrow
 
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -267,4 +267,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 got = [extract(x) if x else "" for x in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.string()), pa.array(got, pa.string()), pa.array([len(x) for x in got], pa.int64())], names=schema.names)
 
-    return pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_arrow(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), run, schema).withColumnRenamed("id", id_col)

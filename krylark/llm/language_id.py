@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_type, materialize
+from .common import by_bytes, column_type, map_arrow, materialize
 
 ORDER = 4
 #: The classifier is fitted on at most so many labelled rows of each language, those with the least hash of the id.
@@ -27,6 +27,7 @@ TRAIN_ROWS = 300
 #: The model is built from at most so many words of each language, those most frequent in these rows.
 TRAIN_WORDS = 100_000
 WORD = re.compile(r"[^\W\d_]+")
+NO_LETTER = re.compile(r"[\W\d_]")
 CACHE = 400_000
 UNKNOWN = "und"
 
@@ -47,7 +48,7 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             keys = list(n)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([n[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
 
-    return docs.select(F.col(lang_col).cast("string"), text_col).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select(F.col(lang_col).cast("string"), text_col), run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -120,18 +121,38 @@ class Scorer:
         self.table[first:first + len(new)] = sums
         self.words.update(zip(new, range(first, first + len(new))))
 
-    def lengths(self, words: list[str]) -> np.ndarray:
-        total = np.zeros(len(self.m.langs))
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """Code lengths of distinct words, a row each."""
+        out = np.empty((len(words), len(self.m.langs)))
         for at in range(0, len(words), CACHE // 2):
             part = words[at:at + CACHE // 2]
-            new = [w for w in dict.fromkeys(part) if w not in self.words]
+            new = [w for w in part if w not in self.words]
             if len(self.words) + len(new) > CACHE:
                 self.words.clear()
-                new = list(dict.fromkeys(part))
+                new = part
             for k in range(0, len(new), 1 << 14):
                 self._learn(new[k:k + (1 << 14)])
-            total += self.table[np.fromiter(map(self.words.__getitem__, part), np.int64, len(part))].sum(axis=0)
-        return total
+            out[at:at + len(part)] = self.table[np.fromiter(map(self.words.__getitem__, part), np.int64, len(part))]
+        return out
+
+    def sums(self, words: list[str], sizes: list[int]) -> np.ndarray:
+        """Code lengths of runs of ``words`` of these sizes, none of them empty; every distinct word is looked up once."""
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        each = self.of_words(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        return np.add.reduceat(each, np.cumsum([0, *sizes[:-1]]), axis=0)
+
+    def lengths(self, words: list[str]) -> np.ndarray:
+        return self.sums(words, [len(words)])[0] if words else np.zeros(len(self.m.langs))
+
+
+def _slices(text: str, most: int = 1 << 20) -> Iterator[str]:
+    """Parts of a long text, cut where no word is."""
+    at = 0
+    while at < len(text):
+        m = NO_LETTER.search(text, at + most)
+        stop = m.start() if m else len(text)
+        yield text[at:stop]
+        at = stop
 
 
 class _Costs(dict):
@@ -187,21 +208,40 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         langs = scorer.m.langs
-        for b in batches:
-            names, scores = [], []
+        for b in by_bytes(batches):
+            bits, count = np.zeros((b.num_rows, len(langs))), np.zeros(b.num_rows, np.int64)
+            words: list[str] = []
+            sizes: list[int] = []
+            whose: list[int] = []
+
+            def add() -> None:
+                if words and langs:
+                    np.add.at(bits, whose, scorer.sums(words, sizes))  # noqa: B023
+                np.add.at(count, whose, sizes)  # noqa: B023
+                for x in (words, sizes, whose):
+                    x.clear()
+
             for i in range(b.num_rows):
-                words = WORD.findall((b.column(1)[i].as_py() or "").lower())
-                if not words or not langs:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                bits = scorer.lengths(words)
-                best = int(bits.argmin())
-                names.append(langs[best])
-                scores.append(float(1 / np.exp2((bits[best] - bits) / len(words)).sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+                for piece in _slices((b.column(1)[i].as_py() or "").lower()):
+                    own = WORD.findall(piece)
+                    if own:
+                        words += own
+                        sizes.append(len(own))
+                        whose.append(i)
+                    if len(words) > 1 << 19:
+                        add()
+            add()
+            names, scores = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
+            if langs:
+                best = bits.argmin(axis=1)
+                known = np.flatnonzero(count)
+                for i in known.tolist():
+                    names[i] = langs[best[i]]
+                gap = (bits[known, best[known]][:, None] - bits[known]) / count[known][:, None]
+                scores[known] = 1 / np.exp2(gap).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores)], names=schema.names)
+
+    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema).withColumnRenamed("id", id_col)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

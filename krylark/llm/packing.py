@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _runs, by_bytes, materialize, shared_dir, small_batches, spread, word_cache
+from .common import by_bytes, map_arrow, materialize, _runs, shared_dir, small_batches, spread, word_cache
 from .token_store import Published, open_fs
 
 SEQ_LEN = 1024
@@ -168,7 +168,7 @@ def tokenize_splits(docs: DataFrame, folder: str, tokenizer: str, end_id: int, k
         ], names=["split", "source", "tokens", "numbers", "sizes"])
 
     df = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"))
-    return df.mapInArrow(run, STATS)
+    return map_arrow(df, run, STATS)
 
 
 class _Queues:
@@ -265,7 +265,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, keep_space: bool, id_col:
 
     own = Window.partitionBy("source")  # a row for each split
     queues = stats.withColumn("first", F.sum("tokens").over(own.orderBy("split")) - F.col("tokens")).withColumn("of_source", F.sum("tokens").over(own))
-    parts = queues.mapInArrow(_segments(targets, step), "task long, source string, of_source long, first long, split int, numbers array<int>, skip long, take long")
+    parts = map_arrow(queues, _segments(targets, step), "task long, source string, of_source long, first long, split int, numbers array<int>, skip long, take long")
     plan = parts.groupBy("task").agg(F.sum("take").alias("tokens"), F.collect_list(F.struct("source", "first", "of_source", "split", "numbers", "skip", "take")).alias("segments"))
     plan = materialize(plan, f"{folder}/plan")
     # tokens before each task, by groups of tasks: few rows meet in the driver, and none of the windows is long
@@ -342,4 +342,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, keep_space: bool, id_col:
             yield pa.RecordBatch.from_arrays([docs.take(pa.array(d)), source.take(pa.array(who[turn[x]])), *longs, packed], names=["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     tasks = min(-(-total // step), max(row.splits, spark.sparkContext.defaultParallelism))
-    return placed.repartition(int(tasks), "task").mapInArrow(run, PIECES)
+    return map_arrow(placed.repartition(int(tasks), "task"), run, PIECES)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_type, texts
+from .common import column_type, map_arrow, texts
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\r\x0b\x0c"
@@ -85,7 +85,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             columns = np.array(got, np.int64).reshape(len(got), len(MEASURES)).T
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in columns]], names=["id", *MEASURES])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumn("failures", F.expr(FAILURES)).withColumnRenamed("id", id_col)
+    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema).withColumn("failures", F.expr(FAILURES)).withColumnRenamed("id", id_col)
 
 
 def carried_ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -99,7 +99,7 @@ def carried_ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns = np.array(got, np.int64).reshape(len(got), len(MEASURES)).T
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in columns]], names=["row", *MEASURES])
 
-    return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema).withColumn("failures", F.expr(FAILURES))
+    return map_arrow(docs.select(F.struct("*").alias("row")), run, schema).withColumn("failures", F.expr(FAILURES))
 
 
 def keep_documents(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:

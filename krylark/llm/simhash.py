@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_type, materialize, texts
+from .common import column_type, map_arrow, materialize, texts
 from .components import connected_components
 
 BITS, BLOCKS, RADIUS, THRESHOLD = 64, 6, 1, 4
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t) for t in texts(b.column(2))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=[id_col, "text_hash", "fp"])
 
-    return docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("simhash_text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("simhash_text")), run, schema)
 
 
 def _view_bits() -> list[np.ndarray]:
@@ -148,9 +148,9 @@ def links(prints: DataFrame) -> DataFrame:
                     n = len(anchor)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int8)), pa.array(anchor.view(np.int64)), pa.array(fp[who].view(np.int64)), pa.array(anchor == home[who])], names=["view", "anchor", "fp", "home"])
 
-    at = prints.select("fp").distinct().mapInArrow(spread, "view tinyint, anchor long, fp long, home boolean")
+    at = map_arrow(prints.select("fp").distinct(), spread, "view tinyint, anchor long, fp long, home boolean")
     at = at.repartition("view", "anchor").sortWithinPartitions("view", "anchor")
-    found = materialize(at.mapInArrow(_comparer(2, ANCHOR_ROWS), "u long, v long, view tinyint, anchor long, home boolean"))
+    found = materialize(map_arrow(at, _comparer(2, ANCHOR_ROWS), "u long, v long, view tinyint, anchor long, home boolean"))
     out = found.where("v is not null").select("u", "v").distinct()
     full = found.where("v is null").select("view", "anchor", F.col("u").alias("fp"), "home")
     sizes = full.groupBy("view", "anchor").agg(F.count("*").alias("n"))
@@ -161,7 +161,7 @@ def links(prints: DataFrame) -> DataFrame:
     pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = pairs.select("view", "anchor", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "fp", "home")
     pairs = pairs.repartition("view", "anchor", "low", "high").sortWithinPartitions("view", "anchor", "low", "high")
-    return out.unionByName(pairs.mapInArrow(_comparer(4, None), "u long, v long, view tinyint, anchor long, home boolean").select("u", "v")).distinct()
+    return out.unionByName(map_arrow(pairs, _comparer(4, None), "u long, v long, view tinyint, anchor long, home boolean").select("u", "v")).distinct()
 
 
 def _comparer(keys: int, most: int | None):
@@ -268,10 +268,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     named = _named(materialize(fingerprints(docs, id_col, text_col)), id_col).withColumnRenamed(id_col, "own_id")
     keys = materialize(named.groupBy("own_id", "text_hash").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")))
-    stays = keys.where("own_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("stays"))
-    judged = keys.join(stays, "component_id", "left").withColumn("goes", F.expr("own_id is not null and (own_id <> component_id or text_hash <> stays)"))
-    gone = materialize(judged.where("goes").select("own_id", "text_hash"))
-    again = materialize(judged.where("not goes and rows > 1").select("own_id", "text_hash"))
+    # only rows with the id that names their group may stay: few a group, while the others go without a look at it
+    first = keys.where("own_id = component_id")
+    first = materialize(first.join(first.groupBy("component_id").agg(F.min("text_hash").alias("stays")), "component_id"))
+    gone = materialize(keys.where("own_id <> component_id").select("own_id", "text_hash").unionByName(first.where("text_hash <> stays").select("own_id", "text_hash")))
+    again = materialize(keys.where("own_id is null and rows > 1").select("own_id", "text_hash").unionByName(first.where("text_hash = stays and rows > 1").select("own_id", "text_hash")))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
     same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("text_hash"))
     kept = row.join(gone, same, "left_anti")

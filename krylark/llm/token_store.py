@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, shared_dir, small_batches, word_cache
+from .common import by_bytes, map_arrow, shared_dir, small_batches, word_cache
 
 SEQ_LEN = 1024
 #: Sequences in an Arrow batch.
@@ -125,7 +125,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, keep_space: bool,
     order = ("doc", F.xxhash64("text"))  # rows that share an id are dealt by their texts, so no id is one task's
     df = df.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     with small_batches(spark):
-        stats = df.mapInArrow(run, "shard int, documents long, tokens long").collect()
+        stats = map_arrow(df, run, "shard int, documents long, tokens long").collect()
     return sorted((r.shard, r.documents, r.tokens) for r in stats)
 
 
@@ -174,4 +174,4 @@ def read_documents(spark, folder: str, shards: list[tuple[int, int, int]], id_co
     if not table:
         return spark.createDataFrame([], schema)
     df = spark.createDataFrame(table, "shard int, first long").repartition(len(table))
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)

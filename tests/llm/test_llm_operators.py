@@ -384,6 +384,52 @@ def test_code_lengths_are_a_distribution():
     assert scorer.lengths(["bar"])[0] == pytest.approx(direct)
 
 
+def test_code_lengths_and_predictions_against_brute_force(spark):
+    """Method C by its definition, byte by byte, for random words, texts and languages."""
+    from collections import Counter
+    from math import log2
+
+    rng = random.Random(9)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 7)))
+    corpora = {lang: Counter(word(letters) for _ in range(60)) for lang, letters in (("aa", "abcde"), ("bb", "acefé"), ("cc", "bdfgñ"))}
+    after = {lang: {} for lang in corpora}
+    for lang, words in corpora.items():
+        for w, n in words.items():
+            raw = b" " + w.encode() + b" "
+            for at in range(1, len(raw)):
+                for k in range(min(at, language_id.ORDER) + 1):
+                    after[lang].setdefault(raw[at - k:at], Counter())[raw[at]] += n
+
+    def bits(lang, w):
+        raw, out = b" " + w.encode() + b" ", 0.0
+        for at in range(1, len(raw)):
+            for k in range(min(at, language_id.ORDER), -1, -1):
+                seen = after[lang].get(raw[at - k:at])
+                if seen is None:
+                    continue
+                total = sum(seen.values()) + len(seen)
+                if raw[at] in seen:
+                    out -= log2(seen[raw[at]] / total)
+                    break
+                out -= log2(len(seen) / total)
+            else:
+                out += 8
+        return out
+
+    scorer = language_id.Scorer(language_id.Model([(lang, w, n) for lang, words in corpora.items() for w, n in words.items()]))
+    texts = [[word("abcdefgñé") for _ in range(rng.randint(1, 40))] for _ in range(40)]
+    docs = frame(spark, [(k, ", 12 ".join(t).upper()) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in language_id.predict(docs, scorer.m).collect()}
+    for k, t in enumerate(texts):
+        want = [sum(bits(lang, w) for w in t) for lang in sorted(corpora)]
+        assert scorer.lengths(t) == pytest.approx(want, rel=1e-5)
+        best = min(range(3), key=lambda i: want[i])
+        assert got[k].lang_pred == sorted(corpora)[best] and got[k].score == pytest.approx(1 / sum(2 ** ((want[best] - b) / len(t)) for b in want), rel=1e-4)
+    long = " ".join(texts[0] * 200) + "1"
+    assert list(language_id._slices(long, 50)) and "".join(language_id._slices(long, 50)) == long
+    assert [w for p in language_id._slices(long, 50) for w in language_id.WORD.findall(p)] == language_id.WORD.findall(long)
+
+
 # URLs
 
 
