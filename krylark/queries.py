@@ -14,6 +14,7 @@ from .operators import solve as solving
 from .plans import linop
 from .sources import generators as gen
 from .sources.matrix_market import dense_table
+from .storage import shared_root
 
 TIGHT = {"tolerance": 1e-13, "max_iters": 2000}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +35,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def kept(a: SparseMatrix) -> SparseMatrix:
+    """A matrix that several steps use, written once."""
+    shared_root(a.df.sparkSession)
+    return SparseMatrix(a.df.checkpoint(), a.meta)
+
+
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     """Rounded columns without negative zeros."""
     return df.withColumns({n: F.round(n, digits) + 0.0 for n in names})
@@ -571,7 +578,7 @@ def cache_info(spark, sf):
 @query(fixed_point("select c as r, r as c, 0.85 * w as w from pt", "select n_nationkey::bigint as i, 1.0 as b, 1.0 as d from nation", 250, INFLUENCE))
 def adjoint_b(spark, sf):
     """The gradient of sum(x) by the right-hand side."""
-    a = influence(spark, sf)
+    a = kept(influence(spark, sf))
     x, _ = solving.solve(a, _teleport(spark, sf), None, {"preconditioner": "BLOCK_JACOBI", **TIGHT})
     grad, _, _ = solving.solve_vjp(a, x, gen.rhs_ones(spark, a.shape[0]), {"preconditioner": "BLOCK_JACOBI", **TIGHT})
     return rounded(grad, "x")
@@ -584,7 +591,7 @@ _PRIMAL = fixed_point("select r, c, 0.85 * w as w from pt", "select n_nationkey:
 @query(f"with {INFLUENCE}, lam as ({_ADJOINT}), sol as ({_PRIMAL}), pattern as (select r, c from pt union select n_nationkey, n_nationkey from nation) select r, c, round(-lam.x * sol.x, 6) + 0.0 as v from pattern join lam on lam.i = r join sol on sol.i = c")
 def adjoint_a_sddmm(spark, sf):
     """The gradient of sum(x) by the matrix, on its pattern."""
-    a = influence(spark, sf)
+    a = kept(influence(spark, sf))
     x, _ = solving.solve(a, _teleport(spark, sf), None, {"preconditioner": "BLOCK_JACOBI", **TIGHT})
     _, grad, _ = solving.solve_vjp(a, x, gen.rhs_ones(spark, a.shape[0]), {"preconditioner": "BLOCK_JACOBI", **TIGHT})
     return rounded(grad, "v")

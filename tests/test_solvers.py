@@ -175,6 +175,26 @@ def test_shapes_are_checked(spark):
         solve(a, gen.rhs_ones(spark, 8), gen.rhs_ones(spark, 10))
 
 
+def test_statistics_have_the_grids(spark, tmp_path):
+    a, b = gen.poisson_matrix(spark, 8), gen.rhs_ones(spark, 64)
+    path = str(tmp_path / "stats.txt")
+    _, info = solve(a, b, save_stats_file=path)
+    text = open(path).read()
+    assert info["grid"][0] == (0, 64, a.nnz()) and len(info["grid"]) > 2
+    assert "AMG GRID STATISTICS" in text and all(f"{rows:>12} {entries:>12}" in text for _, rows, entries in info["grid"])
+
+
+def test_lanes_and_preconditioners_of_one_task_are_counted(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    a, b = gen.tridiagonal_matrix(spark, 8, 4.0), gen.rhs_ones(spark, 8)
+    monkeypatch.setattr("krylark.operators.solve.LOCAL_ENTRIES", 10)
+    with pytest.raises(ValueError, match="lane"):
+        solve_batched(a.df.withColumn("batch", F.lit(0)), b.withColumn("batch", F.lit(0)), 8)
+    with pytest.raises(ValueError, match="one task"):
+        make_preconditioner(a)
+
+
 def test_a_dense_coarse_solver_is_not_replaced(spark, monkeypatch):
     from krylark.operators import amg
 
