@@ -221,7 +221,7 @@ def _document_windows(docs: DataFrame, id_type, widths: list[int], table: bytes,
             cell = h >> np.uint64(64 - size)
             return np.flatnonzero(in_bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1)
 
-        for b in by_bytes(batches, 4 << 20):
+        for b in by_bytes(batches, 2 << 20):
             words = Words(b.column(1))
             maybe = [passes(_pairs(c, form), pair_bits, PAIR_BITS) if len(c) > 1 else np.zeros(0, np.int64) for form, c in enumerate(words.code)]
             for width in widths:
