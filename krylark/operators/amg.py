@@ -320,42 +320,71 @@ def first_pass(n: int, r: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.array(state) == 1
 
 
+#: Paths of two steps that interpolation works out together.
+PATHS = 1 << 21
+
+
+def _expanded(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``rows``, the places start[row] to start[row + 1]: (number of the row in ``rows``, place)."""
+    n = start[rows + 1] - start[rows]
+    who = np.repeat(np.arange(len(rows)), n)
+    return who, np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[rows], n)
+
+
+def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each of ``wanted`` is among the sorted ``keys``, where)."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, at
+
+
 def distance_two(sp: LocalSpace, coarse: np.ndarray, sr: np.ndarray, sc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Extended interpolation: a fine point takes from its strong coarse neighbours and from those of its strong fine ones."""
-    number = np.cumsum(coarse) - 1
-    rows: list[dict[int, float]] = [{} for _ in range(sp.n)]
-    for i, j, v in zip(sp.r.tolist(), sp.c.tolist(), sp.v.tolist()):
-        rows[i][j] = rows[i].get(j, 0.0) + v
-    strong: list[list[int]] = [[] for _ in range(sp.n)]
-    for i, j in zip(sr.tolist(), sc.tolist()):
-        strong[i].append(j)
-    pi, pj, pv = [], [], []
-    for i in range(sp.n):
-        if coarse[i]:
-            pi.append(i), pj.append(int(number[i])), pv.append(1.0)
-            continue
-        fine = [k for k in strong[i] if not coarse[k]]
-        reach = {k for k in strong[i] if coarse[k]} | {j for k in fine for j in strong[k] if coarse[j]}
-        if not reach:
-            continue
-        weights = {j: rows[i].get(j, 0.0) for j in reach}
-        diag = rows[i].get(i, 0.0) + sum(v for j, v in rows[i].items() if j != i and j not in reach and j not in fine)
-        for k in fine:
-            part = {j: v for j, v in rows[k].items() if (j in reach or j == i) and v * rows[k].get(k, 1.0) < 0}
-            total = sum(part.values())
-            if total == 0:
-                diag += rows[i][k]
-                continue
-            for j, v in part.items():
-                if j == i:
-                    diag += rows[i][k] * v / total
-                else:
-                    weights[j] += rows[i][k] * v / total
-        if diag == 0:
-            continue
-        for j, w in weights.items():
-            pi.append(i), pj.append(int(number[j])), pv.append(-w / diag)
-    return np.array(pi, np.int64), np.array(pj, np.int64), np.array(pv, float)
+    n, number = sp.n, np.cumsum(coarse) - 1
+    key, place = np.unique(sp.r * n + sp.c, return_inverse=True)
+    r, c, v = key // n, key % n, np.bincount(place, sp.v, len(key))
+    start = np.searchsorted(r, np.arange(n + 1))
+    fine = ~coarse[sr]
+    to_c = np.unique((sr * n + sc)[fine & coarse[sc]])
+    to_f = np.unique((sr * n + sc)[fine & ~coarse[sc]])
+    c_start = np.searchsorted(to_c // n, np.arange(n + 1))
+    who, at = _expanded(c_start, to_f % n)
+    reach = np.unique(np.concatenate([to_c, to_f[who] // n * n + to_c[at] % n]))
+
+    own = ~coarse[r]
+    reached, at = _place(reach, key)
+    through, _ = _place(to_f, key)
+    reached, through = reached & own, through & own
+    weight = np.bincount(at[reached], v[reached], len(reach)) if len(reach) else np.zeros(0)
+    diagonal = np.ones(n)
+    diagonal[r[r == c]] = v[r == c]
+    rest = own & ((r == c) | ~reached & ~through)
+    diag = np.bincount(r[rest], v[rest], n)
+    # what a row has through a strong fine neighbour k: a_ik times a_kj over the sum of the a_kj it can use
+    steps = np.flatnonzero(through)
+    size = np.cumsum(start[c[steps] + 1] - start[c[steps]])
+    edges = [0, *np.searchsorted(size, np.arange(PATHS, size[-1] if len(size) else 0, PATHS)).tolist(), len(steps)]
+    for lo, hi in zip(edges, edges[1:]):
+        part = steps[lo:hi]
+        who, at = _expanded(start, c[part])
+        i, k, j = r[part][who], c[part][who], c[at]
+        found, to = _place(reach, i * n + j)
+        good = (v[at] * diagonal[k] < 0) & (found | (j == i))
+        who, i, j, to, a_kj = who[good], i[good], j[good], to[good], v[at][good]
+        total = np.bincount(who, a_kj, len(part))
+        lost = total == 0
+        diag += np.bincount(r[part][lost], v[part][lost], n)
+        share = v[part][who] * np.divide(a_kj, total[who], out=np.zeros_like(a_kj), where=total[who] != 0)
+        back = j == i
+        diag += np.bincount(i[back], share[back], n)
+        if len(reach):
+            weight += np.bincount(to[~back], share[~back], len(reach))
+    i, j = reach // n, reach % n
+    good = diag[i] != 0
+    rows, names = np.concatenate([np.flatnonzero(coarse), i[good]]), np.concatenate([number[coarse], number[j[good]]])
+    order = np.argsort(rows, kind="stable")
+    return rows[order], names[order], np.concatenate([np.ones(int(coarse.sum())), -weight[good] / diag[i[good]]])[order]
 
 
 def pairwise(sp: LocalSpace, block: int = 1) -> np.ndarray:
