@@ -46,3 +46,21 @@ def test_stages_take_odd_rows(spark, folder, name, stage):
         assert whole[4, 1] == whole[5, 1] == 1 and set(by) == {str(r[0]) for r in rows()}
         assert all(n % k == 0 for (_, k), n in whole.items())
     assert stage(spark, docs.where("false"), folder).count() == 0
+
+
+def test_tables_between_stages_are_deleted(spark, sf_dir):
+    from pathlib import Path
+
+    from krylark.llm.common import materialize, read_table, shared_dir, discard
+
+    path = shared_dir(spark)
+    materialize(read_table(spark, sf_dir, "benchmark"), path)
+    assert Path(path.removeprefix("file://")).exists()
+    discard(spark, path)
+    assert not Path(path.removeprefix("file://")).exists()
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(root.iterdir())
+    assert pipeline.run(spark, sf_dir).count() > 0
+    made = [p for p in set(root.iterdir()) - before if any(f.name.startswith("part-") for f in p.iterdir() if f.is_file())]
+    texts = [p for p in made if {"text", "lang", "source"} <= set(spark.read.parquet(f"file://{p}").columns)]
+    assert len(texts) == 1  # what the last stage read
