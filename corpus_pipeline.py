@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from krylark.llm import decontaminate, pii, quality_rules, simhash
-from krylark.llm.common import materialize, read_table, spread
+from krylark.llm.common import discard, materialize, read_table, shared_dir, spread
 from krylark.llm.queries import pack_query
 
 
@@ -67,9 +67,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages; a table between two stages is deleted once the table after it is written."""
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs)
+            path = shared_dir(spark)
+            docs = materialize(docs, path)
+            if last:
+                discard(spark, last)
+            last = path
     return docs
