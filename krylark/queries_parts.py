@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import formats
-from .model import SparseMatrix, matrix
-from .operators import algebra, partition
+from .model import matrix
+from .operators import partition
 from .operators import solve as solving
 from .plans import config as cfg
 from .plans import linop
@@ -23,13 +24,12 @@ from .storage import shared_root
 TRI = "select i as r, i + s as c, case s when 0 then {d} else -1.0 end::double as v from range({n}) t(i), (values (-1), (0), (1)) o(s) where i + s between 0 and {n} - 1"
 
 
-def _parts(a: SparseMatrix, parts: int) -> DataFrame:
-    """(pid, r, c, v): every part of a generated matrix, each made by itself."""
+def _parts(parts: int, make: Callable[[int], tuple[DataFrame, int, int]]) -> DataFrame:
+    """(pid, r, c, v): every part of a generated matrix, each made by itself, with global row numbers."""
     out = None
-    size, extra = divmod(a.shape[0], parts)
     for k in range(parts):
-        own = partition.partition_rows(a, k, parts)  # rows are numbered from the part's first
-        own = (own.df if isinstance(own, SparseMatrix) else own).select(F.lit(k).alias("pid"), (F.col("r") + k * size + min(k, extra)).alias("r"), "c", "v")
+        rows, start, _ = make(k)
+        own = rows.select(F.lit(k).alias("pid"), (F.col("r") + start).alias("r"), "c", "v")
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -44,20 +44,20 @@ def _owned(rows: str, n: int, parts: int) -> str:
 
 @query(_owned(TRI.format(n=23, d="4.0"), 23, 4))
 def part_tridiagonal(spark, sf):
-    return _parts(gen.tridiagonal_matrix(spark, 23, 4.0), 4)
+    return _parts(4, lambda k: gen.tridiagonal_part(spark, 23, k, 4, 4.0))
 
 
 @query(_owned("""select (y * 7 + x)::bigint as r, ((y + dy) * 7 + x + dx)::bigint as c, case when dx = 0 and dy = 0 then 4.0 when dx < 0 or dy < 0 then -1.25 else -0.75 end::double as v
 from range(7) a(x), range(4) b(y), (values (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) o(dx, dy) where x + dx between 0 and 6 and y + dy between 0 and 3""", 28, 3))
 def part_poisson_rect(spark, sf):
-    return _parts(gen.poisson_rect_matrix(spark, 7, 4, 0.5), 3)
+    return _parts(3, lambda k: gen.poisson_rect_part(spark, 7, 4, k, 3, 0.5))
 
 
 @query("select pid::int as pid, 250::bigint as rows, 250::bigint as diagonals, 0::bigint as unlike_whole from range(4) t(pid)")
 def part_random(spark, sf):
     """The parts of a random matrix are those of the whole, however many there are."""
     a = gen.random_matrix(spark, 1000, 0.004, seed=5)
-    parts = _parts(gen.random_matrix(spark, 1000, 0.004, seed=5), 4)
+    parts = _parts(4, lambda k: gen.random_part(spark, 1000, k, 4, 0.004, seed=5))
     joined = parts.join(a.df.toDF("r", "c", "w"), ["r", "c"], "left")
     return joined.groupBy("pid").agg(F.countDistinct("r").alias("rows"), F.sum((F.col("r") == F.col("c")).cast("long")).alias("diagonals"), F.sum((F.col("w").isNull() | (F.col("w") != F.col("v"))).cast("long")).alias("unlike_whole"))
 

@@ -14,19 +14,51 @@ def _stencil(df: DataFrame, arms: list[tuple[Column, Column, Column]]) -> DataFr
     return df.select(F.col("id").alias("r"), F.explode(cells).alias("e")).where("e.inside").select("r", "e.c", "e.v")
 
 
+def part_bounds(n: int, part: int, parts: int) -> tuple[int, int]:
+    """(first row, row after the last) of a contiguous part; the first n mod parts parts have one row more."""
+    if not 0 <= part < parts:
+        raise ValueError(f"part {part} of {parts}")
+    size, extra = divmod(n, parts)
+    start = part * size + min(part, extra)
+    return start, start + size + (part < extra)
+
+
+def _part(rows: DataFrame, start: int, stop: int) -> tuple[DataFrame, int, int]:
+    """Rows numbered from the part's first, with global columns, and the part's bounds."""
+    return rows.select((F.col("r") - start).cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("v").cast("double").alias("v")), start, stop
+
+
+def _tridiagonal_rows(ids: DataFrame, n: int, diagonal_value: float) -> DataFrame:
+    i = F.col("id")
+    return _stencil(ids, [(i > 0, F.lit(-1), F.lit(-1.0)), (F.lit(True), F.lit(0), F.lit(float(diagonal_value))), (i < n - 1, F.lit(1), F.lit(-1.0))])
+
+
 def tridiagonal_matrix(spark: SparkSession, n: int, diagonal_value: float = 2.0) -> SparseMatrix:
     """[-1, d, -1]; 3n - 2 entries."""
-    i = F.col("id")
-    arms = [(i > 0, F.lit(-1), F.lit(-1.0)), (F.lit(True), F.lit(0), F.lit(float(diagonal_value))), (i < n - 1, F.lit(1), F.lit(-1.0))]
-    return matrix(_stencil(spark.range(n), arms), n, symmetric=True)
+    return matrix(_tridiagonal_rows(spark.range(n), n, diagonal_value), n, symmetric=True)
 
 
-def poisson_rect_matrix(spark: SparkSession, nx: int, ny: int, skew: float = 0.0) -> SparseMatrix:
-    """Five-point stencil on an nx by ny grid, x fastest; left and top -1 - s/2, right and bottom -1 + s/2."""
+def tridiagonal_part(spark: SparkSession, n: int, part: int, parts: int, diagonal_value: float = 2.0) -> tuple[DataFrame, int, int]:
+    """A part of it, made by itself: (its rows, first row, row after the last)."""
+    start, stop = part_bounds(n, part, parts)
+    return _part(_tridiagonal_rows(spark.range(start, stop), n, diagonal_value), start, stop)
+
+
+def _poisson_rows(ids: DataFrame, nx: int, ny: int, skew: float) -> DataFrame:
     x, y = F.col("id") % nx, F.floor(F.col("id") / nx)
     lo, hi = F.lit(-1 - skew / 2), F.lit(-1 + skew / 2)
-    arms = [(y > 0, F.lit(-nx), lo), (x > 0, F.lit(-1), lo), (F.lit(True), F.lit(0), F.lit(4.0)), (x < nx - 1, F.lit(1), hi), (y < ny - 1, F.lit(nx), hi)]
-    return matrix(_stencil(spark.range(nx * ny), arms), nx * ny, symmetric=skew == 0)
+    return _stencil(ids, [(y > 0, F.lit(-nx), lo), (x > 0, F.lit(-1), lo), (F.lit(True), F.lit(0), F.lit(4.0)), (x < nx - 1, F.lit(1), hi), (y < ny - 1, F.lit(nx), hi)])
+
+
+def poisson_rect_matrix(spark: SparkSession, nx: int, ny: int, skew: float = 0.0) -> SparseMatrix:
+    """Five-point stencil on an nx by ny grid, x fastest; left and top -1 - s/2, right and bottom -1 + s/2."""
+    return matrix(_poisson_rows(spark.range(nx * ny), nx, ny, skew), nx * ny, symmetric=skew == 0)
+
+
+def poisson_rect_part(spark: SparkSession, nx: int, ny: int, part: int, parts: int, skew: float = 0.0) -> tuple[DataFrame, int, int]:
+    """A part of it, made by itself: (its rows, first row, row after the last)."""
+    start, stop = part_bounds(nx * ny, part, parts)
+    return _part(_poisson_rows(spark.range(start, stop), nx, ny, skew), start, stop)
 
 
 def poisson_matrix(spark: SparkSession, n: int, skew: float = 0.0) -> SparseMatrix:
@@ -64,15 +96,25 @@ def _uniform(*keys) -> Column:
     return (F.pmod(F.xxhash64(*keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
-def random_matrix(spark: SparkSession, n: int, density: float = 0.01, seed: int = 0) -> SparseMatrix:
-    """Uniform values at hashed places, then every diagonal entry is the sum of its row's absolute values plus one."""
+def _random_rows(ids: DataFrame, n: int, density: float, seed: int) -> DataFrame:
     per_row = max(1, round(density * n))
-    drawn = spark.range(n).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(per_row - 1))).alias("k"))
+    drawn = ids.select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(per_row - 1))).alias("k"))
     drawn = drawn.select("r", F.pmod(F.xxhash64("r", "k", F.lit(seed)), F.lit(n)).alias("c"), _uniform("r", "k", F.lit(seed + 1)).alias("v"))
     off = drawn.where("r <> c").groupBy("r", "c").agg(F.max("v").alias("v"))
     sums = off.groupBy("r").agg(F.sum(F.abs("v")).alias("s"))
-    diag = spark.range(n).withColumnRenamed("id", "r").join(sums, "r", "left").select("r", F.col("r").alias("c"), (F.coalesce("s", F.lit(0.0)) + 1).alias("v"))
-    return matrix(off.unionByName(diag), n)
+    diag = ids.withColumnRenamed("id", "r").join(sums, "r", "left").select("r", F.col("r").alias("c"), (F.coalesce("s", F.lit(0.0)) + 1).alias("v"))
+    return off.unionByName(diag)
+
+
+def random_matrix(spark: SparkSession, n: int, density: float = 0.01, seed: int = 0) -> SparseMatrix:
+    """Uniform values at hashed places, then every diagonal entry is the sum of its row's absolute values plus one."""
+    return matrix(_random_rows(spark.range(n), n, density, seed), n)
+
+
+def random_part(spark: SparkSession, n: int, part: int, parts: int, density: float = 0.01, seed: int = 0) -> tuple[DataFrame, int, int]:
+    """A part of it, made by itself and the same however many parts there are: (its rows, first row, row after the last)."""
+    start, stop = part_bounds(n, part, parts)
+    return _part(_random_rows(spark.range(start, stop), n, density, seed), start, stop)
 
 
 def kron(p: SparseMatrix, m: SparseMatrix) -> SparseMatrix:
