@@ -70,7 +70,7 @@ _NAMED = "|".join([
 ])
 #: Kind of entity and its pattern; the first that fits at a place counts.
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])",
+    "email": r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.){1,30}[A-Za-z]{2,24}(?![\w-])",
     "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
     "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,5}(?::[0-9A-Fa-f]{1,4}){1,4})(?![\w:])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<![\w+.,-])0\d{2,4} \d{3,4} \d{3,4}(?![\w-]| \d)",
@@ -79,7 +79,7 @@ PATTERNS = {
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "access_key": r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)",
     "secret": r"(?i:(?<!\w)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?:\s*[=:]\s*[\"']?)[^\s\"',;]{8,})",
-    "name": rf"(?={_TWO})(?<!\w)(?:{_NAMED})|(?=г-)(?<!\w)(?:{_SMALL}) (?:{_NAME} ){{0,2}}{_NAME}(?!\w)",
+    "name": rf"(?={_UPPER})(?<!\w)(?={_TWO})(?:{_NAMED})|(?=г-)(?<!\w)(?:{_SMALL}) (?:{_NAME} ){{0,2}}{_NAME}(?!\w)",
 }
 #: What a match of a kind begins with, looked at before its pattern is tried.
 BEGINS = {"email": r"[A-Za-z0-9](?<![\w.+-].)[A-Za-z0-9._%+-]*+@", "ipv4": r"\d", "ipv6": r"[0-9A-Fa-f]{1,4}:", "phone": r"[+(\d]", "ssn": r"\d", "card": r"\d", "iban": r"[A-Z][A-Z]\d", "access_key": "AKIA", "secret": r"[pPsStTaA]"}
