@@ -20,7 +20,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, column_type, map_arrow, materialize, string_parts
+from .common import by_bytes, column_type, map_arrow, materialize, small_batches, string_parts
 
 #: Words in a window, and the fewest that have a template.
 WIDTH, LEAST_WIDTH = 8, 5
@@ -293,6 +293,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cover: float = COVER) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with the same columns."""
     # written first, so that its size is known when the join is planned: few leaks are broadcast and no text is shuffled
-    bad = materialize(leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, cover).select(F.col(id_col).alias("bad_id")).distinct())
+    with small_batches(docs.sparkSession):
+        bad = materialize(leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, cover).select(F.col(id_col).alias("bad_id")).distinct())
     row = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
     return row.join(bad, F.col("id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_type, map_arrow, materialize, texts
+from .common import column_type, map_arrow, materialize, small_batches, texts
 from .components import connected_components
 
 BITS, BLOCKS, RADIUS, THRESHOLD = 64, 6, 1, 4
@@ -234,6 +234,11 @@ def _comparer(keys: int, most: int | None):
     return run
 
 
+def _written(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    with small_batches(docs.sparkSession):
+        return materialize(fingerprints(docs, id_col, text_col))
+
+
 def _named(prints: DataFrame, id_col: str) -> DataFrame:
     """``prints`` with ``component_id``, the smallest id reachable over links."""
     least = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("rows")))
@@ -255,7 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never name a component unless all its ids are null; repeated rows each get a row; an empty table gives an empty
     result; other columns are ignored.  Copies are reduced to one fingerprint before anything is compared.
     """
-    named = _named(materialize(fingerprints(docs, id_col, text_col)), id_col)
+    named = _named(_written(docs, id_col, text_col), id_col)
     return named.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -266,7 +271,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first; rows without an id cannot be named and stay, once for each text.  What goes is joined by id and hash, so
     texts are shuffled once at most, and not at all while few go.
     """
-    named = _named(materialize(fingerprints(docs, id_col, text_col)), id_col).withColumnRenamed(id_col, "own_id")
+    named = _named(_written(docs, id_col, text_col), id_col).withColumnRenamed(id_col, "own_id")
     keys = materialize(named.groupBy("own_id", "text_hash").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")))
     # only rows with the id that names their group may stay: few a group, while the others go without a look at it
     first = keys.where("own_id = component_id")
