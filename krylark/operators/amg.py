@@ -331,6 +331,13 @@ def _expanded(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return who, np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[rows], n)
 
 
+def _shares(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of items that have about ``PATHS`` together."""
+    ends = np.cumsum(sizes)
+    edges = [0, *np.searchsorted(ends, np.arange(PATHS, ends[-1] if len(ends) else 0, PATHS)).tolist(), len(sizes)]
+    return list(zip(edges, edges[1:]))
+
+
 def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(whether each of ``wanted`` is among the sorted ``keys``, where)."""
     if not len(keys):
@@ -349,8 +356,11 @@ def distance_two(sp: LocalSpace, coarse: np.ndarray, sr: np.ndarray, sc: np.ndar
     to_c = np.unique((sr * n + sc)[fine & coarse[sc]])
     to_f = np.unique((sr * n + sc)[fine & ~coarse[sc]])
     c_start = np.searchsorted(to_c // n, np.arange(n + 1))
-    who, at = _expanded(c_start, to_f % n)
-    reach = np.unique(np.concatenate([to_c, to_f[who] // n * n + to_c[at] % n]))
+    far = [to_c]
+    for lo, hi in _shares(c_start[to_f % n + 1] - c_start[to_f % n]):
+        who, at = _expanded(c_start, to_f[lo:hi] % n)
+        far.append(np.unique(to_f[lo:hi][who] // n * n + to_c[at] % n))
+    reach = np.unique(np.concatenate(far))
 
     own = ~coarse[r]
     reached, at = _place(reach, key)
@@ -363,9 +373,7 @@ def distance_two(sp: LocalSpace, coarse: np.ndarray, sr: np.ndarray, sc: np.ndar
     diag = np.bincount(r[rest], v[rest], n)
     # what a row has through a strong fine neighbour k: a_ik times a_kj over the sum of the a_kj it can use
     steps = np.flatnonzero(through)
-    size = np.cumsum(start[c[steps] + 1] - start[c[steps]])
-    edges = [0, *np.searchsorted(size, np.arange(PATHS, size[-1] if len(size) else 0, PATHS)).tolist(), len(steps)]
-    for lo, hi in zip(edges, edges[1:]):
+    for lo, hi in _shares(start[c[steps] + 1] - start[c[steps]]):
         part = steps[lo:hi]
         who, at = _expanded(start, c[part])
         i, k, j = r[part][who], c[part][who], c[at]
