@@ -8,6 +8,7 @@ from krylark.sources import generators as gen
 
 CASES = [
     {"solver": "PCGF", "preconditioner": {"solver": "AMG", "algorithm": "AGGREGATION", "selector": "MULTI_PAIRWISE", "cycle": "CG", "driver_rows": 4}},
+    {"solver": "PCGF", "preconditioner": {"solver": "AMG", "algorithm": "AGGREGATION", "selector": "SIZE_8", "cycle": "F", "driver_rows": 2}},
 ]
 
 
