@@ -10,6 +10,7 @@ CASES = [
     {"solver": "PCGF", "preconditioner": {"solver": "AMG", "algorithm": "AGGREGATION", "selector": "MULTI_PAIRWISE", "cycle": "CG", "driver_rows": 4}},
     {"solver": "PCGF", "preconditioner": {"solver": "AMG", "algorithm": "AGGREGATION", "selector": "SIZE_8", "cycle": "F", "driver_rows": 2}},
     {"solver": "PCG", "preconditioner": "MULTICOLOR_DILU"},
+    {"solver": "PBICGSTAB", "preconditioner": "MULTICOLOR_GS"},
 ]
 
 
