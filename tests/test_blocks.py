@@ -11,6 +11,7 @@ CASES = [
     {"solver": "PCGF", "preconditioner": {"solver": "AMG", "algorithm": "AGGREGATION", "selector": "SIZE_8", "cycle": "F", "driver_rows": 2}},
     {"solver": "PCG", "preconditioner": "MULTICOLOR_DILU"},
     {"solver": "PBICGSTAB", "preconditioner": "MULTICOLOR_GS"},
+    {"solver": "PCG", "preconditioner": {"solver": "MULTICOLOR_GS", "symmetric_GS": 1}},
 ]
 
 
