@@ -191,7 +191,7 @@ for _name, _solver, _inner in (
     ("solve_amg_f_cycle", "PCGF", {"solver": "AMG", "algorithm": "AGGREGATION", "selector": "SIZE_8", "cycle": "F", "min_coarse_rows": 64}), ("solve_amg_cg_cycle", "PCGF", {"solver": "AMG", "algorithm": "AGGREGATION", "selector": "MULTI_PAIRWISE", "cycle": "CG", "min_coarse_rows": 64}),
 ):
     def _run(spark, sf, solver=_solver, inner=_inner):
-        x, _ = solving.solve(laplacian(spark, sf), prices(spark, sf), None, {"solver": solver, "preconditioner": inner, **TIGHT})
+        x, _ = solving.solve(laplacian(spark, sf), prices(spark, sf), None, {"solver": solver, "preconditioner": inner, **TIGHT}, strategy="spread")
         return rounded(x, "x")
 
     _run.__name__ = _name

@@ -13,6 +13,7 @@ CASES = [
     {"solver": "PBICGSTAB", "preconditioner": "MULTICOLOR_GS"},
     {"solver": "PCG", "preconditioner": {"solver": "MULTICOLOR_GS", "symmetric_GS": 1}},
     {"solver": "PBICGSTAB", "preconditioner": {"solver": "AMG", "algorithm": "AGGREGATION", "selector": "SIZE_4", "cycle": "W", "driver_rows": 2}},
+    {"solver": "PBICGSTAB", "preconditioner": "MULTICOLOR_ILU"},
 ]
 
 
