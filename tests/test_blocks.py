@@ -15,6 +15,7 @@ CASES = [
     {"solver": "PBICGSTAB", "preconditioner": {"solver": "AMG", "algorithm": "AGGREGATION", "selector": "SIZE_4", "cycle": "W", "driver_rows": 2}},
     {"solver": "PBICGSTAB", "preconditioner": "MULTICOLOR_ILU"},
     {"solver": "PCG", "preconditioner": {"solver": "AMG", "algorithm": "AGGREGATION", "selector": "SIZE_2", "driver_rows": 4}},
+    {"solver": "CHEBYSHEV"},
 ]
 
 
