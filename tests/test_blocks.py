@@ -2,7 +2,7 @@
 
 import pytest
 
-from krylark.model import Status
+from krylark.model import Status, matrix
 from krylark.operators.solve import solve
 from krylark.sources import generators as gen
 
@@ -35,3 +35,24 @@ def test_systems_beyond_one_task_run_on_blocks(spark, monkeypatch, options):
     if "AMG" in str(options):
         rows = [level[1] for level in info["grid"]]
         assert len(rows) > 2 and all(p > q for p, q in zip(rows, rows[1:]))
+
+
+@pytest.mark.parametrize("options", [CASES[3], CASES[4], CASES[2], CASES[2] | {"solver": "PBICGSTAB"}, CASES[6]])
+def test_sweeps_take_fewer_jobs_than_colors(spark, monkeypatch, options):
+    """Of a matrix with many more entries than a task takes: a sweep goes by groups of colors, and the solution is the local one's."""
+    from krylark.operators import blocks
+
+    n = 40
+    near = [(i, j) for i in range(n) for j in range(n) if 0 < abs(i - j) <= 6 or (i * j) % 7 == 1]
+    skew = 0.0 if options["solver"] == "PCG" else 0.3
+    a = matrix(spark.createDataFrame([(i, j, -1.0 - skew * (i > j)) for i, j in near if i != j] + [(i, i, 40.0) for i in range(n)], "r long, c long, v double"), n, symmetric=not skew)
+    b = gen.rhs_linear(spark, n)
+    options = options | {"tolerance": 1e-11, "max_iters": 200}
+    want = {r.i: r.x for r in solve(a, b, None, options, strategy="local")[0].collect()}
+    seen, by_groups = [], blocks.BlockSpace._by_groups
+    monkeypatch.setattr(blocks, "SWEPT", 150)
+    monkeypatch.setattr(blocks.BlockSpace, "_by_groups", lambda self, m: seen.append(by_groups(self, m)) or seen[-1])
+    x, info = solve(a, b, None, options, strategy="blocks")
+    got = {r.i: r.x for r in x.collect()}
+    assert info["status"] == Status.SUCCESS and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+    assert all(1 < len(rows) < len(group) for group, rows, *_ in seen) and seen
